@@ -98,7 +98,7 @@ def token_vector(col: str | Column, vocab: Sequence[str]) -> Column:
         for piece in text_slices(texts):
             points, lengths = code_points(piece)
             rows = np.repeat(np.arange(len(piece), dtype=np.int64) * (width + 1), lengths)
-            rows += slots[np.minimum(points, slots.size - 1)]
+            rows += slots.take(points, mode="clip")
             counts = np.bincount(rows, minlength=len(piece) * (width + 1))
             parts.append(counts.reshape(len(piece), width + 1)[:, :width].astype(np.int32).ravel())
         values = pa.array(np.concatenate(parts) if parts else np.empty(0, np.int32))
@@ -167,6 +167,9 @@ def sum_of(*cols: str | Column) -> Column:
 def text_profile(col: str | Column) -> Column:
     """Struct of eight descriptors of one text, from built-in functions.
 
+    Punctuation is what is left after ASCII letters, digits and white space, by
+    subtraction: a negated character class costs ten times a plain one.
+
     Computed through a lambda over a one-element array so that a derived text
     (a concatenation, say) is evaluated once per row and not once per field.
     """
@@ -174,13 +177,15 @@ def text_profile(col: str | Column) -> Column:
     def profile(text: Column) -> Column:
         lower = F.regexp_count(text, F.lit("[a-z]"))
         upper = F.regexp_count(text, F.lit("[A-Z]"))
+        digit = F.regexp_count(text, F.lit("[0-9]"))
+        space = F.regexp_count(text, F.lit("[\\t\\n\\f\\r ]"))
         return F.struct(
             F.length(text).alias("n_chars"),
             upper.alias("n_upper"),
             lower.alias("n_lower"),
-            F.regexp_count(text, F.lit("[0-9]")).alias("n_digit"),
+            digit.alias("n_digit"),
             F.regexp_count(text, F.lit(r"[(\[{]")).alias("n_open"),
-            F.regexp_count(text, F.lit(r"[^A-Za-z0-9\s]")).alias("n_punct"),
+            (F.length(text) - upper - lower - digit - space).alias("n_punct"),
             F.when(text == "", 0).otherwise(F.size(F.array_distinct(F.split(text, "")))).alias("n_distinct"),
             ratio_or_zero(lower, lower + upper).alias("lower_share"),
         )

@@ -9,7 +9,7 @@ costs one call per batch at most.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -60,6 +60,7 @@ def describe_texts(
     fn: Callable[[str], Record | None],
     schema: T.StructType | Record,
     on_invalid: str = "null",
+    repeated: Sequence[str] | None = None,
     lookup_rows: int = BROADCAST_ROWS // 2,
     lookup_bytes: int = LOOKUP_BYTES,
 ) -> DataFrame:
@@ -67,11 +68,14 @@ def describe_texts(
 
     ``texts`` maps text columns to prefixes; the text columns are dropped.
     ``schema`` is a struct type or one sample record to infer it from. Texts
-    without a record give null fields, or are skipped, or raise.
+    without a record give null fields, or are skipped, or raise. Columns known to
+    hold few distinct texts can be named in ``repeated``, which saves the pass
+    that estimates this; should their lookup table turn out large, it is joined by
+    shuffle.
     """
     if not isinstance(schema, T.StructType):
         schema = infer_struct(schema)
-    small = _repeating(df, list(texts), lookup_rows, lookup_bytes)
+    small = _repeating(df, list(texts), lookup_rows, lookup_bytes) if repeated is None else list(repeated)
     if small:
         distinct = df.select(F.explode(F.array(*small)).alias("_text")).where("_text is not null").distinct()
         lookup = freeze(distinct.withColumn("_record", describe("_text", fn, schema)))

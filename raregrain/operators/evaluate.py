@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from raregrain.functions.text import ratio_or_zero
 from raregrain.operators.ranking import running_sums
+from raregrain.session import freeze
 
 
 def confusion(df: DataFrame, label: str = "y", prediction: str = "prediction") -> DataFrame:
@@ -263,7 +264,8 @@ def evaluate_before_after(
     ``part`` names the column that tells training from validation rows. Both
     stages for all parts come out of one scan.
     """
-    hist = _threshold_hist(df, label, score, n, [F.col(part), F.col(prediction).cast("int").alias("_pred")])
+    # frozen: two rows per part and threshold at most, read for both stages
+    hist = freeze(_threshold_hist(df, label, score, n, [F.col(part), F.col(prediction).cast("int").alias("_pred")]))
     at_all = _threshold_counts(hist.groupBy(part, "_k").agg(F.sum("_pos").alias("_pos"), F.sum("_n").alias("_n")), [part], n)
     ap = _hard_metrics(*(F.col(c) for c in ("tp", "fp", "pos", "total")))["ap_hard"]
     rank = F.when(F.col(part) == F.lit(choose_on), F.struct(ap.alias("ap"), (-F.col("threshold_no")).alias("i")))

@@ -15,27 +15,31 @@ from raregrain.operators.columns import map_values
 _CODE_SPACE = 0x110000
 
 
-def _partition_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Characters of all text columns of a partition; column ``_w`` weights rows, if present."""
-    totals = np.zeros(_CODE_SPACE, dtype=np.int64)
-    for batch in batches:
-        names = batch.schema.names
-        weights = batch.column("_w").to_numpy() if "_w" in names else None
-        for name in names:
-            if name == "_w":
-                continue
-            start = 0
-            for piece in text_slices(batch.column(name)):
-                points, lengths = code_points(piece)
-                if points.size:
-                    per_row = None if weights is None else np.repeat(weights[start : start + len(piece)], lengths)
-                    counts = np.bincount(points, weights=per_row)
-                    totals[: counts.size] += counts.astype(np.int64)
-                start += len(piece)
-    found = [int(p) for p in np.flatnonzero(totals) if not is_removed(chr(p))]
-    yield pa.RecordBatch.from_pydict(
-        {"token": pa.array([chr(p) for p in found], pa.string()), "n": pa.array(totals[found], pa.int64())}
-    )
+def _partition_counter(repeated: Sequence[str]):
+    """Reduce the text columns of a partition to one row per character."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals = np.zeros(_CODE_SPACE, dtype=np.int64)
+        for batch in batches:
+            for name in batch.schema.names:
+                texts, weights = batch.column(name), None
+                if name in repeated:
+                    pairs = texts.value_counts()
+                    texts, weights = pairs.field(0), pairs.field(1).to_numpy()
+                start = 0
+                for piece in text_slices(texts):
+                    points, lengths = code_points(piece)
+                    if points.size:
+                        per_point = None if weights is None else np.repeat(weights[start : start + len(piece)], lengths)
+                        counts = np.bincount(points, weights=per_point)
+                        totals[: counts.size] += counts.astype(np.int64)
+                    start += len(piece)
+        found = [int(p) for p in np.flatnonzero(totals) if not is_removed(chr(p))]
+        yield pa.RecordBatch.from_pydict(
+            {"token": pa.array([chr(p) for p in found], pa.string()), "n": pa.array(totals[found], pa.int64())}
+        )
+
+    return count
 
 
 def _ranked(counts: DataFrame) -> DataFrame:
@@ -47,23 +51,12 @@ def _ranked(counts: DataFrame) -> DataFrame:
 def build_vocab(df: DataFrame, cols: Sequence[str], repeated: Sequence[str] = ()) -> DataFrame:
     """``(pos, token, n)``: total count of every character over the text columns.
 
-    Each task reduces its texts to one row per character, so the shuffle carries
-    alphabets, not text. Columns named in ``repeated`` hold few distinct texts:
-    these are first counted, and each distinct text is then read only once.
+    One pass; each task reduces its texts to one row per character, so the shuffle
+    carries alphabets, not text. In columns named in ``repeated`` (few distinct
+    texts) each distinct text of a record batch is read once.
     """
-    direct = [c for c in cols if c not in repeated]
-    parts = []
-    if direct:
-        parts.append(df.select(*direct).mapInArrow(_partition_counts, "token string, n bigint"))
-    if repeated:
-        texts = (
-            df.select(F.explode(F.array(*repeated)).alias("_text"))
-            .where(F.col("_text").isNotNull())
-            .groupBy("_text")
-            .agg(F.count(F.lit(1)).alias("_w"))
-        )
-        parts.append(texts.mapInArrow(_partition_counts, "token string, n bigint"))
-    return merge_vocab(*parts)
+    partial = df.select(*cols).mapInArrow(_partition_counter(repeated), "token string, n bigint")
+    return merge_vocab(partial)
 
 
 def merge_vocab(*vocabs: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from raregrain.sources.readers import widen_scan
 
 TEXTS = ("bb1_text", "bb2_text", "bb3_text", "whole_text")
 #: Text columns with few distinct values.
@@ -18,6 +19,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def wide_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table for work that is heavy per row."""
+    return widen_scan(table(spark, sf_dir, name))
+
+
 def _row_id() -> Column:
     parts = F.concat_ws(
         "-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_shipdate").cast("date").cast("string")
@@ -29,9 +35,10 @@ def _label() -> Column:
     return ((F.col("l_discount") > 0.095) & (F.col("l_quantity") >= 46)).cast("int")
 
 
-def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+def labelled(spark: SparkSession, sf_dir: str, wide: bool = False) -> DataFrame:
     """Every line item with its id, category, rare label and numbers; no join."""
-    return table(spark, sf_dir, "lineitem").select(
+    rows = (wide_table if wide else table)(spark, sf_dir, "lineitem")
+    return rows.select(
         _row_id().alias("id"), F.col("l_returnflag").alias("category"), _label().alias("y"),
         "l_quantity", "l_extendedprice", "l_discount", "l_tax",
     )
@@ -40,7 +47,7 @@ def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
 def compounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``labelled`` with four texts from part and supplier."""
     parts, suppliers = table(spark, sf_dir, "part"), table(spark, sf_dir, "supplier")
-    rows = table(spark, sf_dir, "lineitem")
+    rows = wide_table(spark, sf_dir, "lineitem")
     joined = rows.join(parts, rows.l_partkey == parts.p_partkey).join(suppliers, rows.l_suppkey == suppliers.s_suppkey)
     return joined.select(
         _row_id().alias("id"),
@@ -54,10 +61,10 @@ def compounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+def scored(spark: SparkSession, sf_dir: str, wide: bool = False) -> DataFrame:
     """``labelled`` with a deterministic score with heavy ties and a hard prediction."""
     score = (F.col("l_quantity") * 2 + F.round(F.col("l_discount") * 100) * 5) / F.lit(150.0)
-    return labelled(spark, sf_dir).select("id", "category", "y", score.alias("score")).withColumn(
+    return labelled(spark, sf_dir, wide).select("id", "category", "y", score.alias("score")).withColumn(
         "prediction", (F.col("score") > 0.9).cast("int")
     )
 

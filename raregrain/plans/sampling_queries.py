@@ -8,6 +8,7 @@ from raregrain.operators import sampling
 from raregrain.operators.ranking import with_position
 from raregrain.plans.fixtures import LABELLED_SQL, hash_sql, labelled
 from raregrain.plans.registry import query
+from raregrain.session import freeze
 
 SEED = 42
 _H = hash_sql("id", SEED)
@@ -17,17 +18,22 @@ _RANKED = f"""{_HASHED}, ranked AS (
 
 
 def _rows(spark, sf_dir):
-    return labelled(spark, sf_dir).select("id", "y")
+    return labelled(spark, sf_dir, wide=True).select("id", "y")
+
+
+def _frozen_rows(spark, sf_dir):
+    """For operators that read their input several times: the derived id is computed once."""
+    return freeze(_rows(spark, sf_dir))
 
 
 @query("hash_shuffle_rank", f"WITH {_HASHED} SELECT id, row_number() over (order by h, id) AS position FROM hashed")
 def _(spark, sf_dir):
-    return with_position(_rows(spark, sf_dir), "id", SEED).select("id", "position")
+    return with_position(_frozen_rows(spark, sf_dir), "id", SEED).select("id", "position")
 
 
 @query("class_rank", f"WITH {_RANKED} SELECT id, y, rk AS position FROM ranked")
 def _(spark, sf_dir):
-    return with_position(_rows(spark, sf_dir), "id", SEED, ["y"])
+    return with_position(_frozen_rows(spark, sf_dir), "id", SEED, ["y"])
 
 
 @query("shuffle_rows", f"WITH {_HASHED} SELECT id, y FROM hashed ORDER BY h, id")
@@ -52,7 +58,7 @@ def _(spark, sf_dir):
 
 @query("sample_n_by_cut", f"WITH {_HASHED} SELECT id, y FROM hashed ORDER BY h, id LIMIT 5000")
 def _(spark, sf_dir):
-    return sampling.sample_n(_rows(spark, sf_dir), 5000, top_k_rows=0)
+    return sampling.sample_n(_frozen_rows(spark, sf_dir), 5000, top_k_rows=0)
 
 
 @query(
@@ -79,7 +85,7 @@ def _(spark, sf_dir):
     f"WITH {_RANKED} SELECT id, y, cast(rk <= ceil(cast(0.7 as double) * n) as integer) AS is_train FROM ranked",
 )
 def _(spark, sf_dir):
-    return sampling.stratified_split(_rows(spark, sf_dir), "y", 0.7)
+    return sampling.stratified_split(_frozen_rows(spark, sf_dir), "y", 0.7)
 
 
 _FOLD = " + ".join(f"cast(rk > n * {j} // 5 as integer)" for j in range(1, 5))
@@ -87,7 +93,7 @@ _FOLD = " + ".join(f"cast(rk > n * {j} // 5 as integer)" for j in range(1, 5))
 
 @query("kfold", f"WITH {_RANKED} SELECT id, y, {_FOLD} AS fold FROM ranked")
 def _(spark, sf_dir):
-    return sampling.kfold(_rows(spark, sf_dir), "y", 5)
+    return sampling.kfold(_frozen_rows(spark, sf_dir), "y", 5)
 
 
 @query(
@@ -99,7 +105,7 @@ def _(spark, sf_dir):
  SELECT id, y, cast(i // 16 as bigint) FROM slots JOIN ones ON i % n + 1 = rk""",
 )
 def _(spark, sf_dir):
-    return sampling.balanced_batches(_rows(spark, sf_dir), "y", 33)
+    return sampling.balanced_batches(_frozen_rows(spark, sf_dir), "y", 33)
 
 
 @query(
@@ -108,4 +114,4 @@ def _(spark, sf_dir):
  SELECT y, (row_number() over (order by h, id) - 1) // 1024 AS b FROM hashed) GROUP BY b""",
 )
 def _(spark, sf_dir):
-    return sampling.minibatch_stats(_rows(spark, sf_dir))
+    return sampling.minibatch_stats(_frozen_rows(spark, sf_dir))

@@ -10,7 +10,7 @@ from raregrain.operators.columns import check_alignment, concat_features, expand
 from raregrain.operators.describe import describe_texts
 from raregrain.operators.joins import combine_descriptors
 from raregrain.operators.vocabulary import build_vocab, category_token_totals, merge_vocab, token_features, vocab_tokens
-from raregrain.plans.fixtures import CODES, COMPOUNDS_SQL, OUTPUTS, REPEATED, TEXTS, compounds, table
+from raregrain.plans.fixtures import CODES, COMPOUNDS_SQL, OUTPUTS, REPEATED, TEXTS, compounds, table, wide_table
 from raregrain.plans.registry import query
 
 CLEAN = r"regexp_replace({}, '[\p{{Nd}}()\[\]{{}}]+', '', 'g')"
@@ -74,7 +74,7 @@ def _(spark, sf_dir):
 
 @query("vocab_documents", f"WITH {vocab_sql('vocab', 'SELECT text AS t FROM documents')} SELECT * FROM vocab")
 def _(spark, sf_dir):
-    return build_vocab(table(spark, sf_dir, "documents"), ["text"])
+    return build_vocab(wide_table(spark, sf_dir, "documents"), ["text"])
 
 
 @query(
@@ -89,7 +89,7 @@ def _(spark, sf_dir):
 )
 def _(spark, sf_dir):
     parts = build_vocab(table(spark, sf_dir, "part"), ["p_name", "p_brand", "p_type"], ["p_name", "p_brand", "p_type"])
-    return merge_vocab(parts, build_vocab(table(spark, sf_dir, "documents"), ["text"]))
+    return merge_vocab(parts, build_vocab(wide_table(spark, sf_dir, "documents"), ["text"]))
 
 
 @query(
@@ -97,7 +97,7 @@ def _(spark, sf_dir):
     f"SELECT doc_id, cast(length(c) as integer) AS n_clean, md5(c) AS clean_md5 FROM (SELECT doc_id, {clean_sql('text')} AS c FROM documents)",
 )
 def _(spark, sf_dir):
-    cleaned = table(spark, sf_dir, "documents").select("doc_id", clean_text("text").alias("c"))
+    cleaned = wide_table(spark, sf_dir, "documents").select("doc_id", clean_text("text").alias("c"))
     return cleaned.select("doc_id", F.length("c").alias("n_clean"), F.md5(F.col("c").cast("binary")).alias("clean_md5"))
 
 
@@ -107,7 +107,7 @@ def _(spark, sf_dir):
  SELECT doc_id, unnest(string_split({clean_sql('text')}, '')) AS token FROM documents) WHERE token <> '' GROUP BY doc_id, token""",
 )
 def _(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
+    docs = wide_table(spark, sf_dir, "documents")
     return docs.select("doc_id", F.explode(count_tokens("text")).alias("token", "n"))
 
 
@@ -116,7 +116,7 @@ def _(spark, sf_dir):
     f"SELECT doc_id, {vector_sql('text', TOKEN_ORDER)} AS tokens FROM documents",
 )
 def _(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", token_vector("text", TOKEN_ORDER).alias("tokens"))
+    return wide_table(spark, sf_dir, "documents").select("doc_id", token_vector("text", TOKEN_ORDER).alias("tokens"))
 
 
 @query("token_features", _features_sql("SELECT * FROM features"))
@@ -187,7 +187,7 @@ def profile_sql(col: str, prefix: str = "") -> str:
 
 @query("text_profile", f"SELECT doc_id, {profile_sql('text')} FROM documents")
 def _(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", text_profile("text").alias("p"))
+    docs = wide_table(spark, sf_dir, "documents").select("doc_id", text_profile("text").alias("p"))
     return docs.select("doc_id", "p.*").withColumn("lower_share", F.round("lower_share", 6))
 
 
@@ -213,7 +213,7 @@ def _rounded(df):
 @query("describe_distinct", f"WITH {COMPOUNDS_SQL} SELECT id, y, {_LETTERS} FROM compounds")
 def _(spark, sf_dir):
     rows = compounds(spark, sf_dir).select("id", "y", *TEXTS)
-    return _rounded(describe_texts(rows, OUTPUTS, letters, letters("Ab")))
+    return _rounded(describe_texts(rows, OUTPUTS, letters, letters("Ab"), repeated=REPEATED))
 
 
 @query(
@@ -226,7 +226,7 @@ def _(spark, sf_dir):
         found = sum("0" <= c <= "9" for c in text)
         return {"n_chars": len(text), "n_digit": found} if found else None
 
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = wide_table(spark, sf_dir, "documents").select("doc_id", "text")
     return describe_texts(docs, {"text": "d"}, digits, {"n_chars": 1, "n_digit": 1}, on_invalid="skip")
 
 

@@ -34,6 +34,17 @@ def read_table(
     return df if columns is None else df.select(*columns)
 
 
+def widen_scan(df: DataFrame) -> DataFrame:
+    """Redistribute a plain scan that has fewer splits than there are cores.
+
+    Meant for work that is heavy per row (text, hashing) on files of few large
+    row groups. A table with enough splits passes through untouched, so nothing
+    large is ever shuffled by this.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def table_info(df: DataFrame) -> DataFrame:
     """Row count and number of scan partitions."""
     return (
