@@ -24,6 +24,8 @@ from raregrain.session import freeze
 
 #: Largest sample grown in one task; the published method uses 256.
 MAX_TREE_ROWS = 100_000
+#: Largest forest shipped to the scoring tasks, in nodes of 36 bytes.
+MAX_FOREST_NODES = 5_000_000
 #: Extra rows drawn so that a tree seldom falls short of its sample size.
 _MARGIN = 1.2
 _NODES = "tree int, node int, feature int, split double, child int, depth double"
@@ -138,14 +140,18 @@ def fit_isolation_forest(
     """Grow a forest and set its threshold at the ``1 - contamination`` quantile of the scores.
 
     ``max_samples`` is a row count or a fraction of the rows. A sample is grown in
-    one task, so more than :data:`MAX_TREE_ROWS` rows per tree is refused. The
+    one task and the forest is broadcast, so samples beyond :data:`MAX_TREE_ROWS`
+    rows and forests beyond :data:`MAX_FOREST_NODES` nodes are refused. The
     quantile is taken with rank error ``contamination_error * contamination``.
     """
     total = df.count()
     size = max_samples if isinstance(max_samples, int) else math.ceil(max_samples * total)
     size = min(size, total)
-    if size > MAX_TREE_ROWS:
-        raise ValueError(f"{size} rows per tree; give max_samples as a count up to {MAX_TREE_ROWS}")
+    if size > MAX_TREE_ROWS or 2 * size * trees > MAX_FOREST_NODES:
+        raise ValueError(
+            f"{trees} trees of {size} rows; give max_samples as a count up to "
+            f"{min(MAX_TREE_ROWS, MAX_FOREST_NODES // (2 * trees))}"
+        )
     rows = df.select(key, as_array(df, features).alias("x"))
     samples = _tree_samples(df, key, rows, trees, size, total, seed).select(
         "tree", hash_key(F.concat_ws("/", F.col(key).cast("string"), F.col("tree").cast("string")), seed + 2).alias("o"), "x"
@@ -163,6 +169,9 @@ def fit_isolation_forest(
         nodes = pd.DataFrame(grow_tree(points, rng, chosen), columns=["node", "feature", "split", "child", "depth"])
         return nodes.assign(tree=tree)[["tree", "node", "feature", "split", "child", "depth"]]
 
+    # an explicit number keeps the planner from merging the small samples into one task
+    tasks = min(trees, 2 * df.sparkSession.sparkContext.defaultParallelism)
+    samples = samples.repartition(tasks, "tree")
     model = IsolationForestModel(freeze(samples.groupBy("tree").applyInPandas(grow, _NODES)), trees, size, features)
     accuracy = min(1_000_000, max(100, math.ceil(1 / (contamination_error * contamination))))
     cut = F.percentile_approx("outlier_score", F.lit(1 - contamination), F.lit(accuracy))
@@ -179,7 +188,10 @@ def calibrate(df: DataFrame, score: str, label: str = "y", method: str = "isoton
         return VectorAssembler(inputCols=["_s"], outputCol="_v").transform(signed)
 
     if method == "isotonic":
-        model = IsotonicRegression(featuresCol="_v", labelCol=label, predictionCol="_p").fit(prepared(df))
+        # one weighted point per distinct score gives the same fit from less data
+        points = df.groupBy(score).agg(F.avg(F.col(label).cast("double")).alias("_y"), F.count(F.lit(1)).cast("double").alias("_w"))
+        fit = IsotonicRegression(featuresCol="_v", labelCol="_y", weightCol="_w", predictionCol="_p")
+        model = fit.fit(prepared(points))
     elif method == "platt":
         model = LogisticRegression(featuresCol="_v", labelCol=label, probabilityCol="_q", predictionCol="_c", rawPredictionCol="_r").fit(prepared(df))
     else:

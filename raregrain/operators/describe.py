@@ -78,6 +78,8 @@ def describe_texts(
     small = _repeating(df, list(texts), lookup_rows, lookup_bytes) if repeated is None else list(repeated)
     if small:
         distinct = df.select(F.explode(F.array(*small)).alias("_text")).where("_text is not null").distinct()
+        # a fixed number of tasks: the texts are few bytes, but the function may be slow
+        distinct = distinct.repartition(df.sparkSession.sparkContext.defaultParallelism)
         lookup = freeze(distinct.withColumn("_record", describe("_text", fn, schema)))
     for col, prefix in texts.items():
         struct = f"_s_{prefix}"

@@ -2,7 +2,7 @@
 
 A plain ``row_number() over (partition by label order by hash)`` sends each label
 to one task, and with a rare label the other class is nearly the whole table.
-Three forms replace it:
+Four forms replace it:
 
 * :func:`hash_parts` — cuts every stratum at exact ranks *without shuffling rows*:
   a 65,536-bucket histogram of the hash finds the bucket of each cut, only the
@@ -10,6 +10,7 @@ Three forms replace it:
   with each row in a map-side join.
 * :func:`with_position` — exact 1-based position of every row in hash order:
   positions inside a histogram bucket plus the number of rows in earlier buckets.
+* :func:`with_sorted_position` — the same in the order of any columns.
 * :func:`running_sums` — running totals in the order of any columns: totals inside
   range slices plus the totals of earlier slices.
 
@@ -28,8 +29,10 @@ from raregrain.functions.hashing import HASH_BITS, hash_key
 from raregrain.session import attach_small, freeze
 
 BUCKET_BITS = 16
-#: A bucket above this many rows holds copies of one key and is salted.
+#: A bucket with this many rows, and eight times its even share, holds copies of
+#: one key and is salted.
 HOT_BUCKET_ROWS = 5_000_000
+HOT_BUCKET_SHARE = 8 / (1 << BUCKET_BITS)
 SALTS = 256
 
 
@@ -91,19 +94,26 @@ def hash_parts(
         .where(F.col("_rank") <= F.col("_cut.c"))
         .groupBy(*strata, F.col("_cut.j").alias("_j"))
         .agg(F.max(F.struct("_h", "_k")).alias("_last"))
-        .groupBy(*strata)
-        .agg(F.map_from_entries(F.collect_list(F.struct("_j", "_last"))).alias("_lasts"))
     )
-    if not strata:
-        found = found.withColumn("_one", F.lit(1))
-        df = df.withColumn("_one", F.lit(1))
-    on = strata or ["_one"]
-    # A stratum with no cut inside it (all cut ranks 0) has no row here: left join.
-    joined = attach_small(df.withColumn("_h", hash_key(key, seed)), freeze(found), on, "left")
+    hashed = df.withColumn("_h", hash_key(key, seed))
     row = F.struct(F.col("_h"), F.col(key).alias("_k"))
-    lasts = [F.try_element_at("_lasts", F.lit(j)) for j in range(n_cuts)]
-    part = sum((F.coalesce(row > last, F.lit(True)).cast("int") for last in lasts), F.lit(0))
-    return joined.withColumn(out, part).drop("_h", "_lasts", "_one")
+    if strata:
+        by_cut = F.map_from_entries(F.collect_list(F.struct("_j", "_last")))
+        lookup = freeze(found.groupBy(*strata).agg(by_cut.alias("_lasts")))
+        # A stratum with no cut inside it (all cut ranks 0) has no row here: left join.
+        hashed = attach_small(hashed, lookup, strata, "left")
+        lasts = [F.try_element_at("_lasts", F.lit(j)) for j in range(n_cuts)]
+    else:
+        # The few cut points of one stratum become constants instead of a join.
+        kind = df.schema[key].dataType
+        lasts: list[Column | None] = [None] * n_cuts
+        for cut in found.collect():
+            h, k = cut["_last"]
+            lasts[cut["_j"]] = F.struct(F.lit(h).cast("bigint").alias("_h"), F.lit(k).cast(kind).alias("_k"))
+    # below no cut point: in the part after it
+    above = [F.lit(True) if last is None else F.coalesce(row > last, F.lit(True)) for last in lasts]
+    part = sum((a.cast("int") for a in above), F.lit(0))
+    return hashed.withColumn(out, part).drop("_h", "_lasts")
 
 
 def with_position(
@@ -117,8 +127,8 @@ def with_position(
     """Exact 1-based position of every row of a stratum in ``(hash, key)`` order.
 
     One shuffle of the rows, on the hash bucket, so tasks are even whatever the
-    label distribution. Should one bucket exceed ``hot_rows`` the key is not
-    unique; the table is then frozen with a salt that splits such buckets, and
+    label distribution. Should a bucket stand out with more than ``hot_rows`` rows,
+    the key is not unique; the table is then frozen with a salt that splits such buckets, and
     copies of a key take positions in salt order.
     """
     strata = list(strata)
@@ -129,8 +139,10 @@ def with_position(
     keyed = df.withColumn("_h", hash_key(key, seed)).withColumn("_b", _bucket())
     cells = ["_b"]
     hist = freeze(histogram(keyed))
-    if (hist.agg(F.max("_n")).first()[0] or 0) > hot_rows:
-        hot = hist.where(F.col("_n") > hot_rows).select(*strata, "_b", F.lit(True).alias("_hot"))
+    even = F.col("_total") * HOT_BUCKET_SHARE
+    hot = _below(hist, strata, ["_b"]).where((F.col("_n") > hot_rows) & (F.col("_n") > even))
+    hot = hot.select(*strata, "_b", F.lit(True).alias("_hot"))
+    if not hot.isEmpty():
         salt = F.when(F.col("_hot"), F.pmod(F.monotonically_increasing_id(), F.lit(SALTS))).otherwise(F.lit(0))
         keyed = freeze(
             attach_small(keyed, hot, [*strata, "_b"], "left").withColumn("_salt", salt).drop("_hot")
@@ -144,6 +156,27 @@ def with_position(
     return placed.withColumn(out, position).drop("_h", "_b", "_salt", "_below")
 
 
+def with_sorted_position(df: DataFrame, order_by: Sequence[Column], out: str = "position") -> DataFrame:
+    """1-based position of every row in the order of ``order_by``, which must identify rows.
+
+    The table is range-partitioned, sorted inside the slices and frozen together
+    with a row number that holds slice and place in the slice; the rows of earlier
+    slices are then added. One shuffle of the rows.
+    """
+    place_bits = 33  # of monotonically_increasing_id
+    sliced = freeze(
+        df.repartitionByRange(*order_by).sortWithinPartitions(*order_by).withColumn("_m", F.monotonically_increasing_id())
+    ).withColumn("_slice", F.shiftright("_m", place_bits))
+    totals = sliced.groupBy("_slice").agg(F.count(F.lit(1)).alias("_n"))
+    offsets = _below(totals, [], ["_slice"]).select("_slice", "_below")
+    place = F.col("_m").bitwiseAND(F.lit((1 << place_bits) - 1))
+    return (
+        attach_small(sliced, offsets, ["_slice"])
+        .withColumn(out, (F.col("_below") + place + 1).cast("bigint"))
+        .drop("_m", "_slice", "_below")
+    )
+
+
 def running_sums(df: DataFrame, order_by: Sequence[Column], sums: Mapping[str, Column | str]) -> DataFrame:
     """Running totals in the order of ``order_by``, which must identify rows.
 

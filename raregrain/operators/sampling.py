@@ -11,7 +11,7 @@ from raregrain.functions.hashing import HASH_SPACE, hash_bucket, hash_fraction_b
 from raregrain.operators.ranking import hash_parts, with_position
 
 #: Up to here a top-k over sorted runs is cheaper than finding a cut point.
-TOP_K_ROWS = 100_000
+TOP_K_ROWS = 10_000
 
 
 def order_by_id(df: DataFrame, key: str = "id") -> DataFrame:

@@ -17,7 +17,22 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 200_000
 
 
-def build_session(app_name: str = "raregrain", master: str | None = None, **conf: object) -> SparkSession:
+#: Shuffled bytes one task should get.
+TASK_BYTES = 128 << 20
+
+
+def shuffle_partitions(shuffled_bytes: int) -> int:
+    """Shuffle partitions for the largest shuffle of a job.
+
+    The adaptive planner merges small partitions but never adds any, so the
+    number has to fit the largest shuffle: 100 TB needs about 800,000.
+    """
+    return max(200, -(-shuffled_bytes // TASK_BYTES))
+
+
+def build_session(
+    app_name: str = "raregrain", master: str | None = None, shuffled_bytes: int = 0, **conf: object
+) -> SparkSession:
     """Session with the settings that matter for these jobs; ``conf`` overrides any of them."""
     builder = SparkSession.builder.appName(app_name)
     if master:
@@ -28,6 +43,8 @@ def build_session(app_name: str = "raregrain", master: str | None = None, **conf
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
+        "spark.sql.shuffle.partitions": shuffle_partitions(shuffled_bytes),
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         "spark.sql.files.maxPartitionBytes": "128m",
         "spark.serializer": "org.apache.spark.serializer.KryoSerializer",
     }

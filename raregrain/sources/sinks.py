@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from raregrain.operators.ranking import running_sums
+from raregrain.operators.ranking import with_sorted_position
 
 
 def write_table(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
@@ -13,6 +13,11 @@ def write_table(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     df.write.mode(mode).option("compression", "snappy").parquet(path)
 
 
+def write_bucketed(df: DataFrame, table: str, key: str = "id", buckets: int = 200, mode: str = "overwrite") -> None:
+    """Catalog table bucketed and sorted by key, so that joins of such tables on it need no shuffle."""
+    df.write.mode(mode).bucketBy(buckets, key).sortBy(key).format("parquet").saveAsTable(table)
+
+
 def append_table(df: DataFrame, path: str) -> None:
     """Add rows to a table without touching what is there."""
     df.write.mode("append").option("compression", "snappy").parquet(path)
@@ -26,10 +31,10 @@ def with_chunk(df: DataFrame, order_by: str, rows_per_file: int = 1_000_000, out
     ``df`` should be a scan or a frozen table.
     """
     content = F.xxhash64(*[F.col(c) for c in df.columns])
-    total = df.withColumns({"_c": content, "_m": F.monotonically_increasing_id()})
-    placed = running_sums(total, [F.col(order_by), F.col("_c"), F.col("_m")], {"_pos": F.lit(1)})
+    total = df.withColumns({"_content": content, "_scan": F.monotonically_increasing_id()})
+    placed = with_sorted_position(total, [F.col(order_by), F.col("_content"), F.col("_scan")], "_pos")
     chunk = F.floor((F.col("_pos") - 1) / rows_per_file) + 1
-    return placed.withColumn(out, chunk.cast("int")).drop("_pos", "_c", "_m")
+    return placed.withColumn(out, chunk.cast("int")).drop("_pos", "_content", "_scan")
 
 
 def write_chunks(
