@@ -164,34 +164,93 @@ def sum_of(*cols: str | Column) -> Column:
     return reduce(lambda a, b: a + b, [_col(c) for c in cols])
 
 
-def text_profile(col: str | Column) -> Column:
-    """Struct of eight descriptors of one text, from built-in functions.
+PROFILE_SCHEMA = T.StructType(
+    [T.StructField(name, T.IntegerType()) for name in
+     ("n_chars", "n_upper", "n_lower", "n_digit", "n_open", "n_punct", "n_distinct")]
+    + [T.StructField("lower_share", T.DoubleType())]
+)
+
+#: Character classes of :func:`text_profile`; everything else is punctuation.
+_CLASSES = {
+    "n_upper": "ABCDEFGHIJKLMNOPQRSTUVWXYZ",
+    "n_lower": "abcdefghijklmnopqrstuvwxyz",
+    "n_digit": "0123456789",
+    "space": " \t\n\f\r",
+    "n_open": "([{",
+}
+_MATRIX_CELLS = 8_000_000
+
+
+def _profile(texts: pa.Array) -> dict[str, np.ndarray]:
+    """Profile columns of a text array from its (row, character) count matrix."""
+    points, lengths = code_points(texts)
+    alphabet = np.flatnonzero(np.bincount(points)) if points.size else np.empty(0, np.int64)
+    slots = np.zeros(int(alphabet[-1]) + 1 if alphabet.size else 1, dtype=np.int64)
+    slots[alphabet] = np.arange(alphabet.size)
+    codes = slots[points]
+    step = max(1, _MATRIX_CELLS // max(1, alphabet.size))
+    ends = np.concatenate([[0], np.cumsum(lengths)])
+    members = {name: np.isin(alphabet, [ord(c) for c in chars]) for name, chars in _CLASSES.items()}
+    parts: dict[str, list[np.ndarray]] = {name: [] for name in (*_CLASSES, "n_distinct")}
+    for start in range(0, len(texts), step):
+        stop = min(start + step, len(texts))
+        rows = np.repeat(np.arange(stop - start, dtype=np.int64) * alphabet.size, lengths[start:stop])
+        cells = np.bincount(rows + codes[ends[start] : ends[stop]], minlength=(stop - start) * alphabet.size)
+        matrix = cells.reshape(stop - start, alphabet.size)
+        for name, member in members.items():
+            parts[name].append(matrix[:, member].sum(1))
+        parts["n_distinct"].append((matrix > 0).sum(1))
+    columns = {name: np.concatenate(p) for name, p in parts.items()}
+    known = sum(columns[name] for name in ("n_upper", "n_lower", "n_digit", "space"))
+    letters = columns["n_upper"] + columns["n_lower"]
+    columns["n_chars"], columns["n_punct"] = lengths, lengths - known
+    columns["lower_share"] = columns["n_lower"] / np.maximum(letters, 1)
+    return columns
+
 
-    Punctuation is what is left after ASCII letters, digits and white space, by
-    subtraction: a negated character class costs ten times a plain one.
+def text_profile(col: str | Column) -> Column:
+    """Struct of eight descriptors of one text; null for a null text.
 
-    Computed through a lambda over a one-element array so that a derived text
-    (a concatenation, say) is evaluated once per row and not once per field.
+    Length, counts of ASCII upper and lower case letters and digits, of opening
+    brackets, of characters that are neither ASCII letter, digit nor white space,
+    of distinct characters, and the share of lower case among ASCII letters.
+    One read per text on Arrow batches, an order of magnitude faster than the
+    regular expressions of :func:`text_profile_expr`.
     """
 
-    def profile(text: Column) -> Column:
-        lower = F.regexp_count(text, F.lit("[a-z]"))
-        upper = F.regexp_count(text, F.lit("[A-Z]"))
-        digit = F.regexp_count(text, F.lit("[0-9]"))
-        space = F.regexp_count(text, F.lit("[\\t\\n\\f\\r ]"))
-        return F.struct(
-            F.length(text).alias("n_chars"),
-            upper.alias("n_upper"),
-            lower.alias("n_lower"),
-            digit.alias("n_digit"),
-            F.regexp_count(text, F.lit(r"[(\[{]")).alias("n_open"),
-            (F.length(text) - upper - lower - digit - space).alias("n_punct"),
-            F.when(text == "", 0).otherwise(F.size(F.array_distinct(F.split(text, "")))).alias("n_distinct"),
-            ratio_or_zero(lower, lower + upper).alias("lower_share"),
-        )
+    def run(texts: pa.Array) -> pa.Array:
+        pieces = [_profile(piece) for piece in text_slices(texts)]
+        fields = []
+        for field in PROFILE_SCHEMA.fields:
+            kind = pa.float64() if field.name == "lower_share" else pa.int32()
+            values = np.concatenate([p[field.name] for p in pieces]) if pieces else np.empty(0)
+            fields.append(pa.array(values.astype(kind.to_pandas_dtype())))
+        return pa.StructArray.from_arrays(fields, names=PROFILE_SCHEMA.fieldNames(), mask=texts.is_null())
 
+    return F.arrow_udf(run, PROFILE_SCHEMA)(_col(col))
+
+
+def text_profile_expr(col: str | Column) -> Column:
+    """:func:`text_profile` from built-in expressions only.
+
+    Punctuation is what other classes leave over: a negated character class costs
+    ten times a plain one.
+    """
     text = _col(col)
-    return F.when(text.isNotNull(), F.get(F.transform(F.array(text), profile), F.lit(0)))
+    lower, upper, digit, space = (
+        F.regexp_count(text, F.lit(f"[{chars}]")) for chars in ("a-z", "A-Z", "0-9", "\\t\\n\\f\\r ")
+    )
+    profile = F.struct(
+        F.length(text).alias("n_chars"),
+        upper.alias("n_upper"),
+        lower.alias("n_lower"),
+        digit.alias("n_digit"),
+        F.regexp_count(text, F.lit(r"[(\[{]")).alias("n_open"),
+        (F.length(text) - upper - lower - digit - space).alias("n_punct"),
+        F.when(text == "", 0).otherwise(F.size(F.array_distinct(F.split(text, "")))).alias("n_distinct"),
+        ratio_or_zero(lower, lower + upper).alias("lower_share"),
+    )
+    return F.when(text.isNotNull(), profile)
 
 
 _INT = r"^\s*[+-]?[0-9]+\s*$"

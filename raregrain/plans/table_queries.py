@@ -21,7 +21,7 @@ _CODE_SQL = "CASE category WHEN 'A' THEN 1 WHEN 'N' THEN 2 WHEN 'R' THEN 3 END"
 @query("category_encode", f"WITH {LABELLED_SQL} SELECT id, {_CODE_SQL} AS protein, CASE category WHEN 'A' THEN 10 END AS partial, coalesce(CASE category WHEN 'R' THEN 7.0::double END, -1) AS partial_nan FROM labelled")
 def _(spark, sf_dir):
     nan = cols.map_values("category", {"R": 7}, "nan")
-    return labelled(spark, sf_dir).select(
+    return labelled(spark, sf_dir, wide=True).select(
         "id",
         cols.map_values("category", CODES, "error").cast("int").alias("protein"),
         cols.map_values("category", {"A": 10}).alias("partial"),
@@ -34,7 +34,7 @@ def _(spark, sf_dir):
     f"WITH {LABELLED_SQL} SELECT id, CASE category WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS protein FROM labelled",
 )
 def _(spark, sf_dir):
-    rows = labelled(spark, sf_dir).withColumns(
+    rows = labelled(spark, sf_dir, wide=True).withColumns(
         {"p0": (F.col("category") == "A").cast("double"), "p1": (F.col("category") == "N").cast("double")}
     )
     return rows.select("id", cols.onehot_to_category("p0", "p1").alias("protein"))
@@ -77,7 +77,7 @@ def _(spark, sf_dir):
 
 @query("class_split_union", f"WITH {LABELLED_SQL} SELECT id, y, category FROM labelled WHERE y IN (0, 1)")
 def _(spark, sf_dir):
-    zero, one = filters.split_by_class(labelled(spark, sf_dir).select("id", "y", "category"))
+    zero, one = filters.split_by_class(labelled(spark, sf_dir, wide=True).select("id", "y", "category"))
     return joins.union_classes(one, zero)
 
 
@@ -121,13 +121,13 @@ def _weights_sql(factor: int) -> str:
 
 @query("class_weights_balanced", _weights_sql(2))
 def _(spark, sf_dir):
-    rows = stats.class_weights(labelled(spark, sf_dir).select("id", "y"))
+    rows = stats.class_weights(labelled(spark, sf_dir, wide=True).select("id", "y"))
     return rows.withColumn("sample_weights", F.round("sample_weights", 6))
 
 
 @query("class_weights_inverse", _weights_sql(1))
 def _(spark, sf_dir):
-    rows = stats.class_weights(labelled(spark, sf_dir).select("id", "y"), mode="inverse")
+    rows = stats.class_weights(labelled(spark, sf_dir, wide=True).select("id", "y"), mode="inverse")
     return rows.withColumn("sample_weights", F.round("sample_weights", 6))
 
 
@@ -156,7 +156,7 @@ def _(spark, sf_dir):
     f"WITH {COMPOUNDS_SQL} SELECT id, y, l_quantity, l_tax, cast(length(whole_text) as integer) AS n_chars, p_size FROM compounds",
 )
 def _(spark, sf_dir):
-    left = labelled(spark, sf_dir).select("id", "y", "l_quantity", "l_tax")
+    left = labelled(spark, sf_dir, wide=True).select("id", "y", "l_quantity", "l_tax")
     right = compounds(spark, sf_dir).select("id", "y", F.length("whole_text").alias("n_chars"), "p_size")
     return joins.join_features(left, right)
 
@@ -166,8 +166,8 @@ def _(spark, sf_dir):
     f"WITH {SCORED_SQL} SELECT l.id, CASE WHEN s.category <> 'A' THEN round(s.score, 6) END AS binds FROM labelled l JOIN scored s ON l.id = s.id",
 )
 def _(spark, sf_dir):
-    predictions = scored(spark, sf_dir).where("category <> 'A'").select("id", F.round("score", 6).alias("p"))
-    return joins.attach_predictions(labelled(spark, sf_dir).select("id"), predictions, value="p")
+    predictions = scored(spark, sf_dir, wide=True).where("category <> 'A'").select("id", F.round("score", 6).alias("p"))
+    return joins.attach_predictions(labelled(spark, sf_dir, wide=True).select("id"), predictions, value="p")
 
 
 @query(
@@ -175,7 +175,7 @@ def _(spark, sf_dir):
     f"WITH {LABELLED_SQL} SELECT id, y FROM labelled WHERE {hash_sql('id', 42)} >= 0.3 * 4294967296",
 )
 def _(spark, sf_dir):
-    rows = labelled(spark, sf_dir).select("id", "y")
+    rows = labelled(spark, sf_dir, wide=True).select("id", "y")
     return joins.exclude_keys(rows, sample_rows(rows, 0.3, 42, "id"))
 
 
@@ -185,7 +185,7 @@ _INDEX_SQL = f"""{LABELLED_SQL}, indexed AS (
 
 @query("string_index", f"WITH {_INDEX_SQL} SELECT id, category_i FROM labelled JOIN indexed USING (category)")
 def _(spark, sf_dir):
-    rows = labelled(spark, sf_dir).select("id", "category")
+    rows = labelled(spark, sf_dir, wide=True).select("id", "category")
     return encode.fit_index(rows, "category").transform(rows).select("id", "category_i")
 
 
@@ -194,7 +194,7 @@ def _(spark, sf_dir):
     f"WITH {_INDEX_SQL} SELECT id, cast(category_i = 0 as double) AS protein_0, cast(category_i = 1 as double) AS protein_1 FROM labelled JOIN indexed USING (category)",
 )
 def _(spark, sf_dir):
-    rows = labelled(spark, sf_dir).select("id", F.col("category").alias("protein_name"))
+    rows = labelled(spark, sf_dir, wide=True).select("id", F.col("category").alias("protein_name"))
     coded = encode.fit_encoders(rows).transform(rows)
     return encode.onehot_columns(coded, "protein_onehot", "protein").select("id", "protein_0", "protein_1")
 
@@ -204,7 +204,7 @@ def _(spark, sf_dir):
     f"WITH {LABELLED_SQL} SELECT id, [0.0::double, cast(category = 'A' as double), cast(category = 'N' as double)] AS slots FROM labelled",
 )
 def _(spark, sf_dir):
-    rows = labelled(spark, sf_dir).select("id", cols.map_values("category", CODES).cast("double").alias("protein"))
+    rows = labelled(spark, sf_dir, wide=True).select("id", cols.map_values("category", CODES).cast("double").alias("protein"))
     coded = encode.fit_onehot(rows, "protein").transform(rows)
     wide = encode.onehot_columns(coded, "protein_onehot", "p")
     return wide.select("id", F.array("p_0", "p_1", "p_2").alias("slots"))
@@ -217,7 +217,7 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     from pyspark.ml.functions import vector_to_array
 
-    rows = labelled(spark, sf_dir).withColumnRenamed("y", "binds")
+    rows = labelled(spark, sf_dir, wide=True).withColumnRenamed("y", "binds")
     made = encode.assemble(rows, ["l_quantity", "l_extendedprice", "l_discount", "l_tax"])
     return made.select("id", "binds", vector_to_array("vectors").alias("features"))
 

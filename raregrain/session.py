@@ -44,6 +44,9 @@ def build_session(
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.shuffle.partitions": shuffle_partitions(shuffled_bytes),
+        # HotSpot compiles no method above 8000 bytes of bytecode; a wide projection
+        # is faster outside whole-stage code than interpreted inside it
+        "spark.sql.codegen.hugeMethodLimit": 8000,
         "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         "spark.sql.files.maxPartitionBytes": "128m",
         "spark.serializer": "org.apache.spark.serializer.KryoSerializer",

@@ -88,8 +88,9 @@ def test_code_points(texts):
     assert "".join(map(chr, points.tolist())) == "".join(texts)
 
 
-def test_text_profile(edges):
-    for row in edges.select("t", tx.text_profile("t").alias("p")).collect():
+@pytest.mark.parametrize("form", [tx.text_profile, tx.text_profile_expr])
+def test_text_profile(edges, form):
+    for row in edges.select("t", form("t").alias("p")).collect():
         if row.t is None:
             assert row.p is None
             continue
@@ -101,6 +102,14 @@ def test_text_profile(edges):
         assert p.lower_share == (lower / (lower + upper) if lower + upper else 0)
 
 
+def test_profile_of_a_wide_alphabet(monkeypatch):
+    monkeypatch.setattr(tx, "_MATRIX_CELLS", 10)
+    texts = ["".join(chr(0x4E00 + 7 * i + j) for j in range(i)) + "aB" for i in range(6)]
+    columns = tx._profile(pa.array(texts, pa.large_string()))
+    assert columns["n_distinct"].tolist() == [len(set(t)) for t in texts]
+    assert columns["n_punct"].tolist() == [len(t) - 2 for t in texts]
+
+
 def test_coerce_number(spark):
     cases = {"12": (12, None, None), " -7 ": (-7, None, None), "1.5": (None, 1.5, None), "1e3": (None, 1000.0, None),
              "1d": (None, None, "1d"), "": (None, None, ""), "x": (None, None, "x"), "inf": (None, float("inf"), None),
