@@ -1,6 +1,6 @@
 """Clustering and classification with Spark ML, and batch scoring.
 
-Two kinds of models of the original workflow have no Spark ML twin and are mapped:
+Two kinds of models have no Spark ML twin and are mapped:
 external boosters (level-wise or leaf-wise) become gradient-boosted trees through
 :func:`booster_params`, and feed-forward networks become the multilayer perceptron
 (sigmoid hidden layers, softmax output, no dropout).

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from raregrain.operators.classifiers import evaluator
 
-#: The tree grid of the original workflow: three values for each of three parameters.
+#: Parameter name to the values it may take.
 Space = Mapping[str, Sequence[object]]
 
 
