@@ -137,16 +137,17 @@ def components(edges: DataFrame) -> DataFrame:
     """``node, root`` for every node of the undirected edges ``a, b``; root is the smallest node reachable.
 
     Alternating large-star and small-star steps: each is a minimum per node, joined back, so that
-    no task gathers the neighbours of a node. Every round is written to the shared folder; the
+    no task gathers the neighbours of a node; minima are stored, so that a node with many neighbours is
+    split where they are joined. Every round is written to the shared folder; the
     rounds end when a round changes nothing, which takes about the logarithm of the longest chain.
     """
     edges = store(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     state = _state(edges)
     while state[0]:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        least = store(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
         large = store(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "large")
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        least = store(large.groupBy("a").agg(F.min("b").alias("m")), "least")
         small = large.join(least, "a").select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b"))
         edges = store(small.where("a <> b").distinct(), "small")
         before, state = state, _state(edges)

@@ -295,7 +295,8 @@ def removed_runs(texts: DataFrame, window: int = WINDOW, gram: int = GRAM, group
         yield from _judge([r for r in rows if r[5] is not None], window)
 
     runs = texts.select("key", "text").mapInArrow(anchors, "h bigint, key bigint, start bigint, n int")
-    often = runs.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    # stored, so that the join below has an exchange on both sides and splits a frequent anchor
+    often = store(runs.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "often")
     parts = F.ceil(F.col("c") / group)
     salt = F.when(F.col("c") > group, F.pmod(F.xxhash64("key"), parts).cast("int")).otherwise(F.lit(-1))
     wanted = store(runs.join(often, "h").select("key", F.struct("start", "n", "h", salt.alias("salt")).alias("run")), "anchors")
