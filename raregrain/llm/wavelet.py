@@ -171,13 +171,17 @@ def write_token_shards(
             return pa.record_batch([pa.array([part], pa.int32()), pa.array([shard], pa.int32()), pa.array([n], pa.int64()), pa.array([data], pa.binary())], ["part", "shard", "n_tokens", "file"])
 
         for rows, offsets, ids in encoded(batches, tokenizer, end):
-            keys += rows.column("key").to_pylist()
-            lengths.append(np.diff(offsets))
-            pending.append(ids.astype(np.uint32))
-            n += len(ids)
-            if n >= shard_tokens:
-                yield flush()
-                shard, keys, lengths, pending, n = shard + 1, [], [], [], 0
+            own, first = rows.column("key").to_pylist(), 0
+            while first < len(own):
+                last = min(len(own), int(np.searchsorted(offsets, offsets[first] + max(1, shard_tokens - n))))
+                keys += own[first:last]
+                lengths.append(np.diff(offsets[first : last + 1]))
+                pending.append(ids[offsets[first] : offsets[last]])
+                n += int(offsets[last] - offsets[first])
+                first = last
+                if n >= shard_tokens:
+                    yield flush()
+                    shard, keys, lengths, pending, n = shard + 1, [], [], [], 0
         if keys:
             yield flush()
 
