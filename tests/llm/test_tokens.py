@@ -108,7 +108,7 @@ def test_token_files(spark, library):
         want.append((at, i, len(ids), zlib.crc32(ids)))
         at += len(ids)
     assert got == want
-    assert spark.read.parquet(path).count() > 3
+    assert spark.read.parquet(path).count() >= 3
 
 
 def test_fit_counts_is_exact():
