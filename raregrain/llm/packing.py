@@ -5,9 +5,8 @@ dealt at random, seeded by their row, to shards of about ``SHARD_PIECES``; every
 longest first, with the sum-of-squares rule: of the open bins with room, one per residual gap, take the one
 after which the sum over gaps of the squared number of open bins is smallest. A new bin is opened only if
 none has room: with a new bin among the choices the rule needs 2 % more sequences here. A random shard has
-the length mix of the whole table, so that what it leaves open is a few bins, whatever the table's size; the
-open bins' contents (moved as a whole) are packed once more over fewer shards, until one shard is left or
-nothing is gained.
+the length mix of the whole table, and as a bin is opened only when none has room, it leaves one bin at most
+that is half empty; these are packed as a whole over fewer shards, until one shard is left.
 """
 
 from __future__ import annotations
@@ -99,22 +98,24 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, shard_pieces: int = SHARD_
     pieces = store(pieces.withColumn("item", F.monotonically_increasing_id()), "pieces")
     full = pieces.where(F.col("length") >= capacity).select("*", (-1 - F.col("item")).alias("sequence_id"), F.lit(0).cast("bigint").alias("offset"))
     loose = pieces.where(F.col("length") < capacity)
-    count, level = loose.count(), 0
-    placed = store(_pack(loose.select("item", "length"), max(1, -(-count // shard_pieces)), 0, capacity), "level")
-    while True:
-        # what a shard left open is moved as a whole: a bin becomes an item
-        left = placed.where(F.col("filled") < capacity).groupBy("bin").agg(F.max("filled").alias("length"))
-        shards, open_bins = max(1, -(-count // shard_pieces)), left.count()
-        if shards == 1 or open_bins >= count:
-            break
-        count, level = open_bins, level + 1
-        moved = _pack(left.withColumnRenamed("bin", "item"), max(1, -(-count // shard_pieces)), level, capacity)
-        moved = moved.select(F.col("item").alias("bin"), F.col("bin").alias("to"), F.col("place").alias("by"), F.col("filled").alias("whole"))
-        placed = store(
-            placed.join(moved, "bin", "left").select(
-                "item", F.coalesce("to", "bin").alias("bin"), (F.col("place") + F.coalesce("by", F.lit(0))).alias("place"),
-                F.coalesce("whole", "filled").alias("filled"),
-            ), "level",
+    shards, level = max(1, -(-loose.count() // shard_pieces)), 0
+    placed = store(_pack(loose.select("item", "length"), shards, level, capacity), "level")
+    # where bins that are moved go: a bin, at most one per shard, becomes an item of the next level
+    last, moves = placed, None
+    while shards > 1:
+        left = last.where(F.col("filled") * 2 <= capacity).groupBy("bin").agg(F.max("filled").alias("length"))
+        shards, level = max(1, -(-left.count() // shard_pieces)), level + 1
+        last = store(_pack(left.withColumnRenamed("bin", "item"), shards, level, capacity), "level")
+        step = last.select(F.col("item").alias("bin"), F.col("bin").alias("to"), F.col("place").alias("by"))
+        if moves is not None:
+            further = step.select(F.col("bin").alias("to"), F.col("to").alias("on"), F.col("by").alias("more"))
+            joined = moves.join(further, "to", "left")
+            moves = joined.select("bin", F.coalesce("on", "to").alias("to"), (F.col("by") + F.coalesce("more", F.lit(0))).alias("by"))
+        else:
+            moves = step
+    if moves is not None:
+        placed = placed.join(moves, "bin", "left").select(
+            "item", F.coalesce("to", "bin").alias("bin"), (F.col("place") + F.coalesce("by", F.lit(0))).alias("place")
         )
     placed = placed.select("item", F.col("bin").alias("sequence_id"), F.col("place").alias("offset"))
     return full.unionByName(loose.join(placed, "item")).drop("item")
