@@ -129,7 +129,7 @@ def test_fit_counts_is_exact():
 def test_mix(spark):
     rnd = random.Random(9)
     rows = [(i, " ".join(["w"] * rnd.choice([0, 1, 2, 3, 50, 200])), rnd.choice(["a", "b", "b", "b", "é", None])) for i in range(3000)]
-    rows += [(5000 + i, "same text here", "b") for i in range(4000)] + [(None, None, "b"), (7, "x y z", "c"), (7, "x y z", "c")]
+    rows += [(5000 + i, "same text here", "b") for i in range(4000)] + [(None, None, "b"), (9001, "one two three", "c"), (9001, "one two three", "c")]
     frame = docs_of(spark, rows)
     got = mix(frame).collect()
     assert len(got) == len(rows)
