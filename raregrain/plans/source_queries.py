@@ -57,10 +57,8 @@ _EVENT_CHUNKS = f"""chunks AS (SELECT c AS chunk_no, count(*) AS n_rows, count(*
  round((total - used) * 100.0 / total, 2) AS remaining_pct FROM running""",
 )
 def _(spark, sf_dir):
-    # numbered in the order of the numeric chunk_no folder, which file names alone do not keep
     files = chunks.list_chunks(spark, _event_chunks(spark, sf_dir))
-    folder = F.regexp_extract("file", r"chunk_no=(\d+)", 1).cast("int")
-    return stats.chunk_progress(files.select(folder.alias("chunk_no"), "n_rows"))
+    return stats.chunk_progress(files.select("chunk_no", "n_rows"))
 
 
 @query(

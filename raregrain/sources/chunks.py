@@ -9,8 +9,9 @@ from raregrain.operators.ranking import running_sums
 
 
 def number_chunks(files: DataFrame) -> DataFrame:
-    """Add the 1-based ``chunk_no`` in lexicographic order of ``file``."""
-    return running_sums(files, [F.col("file")], {"_no": F.lit(1)}).select(
+    """Add the 1-based ``chunk_no``: by the number of a ``chunk_no=<n>`` folder where there is one, then by ``file``."""
+    folder = F.regexp_extract("file", r"chunk_no=(\d+)", 1).try_cast("bigint")
+    return running_sums(files, [folder, F.col("file")], {"_no": F.lit(1)}).select(
         F.col("_no").cast("int").alias("chunk_no"), "file", "n_rows"
     )
 

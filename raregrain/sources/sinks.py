@@ -86,5 +86,14 @@ def write_pred_chunks(df: DataFrame, path: str, mode: str = "overwrite") -> None
 
 
 def load_pred_chunks(spark: SparkSession, path: str) -> DataFrame:
-    """All stored prediction chunks; unreadable files are skipped."""
-    return spark.read.option("ignoreCorruptFiles", True).parquet(path)
+    """All stored prediction chunks; an unreadable file is an error."""
+    return spark.read.parquet(path)
+
+
+def load_readable_pred_chunks(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Rows of the chunks that can be read, and the ``file`` of every one that gave no row."""
+    rows = spark.read.option("ignoreCorruptFiles", True).parquet(path)
+    slashes = (r"^file:/+", "file:/")
+    read = rows.select(F.regexp_replace("_metadata.file_path", *slashes).alias("file")).distinct()
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", True).load(path)
+    return rows, files.select(F.regexp_replace("path", *slashes).alias("file")).join(read, "file", "left_anti")

@@ -95,7 +95,7 @@ def test_prediction_chunks(spark, path):
     assert sinks.load_pred_chunks(spark, path("p")).count() == 9
     with open(f"{path('p')}/chunk_no=1/broken.parquet", "wb") as f:
         f.write(b"not parquet at all")
-    assert sinks.load_pred_chunks(spark, path("p")).count() == 9
+    assert sinks.load_readable_pred_chunks(spark, path("p"))[0].count() == 9
 
 
 def _vectors(spark, n, start=0):
@@ -177,3 +177,22 @@ def test_checkpoint_folder_comes_from_the_session(spark, monkeypatch):
     from raregrain import session
 
     assert session.checkpoint_root(spark) == spark.sparkContext.getCheckpointDir()
+
+
+def test_chunks_are_numbered_by_their_folder(spark, tmp_path):
+    df = spark.range(1200).withColumn("chunk_no", (F.col("id") / 100).cast("int") + 1)
+    df.repartition(4, "chunk_no").write.partitionBy("chunk_no").parquet(str(tmp_path / "c"))
+    listed = {r.chunk_no: r.file for r in chunks.list_chunks(spark, str(tmp_path / "c")).collect()}
+    assert all(f"chunk_no={n}/" in listed[n] for n in range(1, 13))
+
+
+def test_damaged_prediction_chunks(spark, tmp_path):
+    path = tmp_path / "p"
+    spark.range(100).withColumn("chunk_no", (F.col("id") / 25).cast("int")).write.partitionBy("chunk_no").parquet(str(path))
+    bad = next((path / "chunk_no=2").glob("*.parquet"))
+    bad.write_bytes(b"damaged")
+    (bad.parent / f".{bad.name}.crc").unlink(missing_ok=True)
+    with pytest.raises(Exception):
+        sinks.load_pred_chunks(spark, str(path)).count()
+    rows, skipped = sinks.load_readable_pred_chunks(spark, str(path))
+    assert rows.count() < 100 and [r.file.rsplit("/", 1)[1] for r in skipped.collect()] == [bad.name]
