@@ -15,10 +15,9 @@ import pandas as pd
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from raregrain.functions.hashing import hash_fraction_below, hash_key
 from raregrain.functions.vectors import as_array, class1_probability
 from raregrain.session import freeze
 
@@ -26,6 +25,7 @@ from raregrain.session import freeze
 MAX_TREE_ROWS = 100_000
 #: Largest forest shipped to the scoring tasks, in nodes of 36 bytes.
 MAX_FOREST_NODES = 5_000_000
+_NODES = 5_000_000
 #: Extra rows drawn so that a tree seldom falls short of its sample size.
 _MARGIN = 1.2
 _NODES = "tree int, node int, feature int, split double, child int, depth double"
@@ -66,20 +66,30 @@ def grow_tree(points: np.ndarray, rng: np.random.Generator, features: np.ndarray
     return nodes
 
 
-def _tree_samples(df: DataFrame, key: str, rows: DataFrame, trees: int, size: int, total: int, seed: int) -> DataFrame:
-    """``tree, order, x``: about 1.2 times ``size`` rows per tree, without replacement.
+def _tree_samples(rows: DataFrame, trees: int, size: int, total: int, seed: int) -> DataFrame:
+    """``tree, x``: exactly ``size`` rows per tree without replacement, trees independent of each other.
 
-    If all samples together are fewer than the rows, a row serves at most one
-    tree and is drawn with one hash. Otherwise the table is small (fewer than
-    trees x size rows) and every row is tried for every tree.
+    Every row has a draw per tree, a hash of key, content and tree, and a tree takes the
+    rows with the smallest draws. Only draws below a bound that a full sample
+    nearly always stays under are kept; should a tree fall short, the bound is doubled, which
+    changes no sample.
     """
-    rate = min(1.0, _MARGIN * size / total)
-    if trees * rate <= 1.0:
-        tree = F.floor(hash_key(key, seed + 1) * trees / F.lit(float(1 << 32))).cast("int")
-        return rows.where(hash_fraction_below(key, seed, trees * rate)).withColumn("tree", tree)
-    tried = rows.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-    draw = F.concat_ws("/", F.col(key).cast("string"), F.col("tree").cast("string"))
-    return tried.where(hash_fraction_below(draw, seed, rate))
+    rate = min(1.0, (size + 6 * math.sqrt(size) + 10) / total)
+    based = rows.withColumn("_base", F.xxhash64("key", "x", F.lit(seed + 1)))
+    numbers = F.sequence(F.lit(0), F.lit(trees - 1))
+    while True:
+        draws = F.filter(F.transform(numbers, lambda t: F.struct(t.alias("tree"), _draw(t).alias("o"))), lambda d: d["o"] < F.lit(rate))
+        tried = based.select("x", F.explode(draws).alias("d")).select("d.tree", "d.o", "x")
+        first = Window.partitionBy("tree").orderBy("o", F.xxhash64("x"))
+        samples = freeze(tried.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= size).drop("_n"))
+        if rate >= 1 or samples.count() == trees * size:
+            return samples
+        rate = min(1.0, 2 * rate)
+
+
+def _draw(tree: Column) -> Column:
+    """Number from 0 to 1 of a row for a tree."""
+    return F.shiftrightunsigned(F.xxhash64(F.col("_base"), tree), 11) / F.lit(float(1 << 53))
 
 
 @dataclass
@@ -130,7 +140,7 @@ def fit_isolation_forest(
     features: str = "vectors",
     key: str = "id",
     trees: int = 100,
-    max_samples: int | float = 256,
+    max_samples: int = 256,
     max_features: float = 1.0,
     bootstrap: bool = False,
     contamination: float = 0.1,
@@ -139,28 +149,26 @@ def fit_isolation_forest(
 ) -> IsolationForestModel:
     """Grow a forest and set its threshold at the ``1 - contamination`` quantile of the scores.
 
-    ``max_samples`` is a row count or a fraction of the rows. A sample is grown in
-    one task and the forest is broadcast, so samples beyond :data:`MAX_TREE_ROWS`
-    rows and forests beyond :data:`MAX_FOREST_NODES` nodes are refused. The
+    ``max_samples`` is the number of rows per tree, whatever the size of the table (all rows,
+    if it has fewer). A sample is grown in one task and the forest is broadcast, so settings beyond
+    :data:`MAX_TREE_ROWS` rows or :data:`MAX_FOREST_NODES` nodes are refused. The
     quantile is taken with rank error ``contamination_error * contamination``.
     """
+    if not isinstance(max_samples, int) or max_samples < 1:
+        raise ValueError("max_samples is a number of rows")
+    if max_samples > MAX_TREE_ROWS or 2 * max_samples * trees > MAX_FOREST_NODES:
+        raise ValueError(f"max_samples is at most {min(MAX_TREE_ROWS, MAX_FOREST_NODES // (2 * trees))} with {trees} trees")
     total = df.count()
-    size = max_samples if isinstance(max_samples, int) else math.ceil(max_samples * total)
-    size = min(size, total)
-    if size > MAX_TREE_ROWS or 2 * size * trees > MAX_FOREST_NODES:
-        raise ValueError(
-            f"{trees} trees of {size} rows; give max_samples as a count up to "
-            f"{min(MAX_TREE_ROWS, MAX_FOREST_NODES // (2 * trees))}"
-        )
-    rows = df.select(key, as_array(df, features).alias("x"))
-    samples = _tree_samples(df, key, rows, trees, size, total, seed).select(
-        "tree", hash_key(F.concat_ws("/", F.col(key).cast("string"), F.col("tree").cast("string")), seed + 2).alias("o"), "x"
-    )
+    if not total:
+        raise ValueError("no rows to grow trees from")
+    size = min(max_samples, total)
+    rows = df.select(F.col(key).alias("key"), as_array(df, features).alias("x"))
+    samples = _tree_samples(rows, trees, size, total, seed)
 
     def grow(group: pd.DataFrame) -> pd.DataFrame:
         tree = int(group.tree.iloc[0])
         rng = np.random.default_rng([seed, tree])
-        group = group.sort_values("o").head(size)
+        group = group.sort_values("o", kind="stable")
         points = np.stack(group.x.to_numpy())
         if bootstrap:
             points = points[rng.integers(0, len(points), len(points))]

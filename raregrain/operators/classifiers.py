@@ -8,6 +8,7 @@ external boosters (level-wise or leaf-wise) become gradient-boosted trees throug
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.ml import Model
@@ -67,10 +68,11 @@ def fit_gbt(df: DataFrame, label: str = "binds", features: str = "vectors", weig
     return gbt(label, features, weight, **params).fit(df)
 
 
-def booster_params(params: Mapping[str, object]) -> dict[str, object]:
+def booster_params(params: Mapping[str, object], ignore: Sequence[str] = ()) -> dict[str, object]:
     """Booster parameters expressed as gradient-boosted-tree parameters.
 
-    Penalties and column sampling have no counterpart and are left out.
+    A parameter without a counterpart (penalties, column sampling, typing errors) is an error unless
+    ``ignore`` names it. ``scale_pos_weight`` is a row weight, see :func:`fit_booster`.
     """
     names = {
         "eta": "stepSize",
@@ -81,16 +83,29 @@ def booster_params(params: Mapping[str, object]) -> dict[str, object]:
         "subsample": "subsamplingRate",
         "gamma": "minInfoGain",
         "seed": "seed",
+        "min_child_weight": "minInstancesPerNode",
     }
+    unknown = sorted(set(params) - set(names) - {"scale_pos_weight"} - set(ignore))
+    if unknown:
+        raise ValueError(f"no counterpart for {unknown}; name them in ignore to leave them out")
     mapped = {names[k]: v for k, v in params.items() if k in names}
+    if "minInstancesPerNode" in mapped:
+        mapped["minInstancesPerNode"] = max(1, math.ceil(mapped["minInstancesPerNode"]))
     if int(mapped.get("maxDepth", 0)) > 30:
         raise ValueError("trees are at most 30 levels deep")
     return mapped
 
 
-def fit_booster(df: DataFrame, params: Mapping[str, object], label: str = "binds", features: str = "vectors", weight: str | None = None) -> Model:
-    """Boosted trees from booster parameters."""
-    return fit_gbt(df, label, features, weight, **booster_params(params))
+def fit_booster(
+    df: DataFrame, params: Mapping[str, object], label: str = "binds", features: str = "vectors", weight: str | None = None, ignore: Sequence[str] = ()
+) -> Model:
+    """Boosted trees from booster parameters; ``scale_pos_weight`` multiplies the weight of class 1."""
+    mapped = booster_params(params, ignore)
+    scale = float(params.get("scale_pos_weight", 1.0))
+    if scale != 1.0:
+        own = F.lit(1.0) if weight is None else F.col(weight)
+        df, weight = df.withColumn("_weight", F.when(F.col(label) == 1, own * scale).otherwise(own)), "_weight"
+    return fit_gbt(df, label, features, weight, **mapped)
 
 
 def fit_unbalanced_booster(df: DataFrame, label: str = "binds", features: str = "vectors", **params: object) -> Model:
@@ -146,12 +161,13 @@ def fit_mlp(
     return MultilayerPerceptronClassifier(labelCol=label, featuresCol=features, **settings).fit(df)
 
 
-def predict(df: DataFrame, model: Model, key: str = "id", keep: Sequence[str] = ()) -> DataFrame:
-    """``key, prediction, p1`` (and kept columns) ordered by key."""
+def predict(df: DataFrame, model: Model, key: str = "id", keep: Sequence[str] = (), ordered: bool = True) -> DataFrame:
+    """``key, prediction, p1`` (and kept columns), by key if ``ordered``; an aggregate needs no order."""
     scored = model.transform(df)
-    return scored.select(
+    rows = scored.select(
         key, *keep, F.col("prediction").cast("double").alias("prediction"), class1_probability(scored).alias("p1")
-    ).orderBy(key)
+    )
+    return rows.orderBy(key) if ordered else rows
 
 
 def save_model(model: Model, path: str) -> None:

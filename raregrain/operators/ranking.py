@@ -29,11 +29,8 @@ from raregrain.functions.hashing import HASH_BITS, hash_key
 from raregrain.session import attach_small, freeze
 
 BUCKET_BITS = 16
-#: A bucket with this many rows, and eight times its even share, holds copies of
-#: one key and is salted.
+#: Rows of a bucket that one task sorts; larger buckets are cut into range slices.
 HOT_BUCKET_ROWS = 5_000_000
-HOT_BUCKET_SHARE = 8 / (1 << BUCKET_BITS)
-SALTS = 256
 
 
 def _bucket(hashed: str = "_h") -> Column:
@@ -124,36 +121,35 @@ def with_position(
     out: str = "position",
     hot_rows: int = HOT_BUCKET_ROWS,
 ) -> DataFrame:
-    """Exact 1-based position of every row of a stratum in ``(hash, key)`` order.
+    """Exact 1-based position of every row of a stratum in ``(hash, key, content)`` order.
 
     One shuffle of the rows, on the hash bucket, so tasks are even whatever the
-    label distribution. Should a bucket stand out with more than ``hot_rows`` rows,
-    the key is not unique; the table is then frozen with a salt that splits such buckets, and
-    copies of a key take positions in salt order.
+    label distribution. Rows of a bucket with more than ``hot_rows`` rows (copies
+    of a key, or a very large table) are placed by range slices instead, in the
+    same order; only the plan depends on ``hot_rows``. Identical rows take their
+    positions in any order.
     """
     strata = list(strata)
-
-    def histogram(table: DataFrame, *more: str) -> DataFrame:
-        return table.groupBy(*strata, "_b", *more).agg(F.count(F.lit(1)).alias("_n"))
-
-    keyed = df.withColumn("_h", hash_key(key, seed)).withColumn("_b", _bucket())
-    cells = ["_b"]
-    hist = freeze(histogram(keyed))
-    even = F.col("_total") * HOT_BUCKET_SHARE
-    hot = _below(hist, strata, ["_b"]).where((F.col("_n") > hot_rows) & (F.col("_n") > even))
-    hot = hot.select(*strata, "_b", F.lit(True).alias("_hot"))
+    cell = [*strata, "_b"]
+    content = F.xxhash64(*[F.col(c) for c in df.columns])
+    keyed = df.withColumns({"_h": hash_key(key, seed), "_content": content}).withColumn("_b", _bucket())
+    hist = freeze(keyed.groupBy(*cell).agg(F.count(F.lit(1)).alias("_n")))
+    offsets = _below(hist, strata, ["_b"]).drop("_total")
+    inside = Window.partitionBy(*cell).orderBy("_h", key, "_content")
+    even = attach_small(keyed, offsets.where(F.col("_n") <= hot_rows).drop("_n"), cell)
+    placed = even.withColumn(out, (F.col("_below") + F.row_number().over(inside)).cast("bigint"))
+    hot = offsets.where(F.col("_n") > hot_rows)
     if not hot.isEmpty():
-        salt = F.when(F.col("_hot"), F.pmod(F.monotonically_increasing_id(), F.lit(SALTS))).otherwise(F.lit(0))
-        keyed = freeze(
-            attach_small(keyed, hot, [*strata, "_b"], "left").withColumn("_salt", salt).drop("_hot")
-        )
-        cells = ["_b", "_salt"]
-        hist = freeze(histogram(keyed, "_salt"))
-    offsets = _below(hist, strata, cells).select(*strata, *cells, "_below")
-    placed = attach_small(keyed, offsets, [*strata, *cells])
-    inside = Window.partitionBy(*strata, *cells).orderBy("_h", key)
-    position = (F.col("_below") + F.row_number().over(inside)).cast("bigint")
-    return placed.withColumn(out, position).drop("_h", "_b", "_salt", "_below")
+        # how far the position in the stratum is ahead of that among all hot rows
+        earlier = Window.orderBy(*cell)
+        ahead = F.col("_below") - (F.sum("_n").over(earlier) - F.col("_n"))
+        hot = freeze(hot.select(*cell, ahead.alias("_ahead")))
+        rows = attach_small(keyed, hot, cell).withColumn("_scan", F.monotonically_increasing_id())
+        order = [F.col(c) for c in (*cell, "_h", key, "_content", "_scan")]
+        sliced = with_sorted_position(rows, order, "_pos")
+        position = (F.col("_pos") + F.col("_ahead")).cast("bigint")
+        placed = placed.select(*df.columns, out).unionByName(sliced.withColumn(out, position).select(*df.columns, out))
+    return placed.select(*df.columns, out)
 
 
 def with_sorted_position(df: DataFrame, order_by: Sequence[Column], out: str = "position") -> DataFrame:

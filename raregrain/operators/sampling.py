@@ -44,14 +44,22 @@ def sample_rows(df: DataFrame, fraction: float, seed: int = 42, key: str | None
 
 
 def sample_n(df: DataFrame, n: int, key: str = "id", seed: int = 42, top_k_rows: int = TOP_K_ROWS) -> DataFrame:
-    """Exactly ``n`` rows, those smallest in hash order.
+    """Exactly ``n`` rows (all, if fewer), those smallest in the order of hash, key and content.
 
     A small sample is a top-k. A large one would funnel all its rows through one
-    task, so it is cut off at the exact n-th key instead.
+    task, so it is cut off at the exact n-th key instead, and of the copies of that
+    key only as many are kept as are wanting. Both forms give the same rows.
     """
     if n <= top_k_rows:
-        return shuffle_rows(df, key, seed).limit(n)
-    return hash_parts(df, key, seed, lambda total: [F.least(total, F.lit(n))], out="_part").where("_part = 0").drop("_part")
+        return df.orderBy(hash_key(key, seed), key, F.xxhash64(*[F.col(c) for c in df.columns])).limit(n)
+    kept = hash_parts(df, key, seed, lambda total: [F.least(total, F.lit(n))], out="_part").where("_part = 0").drop("_part")
+    total, last = kept.agg(F.count(F.lit(1)), F.max(F.struct(hash_key(key, seed).alias("h"), F.col(key).alias("k")))).first()
+    if total <= n:
+        return kept
+    is_last = F.col(key).eqNullSafe(F.lit(last["k"]).cast(df.schema[key].dataType))
+    before = kept.where(~is_last)
+    copies = with_position(kept.where(is_last), key, seed, out="_pos").where(F.col("_pos") <= n - before.count())
+    return before.unionByName(copies.drop("_pos"))
 
 
 def sample_by_class(
@@ -142,6 +150,6 @@ def with_minibatch(df: DataFrame, size: int = 1024, key: str = "id", seed: int =
 
 def minibatch_stats(df: DataFrame, label: str = "y", size: int = 1024, key: str = "id", seed: int = 42) -> DataFrame:
     """Rows and positives of every mini-batch."""
-    return with_minibatch(df, size, key, seed).groupBy("batch_id").agg(
+    return with_minibatch(df.select(key, label), size, key, seed).groupBy("batch_id").agg(
         F.count(F.lit(1)).alias("n_rows"), F.sum(F.col(label).cast("bigint")).alias("n_positive")
     )

@@ -53,7 +53,7 @@ def _(spark, sf_dir):
 @query("booster")
 def _(spark, sf_dir):
     params = {"eta": 0.1, "max_depth": 3, "num_boost_round": 5, "subsample": 1.0, "gamma": 0, "lambda": 5, "seed": 42}
-    return _tested(spark, sf_dir, lambda df: classifiers.fit_booster(df, params))
+    return _tested(spark, sf_dir, lambda df: classifiers.fit_booster(df, params, ignore=["lambda"]))
 
 
 @query("unbalanced_booster")
@@ -123,7 +123,7 @@ def _(spark, sf_dir):
 @query("isolation_forest_bootstrap")
 def _(spark, sf_dir):
     rows = vectors(spark, sf_dir)
-    model = anomaly.fit_isolation_forest(rows, trees=50, max_samples=0.5, max_features=0.7, bootstrap=True, contamination=0.1)
+    model = anomaly.fit_isolation_forest(rows, trees=50, max_samples=256, max_features=0.7, bootstrap=True, contamination=0.1)
     return evaluate.prediction_counts(model.transform(rows))
 
 
@@ -143,13 +143,13 @@ def _vector_chunks(spark: SparkSession, sf_dir: str):
     path = scratch(spark, "vectors")
     rows = vectors(spark, sf_dir)
     write_chunks(rows, path, 200)
-    return incremental.read_chunks(spark, path, rows.schema)
+    return spark, path, rows.schema
 
 
 @query("stream_incremental_fit")
 def _(spark, sf_dir):
     root = scratch(spark, "incremental")
-    incremental.train_incremental(_vector_chunks(spark, sf_dir), root, [64, 16, 2], max_iter=20)
+    incremental.train_incremental(*_vector_chunks(spark, sf_dir), root, [64, 16, 2], max_iter=20)
     return spark.read.parquet(f"{root}/log")
 
 
@@ -157,7 +157,8 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     rows, out = vectors(spark, sf_dir), scratch(spark, "scores")
     model = classifiers.fit_logistic(rows, maxIter=30)
-    incremental.score_incremental(model, _vector_chunks(spark, sf_dir), f"{out}/rows", f"{out}/progress", label="binds")
+    stream = incremental.read_chunks(*_vector_chunks(spark, sf_dir))
+    incremental.score_incremental(model, stream, f"{out}/rows", f"{out}/progress", label="binds")
     return load_pred_chunks(spark, f"{out}/rows").select("id", "binds", "prediction", F.round("p1", 6).alias("p1"))
 
 
@@ -166,6 +167,9 @@ def _(spark, sf_dir):
     from pyspark.ml.classification import GBTClassificationModel
 
     root = scratch(spark, "ensemble")
-    paths = incremental.train_ensemble(_vector_chunks(spark, sf_dir), root, lambda df: classifiers.fit_gbt(df, maxIter=3, maxDepth=3))
+    def fit(df):
+        return classifiers.fit_gbt(df, weight="sample_weights", maxIter=3, maxDepth=3)
+
+    paths = incremental.train_ensemble(*_vector_chunks(spark, sf_dir), root, fit, label="binds")
     models = [GBTClassificationModel.load(p) for p in paths]
     return evaluate.confusion(incremental.score_ensemble(vectors(spark, sf_dir), models, keep=["binds"]), "binds")

@@ -63,14 +63,14 @@ def _(spark, sf_dir):
 
 @query(
     "stream_chunk_counts",
-    f"WITH {_EVENT_CHUNKS} SELECT n_rows, n_positive FROM chunks",
+    f"WITH {_EVENT_CHUNKS} SELECT cast(chunk_no as integer) AS chunk_no, n_rows, n_positive FROM chunks",
 )
 def _(spark, sf_dir):
     path, out = _event_chunks(spark, sf_dir), scratch(spark, "stream")
     events = table(spark, sf_dir, "events")
     stream = read_chunks(spark, path, events.schema).withColumn("y", (F.col("event_type") == "error").cast("int"))
     count_chunks(stream, f"{out}/counts", f"{out}/progress")
-    return spark.read.parquet(f"{out}/counts").select("n_rows", "n_positive")
+    return spark.read.parquet(f"{out}/counts").select("chunk_no", "n_rows", "n_positive")
 
 
 @query("csv_roundtrip", f"WITH {SCORED_SQL} SELECT id, round(score, 6) AS binds FROM scored")

@@ -49,7 +49,7 @@ def _(spark, sf_dir):
     train, encoder = token_vectors(rows.where("is_train = 1"), arrays)
     test, _encoder = token_vectors(rows.where("is_train = 0"), arrays, encoder)
     model = classifiers.fit_logistic(train, "y", maxIter=20)
-    return _quality(freeze(classifiers.predict(test, model, keep=["y"])))
+    return _quality(freeze(classifiers.predict(test, model, keep=["y"], ordered=False)))
 
 
 @query("descriptor_path_quality")
@@ -60,7 +60,7 @@ def _(spark, sf_dir):
     names = descriptor_names(OUTPUTS, list(letters("Ab")))
     ready = stats.class_weights(freeze(joined_vectors(described, tokens, names)), "y")
     model = classifiers.fit_gbt(ready, "y", weight="sample_weights", maxIter=3, maxDepth=3)
-    return _quality(freeze(classifiers.predict(ready, model, keep=["y"])))
+    return _quality(freeze(classifiers.predict(ready, model, keep=["y"], ordered=False)))
 
 
 @query(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,13 +78,13 @@ def write_splits(df: DataFrame, path: str, split: str = "split", mode: str = "ov
     df.write.mode(mode).partitionBy(split).parquet(path)
 
 
-def write_pred_chunks(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Predictions partitioned by ``chunk_no``.
+def write_pred_chunks(df: DataFrame, path: str, mode: str = "overwrite", within: Sequence[str] = ()) -> None:
+    """Predictions partitioned by ``chunk_no`` and the columns ``within`` it.
 
     Overwriting replaces only the chunks present in ``df``, so a repeated chunk
     is stored once.
     """
-    df.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("chunk_no").parquet(path)
+    df.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("chunk_no", *within).parquet(path)
 
 
 def load_pred_chunks(spark: SparkSession, path: str) -> DataFrame:

@@ -1,18 +1,22 @@
-"""Chunk-incremental training and scoring as file streams.
+"""Chunk-incremental training in chunk order, and scoring and counting of chunk streams.
 
-One file per micro-batch stands for one chunk. The model of chunk *i* is stored
-before the stream's own progress is, and training resumes from the last stored
-model, so a lost driver costs at most the chunk in work; a replayed chunk
+Training depends on the order of the chunks, so it walks the listed files by the
+number of their ``chunk_no=<n>`` folder and notes every finished chunk. The model of a chunk is stored
+before the note, and training resumes from the last noted one, so a lost driver
+costs at most the chunk in work. Scoring and counting do not depend on the order and run as file streams
+with one file per micro-batch; the chunk is taken from the path. Repeated work
 overwrites its own output.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from urllib.parse import unquote
 
+from pyspark.errors import AnalysisException
 from pyspark.ml import Model
 from pyspark.ml.classification import MultilayerPerceptronClassificationModel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,36 +27,79 @@ from raregrain.operators.stats import class_weights
 from raregrain.sources.sinks import write_pred_chunks
 
 
+def _folder_number(path: Column) -> Column:
+    """Number in the path of a chunk's folder, null where there is none."""
+    return F.regexp_extract(path, r"chunk_no=(\d+)/", 1).try_cast("int")
+
+
+def _options(reader):
+    return reader.option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", True)
+
+
+def chunk_files(spark: SparkSession, path: str, finished: Sequence[int] = ()) -> list[tuple[int, list[str]]]:
+    """``chunk_no`` and files of every chunk that is not in ``finished``, in order.
+
+    The number is that of the ``chunk_no=<n>`` folder. Files outside such folders are a
+    chunk each, numbered from 1 or behind the last folder in the order they were written (ties by name). Only
+    the listing, a line per file, comes to the driver; files without rows are no chunk.
+    """
+    meta = F.col("_metadata")
+    rows = _options(spark.read).parquet(path).select(meta["file_path"].alias("file"), meta["file_modification_time"].alias("at")).distinct()
+    listed = rows.select("file", "at", _folder_number(F.col("file")).alias("no")).collect()
+    chunks: dict[int, list[str]] = {}
+    for row in sorted((r for r in listed if r.no is not None), key=lambda r: (r.no, r.file)):
+        chunks.setdefault(row.no, []).append(unquote(row.file))
+    last = max(chunks, default=0)
+    for i, row in enumerate(sorted((r for r in listed if r.no is None), key=lambda r: (r.at, r.file))):
+        chunks[last + i + 1] = [unquote(row.file)]
+    return [(no, chunks[no]) for no in sorted(chunks) if no not in set(finished)]
+
+
+def _finished(spark: SparkSession, progress: str) -> list[int]:
+    """Noted chunks in order."""
+    try:
+        return sorted(r.chunk_no for r in spark.read.schema("n_files int, chunk_no int").parquet(progress).select("chunk_no").collect())
+    except AnalysisException:  # nothing noted so far
+        return []
+
+
+def walk_chunks(
+    spark: SparkSession, path: str, schema: T.StructType, progress: str, each: Callable[[DataFrame, int, int | None], None]
+) -> list[int]:
+    """Call ``each(chunk, chunk_no, chunk_no before it)`` for every chunk not yet finished, in order; returns all finished."""
+    finished = _finished(spark, progress)
+    for chunk_no, files in chunk_files(spark, path, finished):
+        each(spark.read.schema(schema).parquet(*files), chunk_no, finished[-1] if finished else None)
+        write_pred_chunks(spark.createDataFrame([(len(files), chunk_no)], "n_files int, chunk_no int"), progress)
+        finished.append(chunk_no)
+    return finished
+
+
 def read_chunks(spark: SparkSession, path: str, schema: T.StructType, files_per_batch: int = 1) -> DataFrame:
-    """Stream of the parquet files under ``path``, oldest first."""
-    return (
-        spark.readStream.schema(schema)
-        .option("maxFilesPerTrigger", files_per_batch)
-        .option("pathGlobFilter", "*.parquet")
-        .option("recursiveFileLookup", True)
-        .parquet(path)
-    )
-
-
-def run_chunks(chunks: DataFrame, checkpoint: str, each: Callable[[DataFrame, int], None]) -> None:
-    """Call ``each(chunk, chunk_no)`` for every file there is now, in order, then stop."""
-    query = (
-        chunks.writeStream.option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .foreachBatch(lambda df, batch: each(df, batch + 1))
-        .start()
-    )
+    """Stream of the parquet files under ``path``, with the ``chunk_no`` of their folder (null without one)."""
+    stream = _options(spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)).parquet(path)
+    return stream.select(*schema.names, _folder_number(F.col("_metadata.file_path")).alias("chunk_no"))
+
+
+def run_chunks(chunks: DataFrame, checkpoint: str, each: Callable[[DataFrame], DataFrame], out: str) -> None:
+    """Write ``each(batch)`` for all files there are now by ``chunk_no`` and ``batch_no``, then stop.
+
+    Files without a folder number have that of their micro-batch, from 1. The files of one
+    folder may come in several batches, each of which keeps its own part.
+    """
+
+    def run(df: DataFrame, batch: int) -> None:
+        numbered = df.withColumn("chunk_no", F.coalesce("chunk_no", F.lit(batch + 1)))
+        write_pred_chunks(each(numbered).withColumn("batch_no", F.lit(batch)), out, within=["batch_no"])
+
+    query = chunks.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(run).start()
     query.awaitTermination()
 
 
 def count_chunks(chunks: DataFrame, out: str, checkpoint: str, label: str = "y") -> None:
     """Store rows and positives of every chunk."""
-
-    def each(df: DataFrame, chunk_no: int) -> None:
-        counted = df.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col(label) == 1).alias("n_positive"))
-        write_pred_chunks(counted.withColumn("chunk_no", F.lit(chunk_no)), out)
-
-    run_chunks(chunks, checkpoint, each)
+    counts = [F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col(label) == 1).alias("n_positive")]
+    run_chunks(chunks, checkpoint, lambda df: df.groupBy("chunk_no").agg(*counts), out)
 
 
 def model_path(root: str, chunk_no: int) -> str:
@@ -61,7 +108,9 @@ def model_path(root: str, chunk_no: int) -> str:
 
 
 def train_incremental(
-    chunks: DataFrame,
+    spark: SparkSession,
+    path: str,
+    schema: T.StructType,
     root: str,
     layers: Sequence[int],
     label: str = "binds",
@@ -69,20 +118,19 @@ def train_incremental(
     max_iter: int = 100,
     seed: int = 42,
 ) -> MultilayerPerceptronClassificationModel:
-    """Train on chunk after chunk, each fit starting from the weights of the last.
+    """Train on chunk after chunk of ``path`` in order, each fit starting from the weights of the last.
 
     Per chunk: fit, model checkpoint, log loss (rows weighted to balance the
     classes) and average precision. Logs are stored under ``<root>/log``. The
     perceptron takes no row weights, so these enter the log only.
     """
-    spark = chunks.sparkSession
 
-    def each(df: DataFrame, chunk_no: int) -> None:
+    def each(df: DataFrame, chunk_no: int, before: int | None) -> None:
         chunk = class_weights(df, label).persist()
         try:
             start = None
-            if chunk_no > 1:
-                start = MultilayerPerceptronClassificationModel.load(model_path(root, chunk_no - 1)).weights
+            if before is not None:
+                start = MultilayerPerceptronClassificationModel.load(model_path(root, before)).weights
             model = fit_mlp(chunk, layers, label, features, max_iter, seed, start)
             model.write().overwrite().save(model_path(root, chunk_no))
             scored = model.transform(chunk)
@@ -94,24 +142,28 @@ def train_incremental(
         finally:
             chunk.unpersist()
 
-    run_chunks(chunks, f"{root}/progress", each)
-    last = spark.read.parquet(f"{root}/log").agg(F.max("chunk_no")).first()[0]
-    final = MultilayerPerceptronClassificationModel.load(model_path(root, last))
+    finished = walk_chunks(spark, path, schema, f"{root}/progress", each)
+    if not finished:
+        raise ValueError(f"no chunks under {path}")
+    final = MultilayerPerceptronClassificationModel.load(model_path(root, finished[-1]))
     final.write().overwrite().save(f"{root}/models/Final_ckpt")
     return final
 
 
-def train_ensemble(chunks: DataFrame, root: str, fit: Callable[[DataFrame], Model]) -> list[str]:
-    """One model per chunk for learners that cannot continue a fit, such as trees; returns their paths."""
+def train_ensemble(
+    spark: SparkSession, path: str, schema: T.StructType, root: str, fit: Callable[[DataFrame], Model], label: str | None = None
+) -> list[str]:
+    """One model per chunk for learners that cannot continue a fit, such as trees; returns their paths in chunk order.
+
+    With a ``label`` the chunk has ``sample_weights`` that balance its classes.
+    """
 
-    def each(df: DataFrame, chunk_no: int) -> None:
-        fit(df).write().overwrite().save(model_path(root, chunk_no))
+    def each(df: DataFrame, chunk_no: int, before: int | None) -> None:
+        fit(class_weights(df, label) if label else df).write().overwrite().save(model_path(root, chunk_no))
         rows = df.agg(F.count(F.lit(1)).alias("n_rows")).withColumn("chunk_no", F.lit(chunk_no))
         write_pred_chunks(rows, f"{root}/log")
 
-    run_chunks(chunks, f"{root}/progress", each)
-    last = chunks.sparkSession.read.parquet(f"{root}/log").agg(F.max("chunk_no")).first()[0]
-    return [model_path(root, i + 1) for i in range(last)]
+    return [model_path(root, no) for no in walk_chunks(spark, path, schema, f"{root}/progress", each)]
 
 
 def score_ensemble(df: DataFrame, models: Sequence[Model], key: str = "id", keep: Sequence[str] = ()) -> DataFrame:
@@ -128,16 +180,15 @@ def score_ensemble(df: DataFrame, models: Sequence[Model], key: str = "id", keep
 def score_incremental(
     model: Model, chunks: DataFrame, out: str, checkpoint: str, key: str = "id", label: str | None = None
 ) -> None:
-    """Score chunk after chunk into ``out``, partitioned by ``chunk_no``.
+    """Score chunk after chunk into ``out``, partitioned by ``chunk_no`` and ``batch_no``.
 
     Use it on tables that keep growing; a finished table is scored in one job
     with ``predict``.
     """
     keep = [label] if label else []
 
-    def each(df: DataFrame, chunk_no: int) -> None:
+    def each(df: DataFrame) -> DataFrame:
         scored = model.transform(df)
-        rows = scored.select(key, *keep, "prediction", class1_probability(scored).alias("p1"))
-        write_pred_chunks(rows.withColumn("chunk_no", F.lit(chunk_no)), out)
+        return scored.select(key, *keep, "prediction", class1_probability(scored).alias("p1"), "chunk_no")
 
-    run_chunks(chunks, checkpoint, each)
+    run_chunks(chunks, checkpoint, each, out)

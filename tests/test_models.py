@@ -26,10 +26,20 @@ def test_metric_names_are_checked():
 
 
 def test_booster_params():
-    mapped = classifiers.booster_params({"eta": 0.1, "max_depth": 3, "lambda": 5, "alpha": 5, "num_boost_round": 100})
+    mapped = classifiers.booster_params({"eta": 0.1, "max_depth": 3, "lambda": 5, "alpha": 5, "num_boost_round": 100}, ["lambda", "alpha"])
     assert mapped == {"stepSize": 0.1, "maxDepth": 3, "maxIter": 100}
     with pytest.raises(ValueError):
         classifiers.booster_params({"max_depth": 31})
+    with pytest.raises(ValueError, match="max_dpeth"):
+        classifiers.booster_params({"max_dpeth": 3})
+    assert classifiers.booster_params({"min_child_weight": 2.5, "scale_pos_weight": 9}) == {"minInstancesPerNode": 3}
+
+
+def test_booster_weighs_class_1(points):
+    params = {"num_boost_round": 2, "max_depth": 2, "scale_pos_weight": 3.0}
+    weighted = points.withColumn("w", F.when(F.col("binds") == 1, 3.0).otherwise(1.0))
+    want = classifiers.fit_gbt(weighted, weight="w", maxIter=2, maxDepth=2)
+    assert classifiers.fit_booster(points, params).toDebugString.split("\n")[1:] == want.toDebugString.split("\n")[1:]
 
 
 @pytest.mark.parametrize(
@@ -115,20 +125,29 @@ def test_isolation_forest_finds_planted_outliers(points):
     assert again.threshold == pytest.approx(model.threshold)
 
 
-def test_isolation_forest_draws_disjoint_samples_from_large_tables(spark):
-    rows = spark.range(20000).select("id", array_to_vector(F.array(F.col("id").cast("double"), F.lit(0.0))).alias("vectors"))
-    samples = anomaly._tree_samples(rows, "id", rows.select("id", vector_to_array("vectors").alias("x")), 20, 64, 20000, 1)
-    sizes = [r["count"] for r in samples.groupBy("tree").count().collect()]
-    assert len(sizes) == 20 and 40 < min(sizes) and max(sizes) < 130
-    assert samples.count() == samples.select("x").distinct().count()
-    model = anomaly.fit_isolation_forest(rows, trees=20, max_samples=64)
-    assert model.trees == 20 and model.sample_size == 64
+@pytest.mark.parametrize("n", [64, 100, 3000, 20000])
+def test_isolation_forest_samples_are_exact_at_every_size(spark, n):
+    rows = spark.range(n).select(F.col("id").alias("key"), F.array(F.col("id").cast("double")).alias("x"))
+    samples = anomaly._tree_samples(rows, 20, 64, n, 1).collect()
+    per = {t: sorted(r.x[0] for r in samples if r.tree == t) for t in range(20)}
+    assert all(len(v) == len(set(v)) == 64 for v in per.values())
+    if n > 100:
+        assert len({tuple(v) for v in per.values()}) == 20
+        assert abs(sum(map(sum, per.values())) / 1280 / n - 0.5) < 0.05
+
 
+def test_isolation_forest_samples_with_a_hot_key(spark):
+    rows = spark.range(3000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("key"), F.array(F.lit(1.0)).alias("x"))
+    samples = anomaly._tree_samples(rows, 5, 50, 3000, 1)
+    assert {r["count"] for r in samples.groupBy("tree").count().collect()} == {50}
 
-def test_isolation_forest_limits(points, monkeypatch):
+
+def test_isolation_forest_limits_are_on_settings_alone(points, monkeypatch):
     monkeypatch.setattr(anomaly, "MAX_TREE_ROWS", 100)
-    with pytest.raises(ValueError):
-        anomaly.fit_isolation_forest(points, trees=2, max_samples=0.5)
+    for wrong in (0.5, 0, 101):
+        with pytest.raises(ValueError):
+            anomaly.fit_isolation_forest(points, trees=2, max_samples=wrong)
+    assert anomaly.fit_isolation_forest(points, trees=2, max_samples=100).sample_size == 100
 
 
 def test_average_path():

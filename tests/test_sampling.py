@@ -154,3 +154,25 @@ def test_chunks_are_full_despite_copies(hot):
 def test_spread(rows):
     assert sampling.spread(rows, 3).rdd.getNumPartitions() == 3
     assert sampling.spread(rows).count() == 4000 and sampling.first_rows(rows, 5).count() == 5
+
+
+def test_position_order_does_not_depend_on_the_split(spark):
+    """Hot keys, copies with and without the same content, all thresholds: one order."""
+    key = F.when(F.col("id") % 3 == 0, 7).when(F.col("id") % 7 == 0, 9).otherwise(F.col("id") + 100)
+    rows = spark.range(3000).select(key.alias("id"), (F.col("id") % 2).cast("int").alias("y"), (F.col("id") % 5).alias("v")).repartition(6)
+    want = None
+    for hot_rows in (10**9, 300, 0):
+        got = ranking.with_position(rows, "id", 42, ["y"], hot_rows=hot_rows).collect()
+        for y in (0, 1):
+            part = sorted((r for r in got if r.y == y), key=lambda r: r.position)
+            assert [r.position for r in part] == list(range(1, len(part) + 1))
+            assert [r.id for r in part] == sorted((r.id for r in part), key=lambda i: (h(i, 42), i))
+        want = want or sorted(got)
+        assert sorted(got) == want
+
+
+@pytest.mark.parametrize("n", [1, 500, 1000, 1500, 2999, 3000, 5000])
+def test_sample_n_is_exact_among_copies(spark, n):
+    rows = spark.range(3000).select((F.col("id") % 10).alias("id"), (F.col("id") % 4).alias("v")).repartition(4)
+    cut = sampling.sample_n(rows, n, top_k_rows=0).collect()
+    assert len(cut) == min(n, 3000) and sorted(cut) == sorted(sampling.sample_n(rows, n).collect())

@@ -108,7 +108,7 @@ def test_chunk_counts_equal_batch(spark, path):
     sinks.write_chunks(df, path("c"), 200)
     incremental.count_chunks(incremental.read_chunks(spark, path("c"), df.schema), path("out"), path("progress"))
     got = spark.read.parquet(path("out"))
-    assert sorted(r.n_rows for r in got.collect()) == [100, 200, 200, 200]
+    assert {r.chunk_no: r.n_rows for r in got.collect()} == {1: 200, 2: 200, 3: 200, 4: 100}
     assert got.agg(F.sum("n_positive")).first()[0] == 100
 
 
@@ -117,7 +117,7 @@ def test_incremental_training_resumes(spark, path):
     layers = [3, 4, 2]
 
     def train():
-        return incremental.train_incremental(incremental.read_chunks(spark, path("c"), schema), path("m"), layers, max_iter=10)
+        return incremental.train_incremental(spark, path("c"), schema, path("m"), layers, max_iter=10)
 
     sinks.append_table(_vectors(spark, 100).coalesce(1), path("c"))
     sinks.append_table(_vectors(spark, 100, 100).coalesce(1), path("c"))
@@ -148,8 +148,7 @@ def test_ensemble_is_the_mean(spark, path):
     sinks.write_chunks(rows, path("c"), 100)
     from pyspark.ml.classification import LogisticRegressionModel
 
-    stream = incremental.read_chunks(spark, path("c"), rows.schema)
-    paths = incremental.train_ensemble(stream, path("e"), lambda df: classifiers.fit_logistic(df, maxIter=5))
+    paths = incremental.train_ensemble(spark, path("c"), rows.schema, path("e"), lambda df: classifiers.fit_logistic(df, maxIter=5))
     models = [LogisticRegressionModel.load(p) for p in paths]
     assert len(models) == 2
     single = [{r.id: r.p1 for r in classifiers.predict(rows, m).collect()} for m in models]
@@ -196,3 +195,30 @@ def test_damaged_prediction_chunks(spark, tmp_path):
         sinks.load_pred_chunks(spark, str(path)).count()
     rows, skipped = sinks.load_readable_pred_chunks(spark, str(path))
     assert rows.count() < 100 and [r.file.rsplit("/", 1)[1] for r in skipped.collect()] == [bad.name]
+
+
+def test_training_follows_the_chunk_numbers(spark, path):
+    """Parallel writers and any file times: the same chunks in the same order, the same model."""
+    rows = _vectors(spark, 330)
+    sinks.write_chunks(rows.repartition(4), path("c"), 30)
+    files = [f[0] for _no, f in incremental.chunk_files(spark, path("c"))]
+    assert [no for no, _f in incremental.chunk_files(spark, path("c"))] == list(range(1, 12))
+    weights = []
+    for run, step in enumerate((5, 7)):
+        for i, file in enumerate(files):
+            os.utime(file.removeprefix("file:"), (10**9 + i * step % 11,) * 2)
+        model = incremental.train_incremental(spark, path("c"), rows.schema, path(f"m{run}"), [3, 2], max_iter=2)
+        weights.append(list(model.weights))
+    assert weights[0] == weights[1]
+    log = spark.read.parquet(path("m0/log")).collect()
+    assert sorted((r.chunk_no, r.n_rows) for r in log) == [(i, 30) for i in range(1, 12)]
+
+
+def test_scores_carry_the_number_of_their_chunk(spark, path):
+    rows = _vectors(spark, 330)
+    model = classifiers.fit_logistic(rows, maxIter=5)
+    sinks.write_chunks(rows, path("c"), 30)
+    stream = incremental.read_chunks(spark, path("c"), rows.schema)
+    incremental.score_incremental(model, stream, path("out"), path("progress"))
+    got = spark.read.parquet(path("out")).collect()
+    assert len(got) == 330 and all(r.chunk_no == r.id // 30 + 1 for r in got)
