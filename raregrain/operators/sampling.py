@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from raregrain.functions.hashing import HASH_SPACE, hash_bucket, hash_fraction_below, hash_key
 from raregrain.operators.ranking import hash_parts, with_position
+from raregrain.session import fits_broadcast
 
 #: Up to here a top-k over sorted runs is cheaper than finding a cut point.
 TOP_K_ROWS = 10_000
@@ -136,9 +137,9 @@ def balanced_batches(
     slots = df.sparkSession.range(batches * half1).select(
         F.floor(F.col("id") / half1).cast("bigint").alias(out), (F.col("id") % n1 + 1).alias("_pos")
     )
-    # Few positives means many slots per positive: then the positives are small
+    # Few positives means many slots per positive: then the positives are mostly small
     # enough to broadcast. Many positives means few slots per join key.
-    ones = F.broadcast(ones) if n1 <= 10_000 else ones
+    ones = F.broadcast(ones) if n1 <= 10_000 and fits_broadcast(df.where(F.col(label) == 1)) else ones
     return zeros.unionByName(slots.join(ones, "_pos").drop("_pos"))
 
 

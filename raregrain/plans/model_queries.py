@@ -1,29 +1,49 @@
 """Models, searches, the isolation forest and incremental jobs.
 
-Fitted models have no SQL twin; these queries return counts or per-row scores and
-their properties are checked in the tests.
+A fit's numbers have no SQL twin. What is determined has one: rows and classes scored, points
+searched, chunks, whether scores agree with predictions. The rest is checked in the tests.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from raregrain.operators import anomaly, classifiers, evaluate, tuning
 from raregrain.operators.sampling import kfold, stratified_split
 from raregrain.operators.stats import class_counts, class_weights
-from raregrain.plans.fixtures import scored, vectors
+from raregrain.plans.fixtures import SCORED_SQL, VECTORS_SQL, scored, vectors
 from raregrain.plans.registry import query
 from raregrain.plans.source_queries import scratch
 from raregrain.sources.sinks import load_pred_chunks, write_chunks
 from raregrain.streaming import incremental
 
 
+def _classes(confusion: DataFrame) -> DataFrame:
+    """Rows of both classes that a confusion matrix holds."""
+    return confusion.select((F.col("tp") + F.col("fn")).alias("n_positive"), (F.col("fp") + F.col("tn")).alias("n_negative"))
+
+
+def _classes_sql(train: float) -> str:
+    return f"""WITH {VECTORS_SQL}, sizes AS (
+ SELECT binds, cast(count(*) - ceil(cast({train} as double) * count(*)) as bigint) AS n FROM vectors GROUP BY binds)
+ SELECT cast(coalesce(sum(n) FILTER (binds = 1), 0) as bigint) AS n_positive,
+ cast(coalesce(sum(n) FILTER (binds = 0), 0) as bigint) AS n_negative FROM sizes"""
+
+
+_TESTED_SQL = _classes_sql(0.7)
+
+
 def _tested(spark: SparkSession, sf_dir: str, fit) -> DataFrame:
-    """Fit on a stratified 70 %, confusion counts on the rest."""
+    """Fit on a stratified 70 %, classes in the confusion matrix of the rest."""
     rows = stratified_split(vectors(spark, sf_dir), "binds", 0.7).persist()
     model = fit(rows.where("is_train = 1"))
-    return evaluate.confusion(model.transform(rows.where("is_train = 0")), "binds")
+    return _classes(evaluate.confusion(model.transform(rows.where("is_train = 0")), "binds"))
+
+
+def _points(results: DataFrame) -> DataFrame:
+    """Points of a search and whether each has an area under PR."""
+    return results.select("point", "params", F.col("metric").between(0, 1).alias("metric_valid"))
 
 
 @query("kmeans")
@@ -32,17 +52,17 @@ def _(spark, sf_dir):
     return class_counts(classifiers.fit_kmeans(rows).transform(rows), "cluster")
 
 
-@query("random_forest")
+@query("random_forest", _TESTED_SQL)
 def _(spark, sf_dir):
     return _tested(spark, sf_dir, lambda df: classifiers.fit_random_forest(df, trees=20))
 
 
-@query("gbt")
+@query("gbt", _TESTED_SQL)
 def _(spark, sf_dir):
     return _tested(spark, sf_dir, lambda df: classifiers.fit_gbt(df, maxIter=5))
 
 
-@query("gbt_weighted")
+@query("gbt_weighted", _TESTED_SQL)
 def _(spark, sf_dir):
     def fit(df):
         return classifiers.fit_gbt(class_weights(df, "binds"), weight="sample_weights", maxIter=5)
@@ -50,45 +70,55 @@ def _(spark, sf_dir):
     return _tested(spark, sf_dir, fit)
 
 
-@query("booster")
+@query("booster", _TESTED_SQL)
 def _(spark, sf_dir):
     params = {"eta": 0.1, "max_depth": 3, "num_boost_round": 5, "subsample": 1.0, "gamma": 0, "lambda": 5, "seed": 42}
     return _tested(spark, sf_dir, lambda df: classifiers.fit_booster(df, params, ignore=["lambda"]))
 
 
-@query("unbalanced_booster")
+@query("unbalanced_booster", _TESTED_SQL)
 def _(spark, sf_dir):
     return _tested(spark, sf_dir, lambda df: classifiers.fit_unbalanced_booster(df, maxIter=5))
 
 
-@query("logistic")
+@query("logistic", _TESTED_SQL)
 def _(spark, sf_dir):
     return _tested(spark, sf_dir, classifiers.fit_logistic)
 
 
-@query("logistic_cv")
+@query("logistic_cv", "SELECT cast(i as integer) AS point, 'regParam=' || r AS params, true AS metric_valid FROM (VALUES (0, '0.01'), (1, '0.1')) t(i, r)")
 def _(spark, sf_dir):
     rows = kfold(vectors(spark, sf_dir), "binds", 10).persist()
     model = classifiers.fit_logistic_cv(rows, reg_params=(0.01, 0.1), folds=10, fold_col="fold", maxIter=50)
-    return tuning.search_results(spark, model)
+    return _points(tuning.search_results(spark, model))
 
 
-@query("mlp")
+@query("mlp", _TESTED_SQL)
 def _(spark, sf_dir):
     return _tested(spark, sf_dir, lambda df: classifiers.fit_mlp(df, [64, 32, 16, 2], max_iter=30))
 
 
-@query("batch_score")
+def _agrees() -> Column:
+    """Whether a probability is one and the prediction follows from it."""
+    p1 = F.col("p1")
+    return (p1.between(0, 1) & ((p1 > 0.5).cast("double") == F.col("prediction"))).alias("agrees")
+
+
+@query("batch_score", "SELECT vec_id AS id, true AS agrees FROM embeddings")
 def _(spark, sf_dir):
     rows = vectors(spark, sf_dir)
-    return classifiers.predict(rows, classifiers.fit_logistic(rows, maxIter=50))
+    return classifiers.predict(rows, classifiers.fit_logistic(rows, maxIter=50)).select("id", _agrees())
 
 
-@query("grid_search")
+@query(
+    "grid_search",
+    "SELECT cast(row_number() over (order by d, s) - 1 as integer) AS point, 'maxDepth=' || d || ', stepSize=' || s AS params, true AS metric_valid "
+    "FROM (VALUES ('2'), ('3')) a(d), (VALUES ('0.1'), ('0.2')) b(s)",
+)
 def _(spark, sf_dir):
     rows = vectors(spark, sf_dir).persist()
     space = {"maxDepth": [2, 3], "stepSize": [0.1, 0.2]}
-    return tuning.search_results(spark, tuning.grid_search(rows, classifiers.gbt(maxIter=3), space, folds=2))
+    return _points(tuning.search_results(spark, tuning.grid_search(rows, classifiers.gbt(maxIter=3), space, folds=2)))
 
 
 @query("random_search")
@@ -133,7 +163,18 @@ def _(spark, sf_dir):
     return anomaly.calibrate(rows, "score", method="platt")(rows).select("id", F.round("p0", 6).alias("p0"), F.round("p1", 6).alias("p1"))
 
 
-@query("calibrate_isotonic")
+#: Isotonic regression by its min-max formula over the distinct scores.
+_ISOTONIC_SQL = f"""WITH {SCORED_SQL}, points AS (
+ SELECT score, cast(sum(y) as bigint) AS pos, count(*) AS n, row_number() over (order by score) AS i FROM scored GROUP BY score),
+ sums AS (SELECT i, score, sum(pos) over (order by i) AS p, sum(n) over (order by i) AS c, pos, n FROM points),
+ runs AS (SELECT a.i AS lo, b.i AS hi, (b.p - a.p + a.pos) / cast(b.c - a.c + a.n as double) AS mean
+  FROM sums a JOIN sums b ON a.i <= b.i),
+ least_ AS (SELECT r.lo, s.i, min(r.mean) AS m FROM runs r JOIN sums s ON r.lo <= s.i AND s.i <= r.hi GROUP BY r.lo, s.i),
+ fitted AS (SELECT i, max(m) AS p1 FROM least_ GROUP BY i)
+ SELECT id, round(1 - p1, 6) AS p0, round(p1, 6) AS p1 FROM scored JOIN sums USING (score) JOIN fitted USING (i)"""
+
+
+@query("calibrate_isotonic", _ISOTONIC_SQL)
 def _(spark, sf_dir):
     rows = scored(spark, sf_dir)
     return anomaly.calibrate(rows, "score")(rows).select("id", F.round("p0", 6).alias("p0"), F.round("p1", 6).alias("p1"))
@@ -146,23 +187,28 @@ def _vector_chunks(spark: SparkSession, sf_dir: str):
     return spark, path, rows.schema
 
 
-@query("stream_incremental_fit")
+@query(
+    "stream_incremental_fit",
+    f"""WITH {VECTORS_SQL} SELECT cast(c as integer) AS chunk_no, count(*) AS n_rows, true AS metrics_valid FROM (
+ SELECT (row_number() over (order by id) - 1) // 200 + 1 AS c FROM vectors) GROUP BY c""",
+)
 def _(spark, sf_dir):
     root = scratch(spark, "incremental")
     incremental.train_incremental(*_vector_chunks(spark, sf_dir), root, [64, 16, 2], max_iter=20)
-    return spark.read.parquet(f"{root}/log")
+    valid = (F.col("logloss") >= 0) & F.col("aucpr").between(0, 1)
+    return spark.read.parquet(f"{root}/log").select("chunk_no", "n_rows", valid.alias("metrics_valid"))
 
 
-@query("stream_score")
+@query("stream_score", f"WITH {VECTORS_SQL} SELECT id, binds, true AS agrees FROM vectors")
 def _(spark, sf_dir):
     rows, out = vectors(spark, sf_dir), scratch(spark, "scores")
     model = classifiers.fit_logistic(rows, maxIter=30)
     stream = incremental.read_chunks(*_vector_chunks(spark, sf_dir))
     incremental.score_incremental(model, stream, f"{out}/rows", f"{out}/progress", label="binds")
-    return load_pred_chunks(spark, f"{out}/rows").select("id", "binds", "prediction", F.round("p1", 6).alias("p1"))
+    return load_pred_chunks(spark, f"{out}/rows").select("id", "binds", _agrees())
 
 
-@query("chunk_ensemble")
+@query("chunk_ensemble", _classes_sql(0.0))
 def _(spark, sf_dir):
     from pyspark.ml.classification import GBTClassificationModel
 
@@ -172,4 +218,4 @@ def _(spark, sf_dir):
 
     paths = incremental.train_ensemble(*_vector_chunks(spark, sf_dir), root, fit, label="binds")
     models = [GBTClassificationModel.load(p) for p in paths]
-    return evaluate.confusion(incremental.score_ensemble(vectors(spark, sf_dir), models, keep=["binds"]), "binds")
+    return _classes(evaluate.confusion(incremental.score_ensemble(vectors(spark, sf_dir), models, keep=["binds"]), "binds"))

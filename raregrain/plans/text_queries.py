@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import functions as F
 
 from raregrain.fixed_values import TOKEN_ORDER
@@ -191,10 +193,15 @@ def _(spark, sf_dir):
     return docs.select("doc_id", "p.*").withColumn("lower_share", F.round("lower_share", 6))
 
 
+def _count(text: str, characters: str) -> int:
+    """Occurrences of any of some ASCII characters."""
+    raw = text.encode()
+    return len(raw) - len(raw.translate(None, characters.encode()))
+
+
 def letters(text: str) -> dict | None:
     """Small record function used as a stand-in for an expensive one."""
-    upper = sum("A" <= c <= "Z" for c in text)
-    lower = sum("a" <= c <= "z" for c in text)
+    upper, lower = _count(text, string.ascii_uppercase), _count(text, string.ascii_lowercase)
     return {"n_chars": len(text), "n_upper": upper, "n_lower": lower, "lower_ratio": lower / len(text) if text else 0.0}
 
 
@@ -223,7 +230,7 @@ def _(spark, sf_dir):
 )
 def _(spark, sf_dir):
     def digits(text: str) -> dict | None:
-        found = sum("0" <= c <= "9" for c in text)
+        found = _count(text, string.digits)
         return {"n_chars": len(text), "n_digit": found} if found else None
 
     docs = wide_table(spark, sf_dir, "documents").select("doc_id", "text")

@@ -10,11 +10,13 @@ import tempfile
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: A lookup table is broadcast only up to this many (narrow) rows.
+#: A lookup table is broadcast only up to this many rows and bytes.
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 64 << 20
 
 
 #: Shuffled bytes one task should get.
@@ -83,20 +85,35 @@ def freeze(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def fits_broadcast(lookup: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
+    """Whether a table has at most ``rows`` rows and about ``size`` bytes; one pass over it."""
+    width: Column = F.lit(16 * len(lookup.columns))
+    for field in lookup.schema:
+        value = F.col(f"`{field.name}`")
+        if isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType)):
+            value = F.to_json(F.struct(value.alias("v")))
+        elif not isinstance(field.dataType, (T.StringType, T.BinaryType)):
+            continue
+        width = width + F.coalesce(F.octet_length(value), F.lit(0))
+    n, total = lookup.agg(F.count(F.lit(1)), F.sum(width.cast("bigint"))).first()
+    return n <= rows and (total or 0) <= size
+
+
 def attach_small(
     df: DataFrame,
     lookup: DataFrame,
     on: Sequence[str],
     how: str = "inner",
     broadcast_rows: int = BROADCAST_ROWS,
+    broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """Null-safe equi-join of a (frozen) lookup table, keeping ``df``'s key columns.
 
-    The lookup's row count is read first. Within ``broadcast_rows`` the table is
-    broadcast and ``df`` is not shuffled at all; beyond it the join is left to
+    The lookup's rows and bytes are counted first. Within both bounds the table is
+    broadcast and ``df`` is not shuffled at all; beyond them the join is left to
     the adaptive planner, which shuffles both sides and splits skewed keys.
     """
-    if lookup.count() <= broadcast_rows:
+    if fits_broadcast(lookup, broadcast_rows, broadcast_bytes):
         lookup = F.broadcast(lookup)
     renamed = lookup.withColumnsRenamed({c: f"_r_{c}" for c in on})
     condition = reduce(

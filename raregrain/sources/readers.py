@@ -37,9 +37,10 @@ def read_table(
 def widen_scan(df: DataFrame) -> DataFrame:
     """Redistribute a plain scan that has fewer splits than there are cores.
 
-    Meant for work that is heavy per row (text, hashing) on files of few large
-    row groups. A table with enough splits passes through untouched, so nothing
-    large is ever shuffled by this. Rows go by their scan number, which is the same
+    Meant for whole-table work that is heavy per row (text functions) on files of few large
+    row groups: the row numbers keep filters behind it from reaching the scan, so filter first.
+    A table with a split per core passes through untouched; a smaller one, at most a split's
+    size per core, is shuffled. Rows go by their scan number, which is the same
     on a retry and spares the sort that a plain round robin needs for that.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
