@@ -1,15 +1,15 @@
 """Token ids of whole texts by a public tokenizer, each distinct word encoded once per worker.
 
 The tokenizer splits at white space before anything else, so a text's ids are its words' ids in order.
-A slice of texts is split and its words numbered by Arrow; words made of Latin letters and ASCII
-punctuation go to the library's BPE model as the two pieces that its own splitter would make, any
-other word goes through the library's whole pipeline. Ids of pieces are remembered between slices, up
+A slice of texts is split and its words numbered by Arrow; words made of Latin letters, then ASCII
+punctuation, are cut by Arrow into the two pieces that the library's own splitter would make, and each distinct
+piece goes to its BPE model; any other word goes through the library's whole pipeline. Ids of pieces are remembered between slices, up
 to ``CACHE`` of them.
 """
 
 from __future__ import annotations
 
-import re
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,12 +17,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
-from raregrain.llm.common import ranges, text_slices
+from raregrain.llm.common import text_slices
 
 #: Pieces remembered per Python worker, about 200 bytes each.
 CACHE = 1_000_000
 #: Letters that NFC leaves alone, then ASCII punctuation; both runs are one piece for the splitter.
-_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([!-/:-@\[-`{-~]*)")
+_PLAIN = r"^(?P<letters>[A-Za-zÀ-ÖØ-öø-ÿ]*)(?P<marks>[!-/:-@\[-`{-~]*)$"
 
 
 def byte_letters() -> dict[int, str]:
@@ -57,30 +57,41 @@ class Encoder:
     def _keep(self, piece: str, ids: list[int]) -> bytes:
         if len(self.pieces) >= CACHE:
             self.pieces.clear()
-        self.pieces[piece] = ids = np.array(ids, "<u4").tobytes()
+        self.pieces[piece] = ids = struct.pack(f"<{len(ids)}I", *ids)
         return ids
 
     def word(self, word: str) -> bytes:
-        """Little-endian 32-bit ids of one word."""
-        plain = _PLAIN.fullmatch(word) if self.short else None
-        if plain:
-            letters, marks = plain.groups()
-            return (self.piece(letters.lower()) if letters else b"") + (self.piece(marks) if marks else b"")
+        """Ids of a word by the whole pipeline."""
         ids = self.pieces.get(" " + word)
         return self._keep(" " + word, self.whole.encode(word, add_special_tokens=False).ids) if ids is None else ids
 
+    def words(self, words: pa.Array) -> list[bytes]:
+        """Little-endian 32-bit ids of every word."""
+        if not self.short:
+            return [self.word(w) for w in words.to_pylist()]
+        cut = pc.extract_regex(words, _PLAIN)  # null where a word is made otherwise
+        found = []
+        for name in ("letters", "marks"):
+            pieces = pc.utf8_lower(pc.struct_field(cut, name)).dictionary_encode()
+            known = self.pieces.get
+            ids = [known(p) or (self.piece(p) if p else b"") for p in pieces.dictionary.to_pylist()] + [b""]
+            found.append([ids[i] for i in pc.fill_null(pieces.indices, len(ids) - 1).to_numpy().tolist()])
+        parts = [a + b for a, b in zip(*found)]
+        other = np.flatnonzero(cut.is_null().to_numpy(zero_copy_only=False))
+        for i, word in zip(other.tolist(), words.take(pa.array(other)).to_pylist()):
+            parts[i] = self.word(word)
+        return parts
+
     def encode(self, column: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """Offsets (one more than texts) and ids of all texts, each followed by the id ``end``; null is empty."""
         lists = pc.ascii_split_whitespace(pc.fill_null(column.cast(pa.string()), ""))
         bounds = lists.offsets.to_numpy().astype(np.int64)
         words = lists.values.slice(bounds[0], bounds[-1] - bounds[0]).dictionary_encode()
-        parts = [self.word(w) for w in words.dictionary.to_pylist()]
-        flat = np.frombuffer(b"".join(parts), "<u4")
+        parts = self.words(words.dictionary)
         size = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
-        place = np.cumsum(size) - size
-        code = words.indices.to_numpy(zero_copy_only=False)
-        length = size[code]
-        ids = flat[np.repeat(place[code], length) + ranges(length)]
+        known = pa.LargeListArray.from_arrays(np.concatenate(([0], np.cumsum(size))), np.frombuffer(b"".join(parts), "<u4"))
+        ids = known.take(words.indices).flatten().to_numpy()
+        length = size[words.indices.to_numpy()]
         ends = np.concatenate(([0], np.cumsum(length)))[bounds[1:] - bounds[0]]
         return np.concatenate(([0], ends + np.arange(1, len(ends) + 1))), np.insert(ids, ends, end)
 
