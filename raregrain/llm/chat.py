@@ -25,7 +25,9 @@ START, END = "<|im_start|>", "<|im_end|>"
 @dataclass(frozen=True)
 class Mapping:
     """``turns`` is the path of a list of objects with fields ``role``, ``text`` and maybe ``order``; or
-    ``single`` lists ``(path, role)`` of fields that are one turn each, left out when null or missing."""
+    ``single`` lists ``(path, role)`` of fields that are one turn each, left out when null or missing. Paths may be
+    nested: ``a.b`` is a field of a field, ``a[].b`` that field of every object in a list. Several values of a text
+    are put together, those of ``turns`` and ``single`` are a turn each."""
 
     name: str
     turns: str = ""
@@ -46,6 +48,9 @@ class Mapping:
 MAPPINGS = (
     Mapping("rows", turns="turns", role="role", text="text", order="turn"),
     Mapping("messages", turns="messages", role="role", text="content"),
+    Mapping("message_parts", turns="messages", role="role", text="content[].text"),
+    Mapping("nested_messages", turns="data.messages", role="role", text="content"),
+    Mapping("message_tree", turns="mapping.messages", role="author.role", text="content.parts[]"),
     Mapping("from_value", turns="conversations", role="from", text="value", roles={"human": "user", "gpt": "assistant"}),
     Mapping("instruction", single=(("system", "system"), ("instruction", "user"), ("input", "user"), ("output", "assistant")), required=("instruction", "output")),
     Mapping("prompt_response", single=(("system", "system"), ("prompt", "user"), ("response", "assistant")), required=("prompt", "response")),
@@ -71,17 +76,41 @@ def choose(paths: set[str], mappings: Sequence[Mapping] = MAPPINGS) -> Mapping |
     return next((m for m in mappings if m.paths() <= paths), None)
 
 
+def values_at(value: object, path: str) -> list:
+    """All values at a path; nothing where a part of it is missing or of another kind."""
+    if not path:
+        return [value]
+    if path.startswith("[]"):
+        return [v for x in value for v in values_at(x, path[2:].removeprefix("."))] if isinstance(value, list) else []
+    if not isinstance(value, dict):
+        return []
+    if path in value:  # also a name that holds a dot itself
+        return [value[path]]
+    cuts = [i for i, c in enumerate(path) if i and (c == "." or path.startswith("[]", i)) and path[:i] in value]
+    return next((found for i in cuts if (found := values_at(value[path[:i]], path[i:].removeprefix(".")))), [])
+
+
 def canonical(record: dict, mapping: Mapping) -> list[tuple[str, str]]:
     """``(role, text)`` in order; null becomes empty. Turns without an order field stay as listed; with one,
     they are sorted by it (null first), then role, then text."""
     def text(value: object) -> str:
         return "" if value is None else value if isinstance(value, str) else json.dumps(value, ensure_ascii=False)
 
+    def body(turn: dict) -> str:
+        """The text; where one turn has another kind of content than its path says, that content as it is."""
+        found = values_at(turn, mapping.text)
+        if not found:
+            held = [values_at(turn, mapping.text[:i]) for i in range(len(mapping.text) - 1, 0, -1) if mapping.text[i] in ".["]
+            found = next((v for v in held if v), [])
+        return "".join(map(text, found))
+
     if not mapping.turns:
-        found = [(role, record.get(path)) for path, role in mapping.single]
+        found = [(role, v) for path, role in mapping.single for v in values_at(record, path)]
         return [(role, text(v)) for role, v in found if v is not None]
-    turns = [t for t in record.get(mapping.turns) or [] if isinstance(t, dict)]
-    rows = [(text(t.get(mapping.role)), text(t.get(mapping.text)), t.get(mapping.order)) for t in turns]
+    listed = [t for v in values_at(record, mapping.turns) for t in (v if isinstance(v, list) else [v])]
+    turns = [t for t in listed if isinstance(t, dict)]
+    first = lambda t, path: next(iter(values_at(t, path)), None) if path else None
+    rows = [(text(first(t, mapping.role)), body(t), first(t, mapping.order)) for t in turns]
     if mapping.order:
         rows.sort(key=lambda r: (r[2] is not None, r[2] if r[2] is not None else 0, r[0], r[1]))
     return [(mapping.roles.get(role, role), body) for role, body, _ in rows]
