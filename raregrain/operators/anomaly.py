@@ -26,6 +26,8 @@ MAX_TREE_ROWS = 100_000
 #: Largest forest shipped to the scoring tasks, in nodes of 36 bytes.
 MAX_FOREST_NODES = 5_000_000
 _NODES = 5_000_000
+#: Copies of a row that one task numbers.
+_COPIES = 10_000
 #: Extra rows drawn so that a tree seldom falls short of its sample size.
 _MARGIN = 1.2
 _NODES = "tree int, node int, feature int, split double, child int, depth double"
@@ -69,13 +71,14 @@ def grow_tree(points: np.ndarray, rng: np.random.Generator, features: np.ndarray
 def _tree_samples(rows: DataFrame, trees: int, size: int, total: int, seed: int) -> DataFrame:
     """``tree, x``: exactly ``size`` rows per tree without replacement, trees independent of each other.
 
-    Every row has a draw per tree, a hash of key, content and tree, and a tree takes the
+    Every row has a draw per tree, a hash of key, content and tree (and of the number of the copy, where rows
+    repeat both, so that copies enter a tree independently of each other), and a tree takes the
     rows with the smallest draws. Only draws below a bound that a full sample
     nearly always stays under are kept; should a tree fall short, the bound is doubled, which
     changes no sample.
     """
     rate = min(1.0, (size + 6 * math.sqrt(size) + 10) / total)
-    based = rows.withColumn("_base", F.xxhash64("key", "x", F.lit(seed + 1)))
+    based = _based(rows, seed)
     numbers = F.sequence(F.lit(0), F.lit(trees - 1))
     while True:
         draws = F.filter(F.transform(numbers, lambda t: F.struct(t.alias("tree"), _draw(t).alias("o"))), lambda d: d["o"] < F.lit(rate))
@@ -87,6 +90,24 @@ def _tree_samples(rows: DataFrame, trees: int, size: int, total: int, seed: int)
         rate = min(1.0, 2 * rate)
 
 
+def _based(rows: DataFrame, seed: int) -> DataFrame:
+    """``rows`` with ``_base``, a hash of its own for every row.
+
+    Where rows repeat, they are counted and numbered from their count, in pieces of ``_COPIES`` that are dealt
+    out, so that no task writes all copies of a row; the first copy has the hash that it has alone.
+    """
+    based = rows.withColumn("_base", F.xxhash64("key", "x", F.lit(seed + 1)))
+    if based.groupBy("_base").count().where("count > 1").isEmpty():
+        return based
+    counted = based.groupBy("key", "x", "_base").agg(F.count(F.lit(1)).alias("_of"))
+    pieces = counted.withColumn("_piece", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("_of") - 1) / _COPIES))))
+    begin = F.col("_piece") * _COPIES
+    numbers = F.sequence(begin, F.least(F.col("_of"), begin + _COPIES) - 1)
+    copies = pieces.repartition("_base", "_piece").select("key", "x", "_base", F.explode(numbers).alias("_copy"))
+    own = F.when(F.col("_copy") == 0, F.col("_base")).otherwise(F.xxhash64("_base", "_copy"))
+    return freeze(copies.select("key", "x", own.alias("_base")))
+
+
 def _draw(tree: Column) -> Column:
     """Number from 0 to 1 of a row for a tree."""
     return F.shiftrightunsigned(F.xxhash64(F.col("_base"), tree), 11) / F.lit(float(1 << 53))
