@@ -46,6 +46,14 @@ def letters() -> np.ndarray:
     return _TABLE[0]
 
 
+def has_letter() -> np.ndarray:
+    """True for code points of category L alone."""
+    if len(_TABLE) < 2:
+        letters()
+        _TABLE.append(np.array([unicodedata.category(chr(cp))[0] == "L" for cp in range(0x110000)]))
+    return _TABLE[1]
+
+
 def ngram_hashes(texts: list[str | None], sizes: tuple[int, ...] = SIZES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """64-bit hashes of all n-grams of a batch, the text of each, and which texts have a letter.
 
@@ -57,7 +65,7 @@ def ngram_hashes(texts: list[str | None], sizes: tuple[int, ...] = SIZES) -> tup
     owner = np.repeat(np.arange(len(padded)), size + 2)
     x = letters()[code][1:-1]
     solid = x != 32
-    has = np.bincount(owner[solid], minlength=len(padded)) > 0
+    has = np.bincount(owner[has_letter()[code][1:-1]], minlength=len(padded)) > 0
     # runs of spaces shrink to one; every text keeps its first pad
     keep = solid | np.concatenate(([True], solid[:-1] | (owner[1:] != owner[:-1])))
     x, owner = x[keep].astype(np.uint64), owner[keep]
