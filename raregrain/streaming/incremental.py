@@ -1,7 +1,7 @@
 """Chunk-incremental training in chunk order, and scoring and counting of chunk streams.
 
 Training depends on the order of the chunks, so it walks the listed files by the
-number of their ``chunk_no=<n>`` folder and notes every finished chunk. The model of a chunk is stored
+number of their ``chunk_no=<n>`` folder and notes the files of every finished chunk. The model of a chunk is stored
 before the note, and training resumes from the last noted one, so a lost driver
 costs at most the chunk in work. Scoring and counting do not depend on the order and run as file streams
 with one file per micro-batch; the chunk is taken from the path. Repeated work
@@ -10,7 +10,7 @@ overwrites its own output.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Collection, Mapping, Sequence
 from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
@@ -36,41 +36,57 @@ def _options(reader):
     return reader.option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", True)
 
 
-def chunk_files(spark: SparkSession, path: str, finished: Sequence[int] = ()) -> list[tuple[int, list[str]]]:
-    """``chunk_no`` and files of every chunk that is not in ``finished``, in order.
+def chunk_files(spark: SparkSession, path: str, noted: Mapping[int, Collection[str]] | None = None) -> list[tuple[int, list[str]]]:
+    """``chunk_no`` and files of every chunk that is not in ``noted``, the files of the finished ones, in order.
 
     The number is that of the ``chunk_no=<n>`` folder. Files outside such folders are a
-    chunk each, numbered from 1 or behind the last folder in the order they were written (ties by name). Only
+    chunk each, numbered from 1 or behind the last folder and the last finished number in the order they were written
+    (ties by name); a finished one keeps its number. A folder whose number is finished but which has files that
+    were not noted is an error, since they would never be trained. Only
     the listing, a line per file, comes to the driver; files without rows are no chunk.
     """
+    noted = noted or {}
     meta = F.col("_metadata")
     rows = _options(spark.read).parquet(path).select(meta["file_path"].alias("file"), meta["file_modification_time"].alias("at")).distinct()
     listed = rows.select("file", "at", _folder_number(F.col("file")).alias("no")).collect()
     chunks: dict[int, list[str]] = {}
     for row in sorted((r for r in listed if r.no is not None), key=lambda r: (r.no, r.file)):
         chunks.setdefault(row.no, []).append(unquote(row.file))
-    last = max(chunks, default=0)
-    for i, row in enumerate(sorted((r for r in listed if r.no is None), key=lambda r: (r.at, r.file))):
+    missed = [(no, f) for no in chunks if no in noted for f in chunks[no] if f not in noted[no]]
+    if missed:
+        raise ValueError(f"{len(missed)} files of chunks whose number is finished were not trained, the first is {missed[0][1]} of chunk {missed[0][0]}")
+    done = {f for files in noted.values() for f in files}
+    last = max([*chunks, *noted], default=0)
+    loose = sorted((r for r in listed if r.no is None and unquote(r.file) not in done), key=lambda r: (r.at, r.file))
+    for i, row in enumerate(loose):
         chunks[last + i + 1] = [unquote(row.file)]
-    return [(no, chunks[no]) for no in sorted(chunks) if no not in set(finished)]
+    return [(no, chunks[no]) for no in sorted(chunks) if no not in noted]
 
 
-def _finished(spark: SparkSession, progress: str) -> list[int]:
-    """Noted chunks in order."""
+def _finished(spark: SparkSession, progress: str) -> dict[int, set[str]]:
+    """Files of the noted chunks, in order of their numbers."""
     try:
-        return sorted(r.chunk_no for r in spark.read.schema("n_files int, chunk_no int").parquet(progress).select("chunk_no").collect())
+        rows = spark.read.schema("file string, chunk_no int").parquet(progress).collect()
     except AnalysisException:  # nothing noted so far
-        return []
+        return {}
+    if any(r.file is None for r in rows):
+        raise ValueError(f"the notes in {progress} do not name files; start again with another folder")
+    noted: dict[int, set[str]] = {}
+    for row in sorted(rows, key=lambda r: r.chunk_no):
+        noted.setdefault(row.chunk_no, set()).add(row.file)
+    return noted
 
 
 def walk_chunks(
     spark: SparkSession, path: str, schema: T.StructType, progress: str, each: Callable[[DataFrame, int, int | None], None]
 ) -> list[int]:
     """Call ``each(chunk, chunk_no, chunk_no before it)`` for every chunk not yet finished, in order; returns all finished."""
-    finished = _finished(spark, progress)
-    for chunk_no, files in chunk_files(spark, path, finished):
+    noted = _finished(spark, progress)
+    finished = list(noted)
+    for chunk_no, files in chunk_files(spark, path, noted):
         each(spark.read.schema(schema).parquet(*files), chunk_no, finished[-1] if finished else None)
-        write_pred_chunks(spark.createDataFrame([(len(files), chunk_no)], "n_files int, chunk_no int"), progress)
+        notes = spark.createDataFrame([(f, chunk_no) for f in files], "file string, chunk_no int")
+        write_pred_chunks(notes.coalesce(1), progress)
         finished.append(chunk_no)
     return finished
 
