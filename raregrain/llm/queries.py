@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from raregrain.llm import chains, chat, exact, language, mixing, packing, simhash, suffix, topk, wavelet
+from raregrain.llm import chains, chat, exact, language, mixing, packing, phrases, simhash, suffix, topk, wavelet
 from raregrain.llm.common import documents
 from raregrain.session import checkpoint_root
 
@@ -114,8 +114,51 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chains.repeated_passages(documents(spark, sf_dir))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each language's 2,000 best collocations of two to four words."""
+    return phrases.collocations(documents(spark, sf_dir))
+
+
+OP11_SQL = r"""
+WITH pieces AS MATERIALIZED (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+), words AS MATERIALIZED (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces
+), totals AS MATERIALIZED (
+  SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM words GROUP BY lang
+), places AS MATERIALIZED (
+  SELECT lang, w, unnest(generate_series(1, len(w))) AS i FROM words WHERE len(w) > 0
+), runs AS MATERIALIZED (
+  SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase FROM places, (VALUES (1), (2), (3), (4)) AS s(k) WHERE i + k - 1 <= len(w)
+), f AS MATERIALIZED (
+  SELECT lang, k, phrase, count(*) AS a FROM runs GROUP BY ALL HAVING count(*) >= 30
+), c AS MATERIALIZED (
+  SELECT *, string_split(phrase, ' ') AS w FROM f WHERE k > 1
+), cuts AS MATERIALIZED (
+  SELECT c.lang, c.phrase, c.a, s.cut, l.a AS l, r.a AS r,
+    CAST((CAST(c.a AS HUGEINT) * 2000000) // (CAST(l.a AS HUGEINT) + r.a) AS BIGINT) AS score
+  FROM c JOIN (VALUES (1), (2), (3)) AS s(cut) ON s.cut < c.k
+  JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(c.w[1:s.cut], ' ')
+  JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(c.w[s.cut + 1:c.k], ' ')
+), scored AS MATERIALIZED (
+  SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1
+), inside AS MATERIALIZED (
+  SELECT c.lang, array_to_string(c.w[s.p:s.p + m.len - 1], ' ') AS phrase, max(c.a) AS longest
+  FROM c JOIN (VALUES (2), (3)) AS m(len) ON m.len < c.k JOIN (VALUES (1), (2), (3)) AS s(p) ON s.p + m.len - 1 <= c.k
+  GROUP BY ALL
+), ranked AS MATERIALIZED (
+  SELECT s.*, row_number() OVER (PARTITION BY s.lang ORDER BY s.score DESC, s.a DESC, s.phrase) AS rank
+  FROM scored s LEFT JOIN inside i ON i.lang = s.lang AND i.phrase = s.phrase
+  WHERE i.longest IS NULL OR CAST(i.longest AS HUGEINT) * 100 < CAST(s.a AS HUGEINT) * 80
+)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""
+
+
 QUERIES = {f.__name__: f for f in (
     op1_chat_format, op2_language_id, op3_simhash, op4_best_fit_packing, op5_exact_topk, op6_token_output, op7_mix_sources, op8_exact_dedup,
-    op9_suffix_dedup, op10_substring_dedup,
+    op9_suffix_dedup, op10_substring_dedup, op11_collocations,
 )}
-ORACLES = {"op1_chat_format": OP1_SQL, "op5_exact_topk": OP5_SQL, "op8_exact_dedup": OP8_SQL}
+ORACLES = {"op1_chat_format": OP1_SQL, "op5_exact_topk": OP5_SQL, "op8_exact_dedup": OP8_SQL, "op11_collocations": OP11_SQL}
