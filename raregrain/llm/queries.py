@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from raregrain.llm import chains, chat, exact, language, mixing, packing, phrases, simhash, suffix, topk, wavelet
+from raregrain.llm import chains, chat, chosen_path, exact, language, mixing, packing, phrases, resample, simhash, suffix, topk, wavelet
 from raregrain.llm.common import documents
 from raregrain.session import checkpoint_root
 
@@ -157,8 +157,56 @@ SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang
 """
 
 
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tenth of the documents of 20 words or more, drawn towards the words of the benchmark."""
+    return resample.resample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+OP12_SQL = r"""
+WITH bytes AS MATERIALIZED (  -- the table of CRC-32 by its rule
+  SELECT list_transform(range(256), lambda b:
+    list_reduce(range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, CAST(b AS BIGINT))) AS crc
+), words AS MATERIALIZED (
+  SELECT doc_id, true AS raw, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents
+  UNION ALL
+  SELECT NULL, false, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')
+  FROM benchmark
+), counted AS MATERIALIZED (
+  SELECT raw, doc_id, x, count(*) AS c FROM (SELECT raw, doc_id, unnest(w) AS x FROM words) GROUP BY ALL
+), hashed AS MATERIALIZED (
+  SELECT x, xor(list_reduce(list_transform(range(octet_length(encode(x))), lambda i: CAST('0x' || substr(hex(encode(x)), 2 * i + 1, 2) AS BIGINT)),
+    lambda c, b: xor(c >> 8, crc[(xor(c, b) & 255) + 1]), CAST(4294967295 AS BIGINT)), 4294967295) % 10000 AS bucket
+  FROM (SELECT DISTINCT x FROM counted), bytes
+), histogram AS MATERIALIZED (
+  SELECT bucket, CAST(sum(CASE WHEN raw THEN c ELSE 0 END) AS DOUBLE) AS s, CAST(sum(CASE WHEN raw THEN 0 ELSE c END) AS DOUBLE) AS t
+  FROM counted JOIN hashed USING (x) GROUP BY bucket
+), gains AS MATERIALIZED (
+  SELECT bucket, CAST(floor(1000 * ln((t + 1) * ((SELECT sum(s) FROM histogram) + 10000) / ((s + 1) * ((SELECT sum(t) FROM histogram) + 10000)))) AS BIGINT) AS gain
+  FROM histogram
+), weights AS MATERIALIZED (
+  SELECT doc_id, CAST(sum(c * gain) AS BIGINT) AS weight FROM counted JOIN hashed USING (x) JOIN gains USING (bucket) WHERE raw GROUP BY doc_id
+), scored AS MATERIALIZED (
+  SELECT doc_id, CAST(len(w) AS BIGINT) AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0)
+    + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('2024:' || doc_id), 1, 8) AS BIGINT) + 0.5) / 4294967296))) AS BIGINT) AS score
+  FROM words LEFT JOIN weights USING (doc_id) WHERE raw
+), drawn AS (
+  SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM scored WHERE n_features >= 20
+  QUALIFY rank <= (SELECT count(*) FROM scored WHERE n_features >= 20) * 10 // 100
+)
+SELECT scored.doc_id, n_features, weight, score, rank FROM scored LEFT JOIN drawn USING (doc_id)
+"""
+
+
+def op13_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate component of every document by its four-word shingles."""
+    return chosen_path.near_groups(documents(spark, sf_dir))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_chat_format, op2_language_id, op3_simhash, op4_best_fit_packing, op5_exact_topk, op6_token_output, op7_mix_sources, op8_exact_dedup,
-    op9_suffix_dedup, op10_substring_dedup, op11_collocations,
+    op9_suffix_dedup, op10_substring_dedup, op11_collocations, op12_importance_resampling, op13_minhash_dedup,
 )}
-ORACLES = {"op1_chat_format": OP1_SQL, "op5_exact_topk": OP5_SQL, "op8_exact_dedup": OP8_SQL, "op11_collocations": OP11_SQL}
+ORACLES = {"op1_chat_format": OP1_SQL, "op5_exact_topk": OP5_SQL, "op8_exact_dedup": OP8_SQL, "op11_collocations": OP11_SQL, "op12_importance_resampling": OP12_SQL}
