@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from raregrain.llm.common import mixed, raw_text, store, text_slices
 from raregrain.operators.ranking import with_sorted_position
 
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 8 << 20
 #: A tile has 2**TILE_BITS ids on either side; ids stay below 2**31.
 TILE_BITS = 10
 ID_BITS = 31
