@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from raregrain.functions.text import ratio_or_zero
-from raregrain.operators.ranking import running_sums
+from raregrain.functions.vectors import as_array
+from raregrain.operators.ranking import running_sums, stratified_running_sums
 from raregrain.session import freeze
 
 
@@ -149,6 +150,40 @@ def average_precision(df: DataFrame, label: str = "y", score: str = "score") ->
     )
 
 
+def staged_curve(steps: DataFrame, stratum: str) -> DataFrame:
+    """``<stratum>, average_precision`` of every stratum of a table ``<stratum>, score, pos, neg`` with one row per score.
+
+    Null for a stratum without positive rows.
+    """
+    sums = stratified_running_sums(steps, [stratum], [F.col("score").desc()], {"tp": "pos", "fp": "neg"})
+    gained = F.when(F.col("pos") > 0, F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp"))).otherwise(0.0)
+    return sums.groupBy(stratum).agg(F.try_divide(F.sum(gained), F.sum("pos").cast("double")).alias("average_precision"))
+
+
+def average_precision_by_class(df: DataFrame, label: str = "y", probability: str = "probability") -> DataFrame:
+    """``class, support, average_precision`` of every class against the rest, from a vector of a score per class.
+
+    Vectors are unpacked to (class, score) and summed by both before the only shuffle of rows, so that all curves
+    come from one pass. A class without rows has support 0 and no area (null), as has one that holds all rows, whose rest is empty.
+    Rows with a null label or vector take no part; labels beyond the vector count in the rest of every class.
+    """
+    known = df.select(F.col(label).cast("int").alias("_y"), F.when(F.col(probability).isNotNull(), as_array(df, probability)).alias("_p")).where("_y IS NOT NULL AND _p IS NOT NULL")
+    rows = known.select("_y", F.posexplode("_p").alias("class", "score"))
+    own = F.col("_y") == F.col("class")
+    steps = freeze(rows.groupBy("class", "score").agg(F.count_if(own).alias("pos"), F.count_if(~own).alias("neg")))
+    sizes = steps.groupBy("class").agg(F.sum("pos").alias("support"), F.sum("neg").alias("_rest"))
+    areas = sizes.join(staged_curve(steps, "class"), "class")
+    area = F.when((F.col("support") > 0) & (F.col("_rest") > 0), F.col("average_precision"))
+    return areas.select("class", "support", area.alias("average_precision"))
+
+
+def mean_average_precision(by_class: DataFrame) -> DataFrame:
+    """One row: the plain mean of the areas and the mean weighted by support, over classes that have an area."""
+    area = F.col("average_precision")
+    known = F.when(area.isNotNull(), F.col("support"))
+    return by_class.agg(F.avg(area).alias("macro"), F.try_divide(F.sum(area * known), F.sum(known)).alias("weighted"))
+
+
 def auc_pr(df: DataFrame, label: str = "y", score: str = "score", start: str = "one") -> DataFrame:
     """Trapezoid area under the precision-recall curve.
 

@@ -195,3 +195,20 @@ def running_sums(df: DataFrame, order_by: Sequence[Column], sums: Mapping[str, C
     return attach_small(sliced, offsets, ["_slice"]).select(
         *columns, *[(F.sum(f"_v_{n}").over(inside) + F.col(f"_o_{n}")).alias(n) for n in names]
     )
+
+
+def stratified_running_sums(df: DataFrame, strata: Sequence[str], order_by: Sequence[Column], sums: Mapping[str, str]) -> DataFrame:
+    """Running totals inside every stratum in the order of ``order_by``, which must identify a stratum's rows.
+
+    As :func:`running_sums`, with slices of the order of stratum and row: a large stratum has many slices and a slice may
+    hold many strata. Totals per slice and stratum, at most one more than there are slices and strata, give the offsets.
+    """
+    names, strata = list(sums), list(strata)
+    sliced = freeze(df.repartitionByRange(*strata, *order_by).withColumn("_slice", F.spark_partition_id()))
+    totals = sliced.groupBy(*strata, "_slice").agg(*[F.sum(c).alias(f"_t_{n}") for n, c in sums.items()])
+    earlier = Window.partitionBy(*strata).orderBy("_slice")
+    offsets = totals.select(*strata, "_slice", *[(F.sum(f"_t_{n}").over(earlier) - F.col(f"_t_{n}")).alias(f"_o_{n}") for n in names])
+    inside = Window.partitionBy(*strata, "_slice").orderBy(*order_by).rowsBetween(Window.unboundedPreceding, 0)
+    return attach_small(sliced, freeze(offsets), [*strata, "_slice"]).select(
+        *df.columns, *[(F.sum(c).over(inside) + F.col(f"_o_{n}")).alias(n) for n, c in sums.items()]
+    )

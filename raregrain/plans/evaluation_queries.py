@@ -214,3 +214,34 @@ def _(spark, sf_dir):
 @query("prediction_counts", f"WITH {SCORED_SQL} SELECT prediction, count(*) AS n_rows FROM scored GROUP BY prediction")
 def _(spark, sf_dir):
     return evaluate.prediction_counts(scored(spark, sf_dir), "prediction")
+
+
+_CLASSES = 10
+_CLASS_AREAS = f"""WITH rows_ AS (
+ SELECT label, unnest(range({_CLASSES})) AS class, unnest(list_transform(embedding[1:{_CLASSES}], lambda x: (1 + cast(x as double)) / 2)) AS score
+ FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL),
+ steps AS (SELECT class, score, count(*) FILTER (label = class) AS pos, count(*) FILTER (label <> class) AS neg FROM rows_ GROUP BY class, score),
+ sums AS (SELECT *, sum(pos) over w AS tp, sum(neg) over w AS fp FROM steps WINDOW w AS (PARTITION BY class ORDER BY score DESC)),
+ areas AS (SELECT cast(class as integer) AS class, cast(sum(pos) as bigint) AS support,
+ CASE WHEN sum(pos) > 0 AND sum(neg) > 0 THEN sum(pos * (tp / cast(tp + fp as double))) / sum(pos) END AS average_precision
+ FROM sums GROUP BY class)"""
+
+
+def _class_areas(spark, sf_dir):
+    scores = F.transform(F.slice("embedding", 1, _CLASSES), lambda x: (1 + x.cast("double")) / 2)
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("label", F.when(F.col("embedding").isNotNull(), scores).alias("probability"))
+    return evaluate.average_precision_by_class(rows, "label")
+
+
+@query("average_precision_by_class", f"{_CLASS_AREAS} SELECT class, support, round(average_precision, 6) AS average_precision FROM areas")
+def _(spark, sf_dir):
+    return _rounded(_class_areas(spark, sf_dir))
+
+
+@query(
+    "mean_average_precision",
+    f"{_CLASS_AREAS} SELECT round(avg(average_precision), 6) AS macro, "
+    "round(sum(average_precision * support) / sum(support) FILTER (average_precision IS NOT NULL), 6) AS weighted FROM areas",
+)
+def _(spark, sf_dir):
+    return _rounded(evaluate.mean_average_precision(_class_areas(spark, sf_dir)))

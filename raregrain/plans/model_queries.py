@@ -6,15 +6,16 @@ searched, chunks, whether scores agree with predictions. The rest is checked in
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from raregrain.operators import anomaly, classifiers, evaluate, tuning
+from raregrain.operators import anomaly, boosting, classifiers, evaluate, tuning
 from raregrain.operators.sampling import kfold, stratified_split
-from raregrain.operators.stats import class_counts, class_weights
+from raregrain.operators.stats import class_counts, class_weights, mean_metrics
 from raregrain.plans.fixtures import SCORED_SQL, VECTORS_SQL, scored, vectors
 from raregrain.plans.registry import query
 from raregrain.plans.source_queries import scratch
+from raregrain.session import freeze
 from raregrain.sources.sinks import load_pred_chunks, write_chunks
 from raregrain.streaming import incremental
 
@@ -219,3 +220,70 @@ def _(spark, sf_dir):
     paths = incremental.train_ensemble(*_vector_chunks(spark, sf_dir), root, fit, label="binds")
     models = [GBTClassificationModel.load(p) for p in paths]
     return _classes(evaluate.confusion(incremental.score_ensemble(vectors(spark, sf_dir), models, keep=["binds"]), "binds"))
+
+
+#: Trees that a chunk adds, and the loss of a constant prediction on rows whose classes are balanced.
+_ROUNDS = 3
+_CONSTANT_LOSS = "0.69314"
+
+
+def _boosted_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = scratch(spark, "boosted")
+    incremental.train_boosted(*_vector_chunks(spark, sf_dir), root, _ROUNDS, step=0.3)
+    return spark.read.parquet(f"{root}/log")
+
+
+@query(
+    "boosted_chunks",
+    f"""WITH {VECTORS_SQL}, sizes AS (
+ SELECT cast((i - 1) // 200 + 1 as integer) AS chunk_no, count(*) AS n_rows FROM (SELECT row_number() over (order by id) AS i FROM vectors) GROUP BY 1)
+ SELECT chunk_no, n_rows, cast((chunk_no - 1) * {_ROUNDS} + r as integer) AS round, true AS falls, true AS beats_constant, true AS beats_share
+ FROM sizes, range(1, {_ROUNDS} + 1) t(r)""",
+)
+def _(spark, sf_dir):
+    log = _boosted_log(spark, sf_dir)
+    before = F.lag("logloss").over(Window.partitionBy("chunk_no").orderBy("round"))
+    falls = F.col("logloss") < F.coalesce(before, F.lit(float("inf")))
+    # with balanced classes a constant has a loss of ln 2 and an area of one half
+    return log.select(
+        "chunk_no", "n_rows", "round", falls.alias("falls"), (F.col("logloss") < float(_CONSTANT_LOSS)).alias("beats_constant"),
+        (F.col("aucpr") > 0.55).alias("beats_share"),
+    )
+
+
+@query(
+    "mean_round_metrics",
+    f"""WITH {VECTORS_SQL} SELECT cast(c as integer) AS chunk_no, true AS between_ends, true AS beats_constant, true AS beats_share FROM (
+ SELECT (row_number() over (order by id) - 1) // 200 + 1 AS c FROM vectors) GROUP BY c""",
+)
+def _(spark, sf_dir):
+    log = _boosted_log(spark, sf_dir)
+    ends = log.groupBy("chunk_no").agg(F.min("logloss").alias("low"), F.max("logloss").alias("high"))
+    return mean_metrics(log).join(ends, "chunk_no").select(
+        "chunk_no", ((F.col("mean_logloss") > F.col("low")) & (F.col("mean_logloss") < F.col("high"))).alias("between_ends"),
+        (F.col("mean_logloss") < float(_CONSTANT_LOSS)).alias("beats_constant"), (F.col("mean_aucpr") > 0.55).alias("beats_share"),
+    )
+
+
+@query("boost_rounds", "SELECT cast(r as integer) AS round, true AS falls, true AS beats_constant, true AS beats_share, true AS last_agrees FROM range(1, 7) t(r)")
+def _(spark, sf_dir):
+    rows = freeze(class_weights(vectors(spark, sf_dir), "binds"))
+    model = boosting.boost(rows, 6, weight="sample_weights", step=0.3)
+    metrics = boosting.round_metrics(rows, model, weight="sample_weights")
+    scored = model.transform(rows)
+    own = evaluate.log_loss(scored, "binds", "p1", weight="sample_weights").withColumnRenamed("log_loss", "own")
+    joined = metrics.join(own.withColumn("last", F.lit(model.rounds)), F.col("round") == F.col("last"), "left")
+    before = F.lag("logloss").over(Window.partitionBy(F.lit(0)).orderBy("round"))  # one row per round
+    return joined.select(
+        "round", (F.col("logloss") < F.coalesce(before, F.lit(float("inf")))).alias("falls"),
+        (F.col("logloss") < float(_CONSTANT_LOSS)).alias("beats_constant"), (F.col("aucpr") > 0.55).alias("beats_share"),
+        F.coalesce(F.abs(F.col("own") - F.col("logloss")) < 1e-9, F.lit(True)).alias("last_agrees"),
+    )
+
+
+@query("boosted_score", "SELECT vec_id AS id, true AS agrees, true AS separates FROM embeddings")
+def _(spark, sf_dir):
+    rows = freeze(class_weights(vectors(spark, sf_dir), "binds"))
+    scored = freeze(boosting.boost(rows, 6, weight="sample_weights", step=0.3).transform(rows, ["id", "binds"]))
+    area = evaluate.auc_roc(scored, "binds", "p1").select((F.col("auc_roc") > 0.7).alias("separates"))
+    return scored.select("id", _agrees()).join(F.broadcast(area))  # one row

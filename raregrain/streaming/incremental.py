@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from raregrain.functions.vectors import class1_probability
+from raregrain.operators.boosting import BoostedTrees, boost, round_metrics
 from raregrain.operators.classifiers import fit_mlp
 from raregrain.operators.evaluate import average_precision, log_loss
 from raregrain.operators.stats import class_weights
@@ -166,6 +167,37 @@ def train_incremental(
     return final
 
 
+def train_boosted(
+    spark: SparkSession, path: str, schema: T.StructType, root: str, rounds: int, label: str = "binds", features: str = "vectors",
+    step: float = 0.1, **tree: object,
+) -> BoostedTrees:
+    """Boost on chunk after chunk of ``path`` in order, each adding ``rounds`` trees to those of the chunks before it.
+
+    Rows of a chunk are weighted to balance its classes. Per chunk the whole ensemble is stored, and metrics after each of its rounds
+    go to ``<root>/log`` (``chunk_no, n_rows, round, logloss, aucpr``). After a loss the chunk in work is fitted again from the
+    stored ensemble before it, which gives the same trees.
+    """
+
+    def each(df: DataFrame, chunk_no: int, before: int | None) -> None:
+        chunk = class_weights(df, label).persist()
+        try:
+            start = None if before is None else BoostedTrees.load(spark, model_path(root, before), features)
+            model = boost(chunk, rounds, start, label, features, "sample_weights", step, **tree)
+            model.save(spark, model_path(root, chunk_no))
+            log = round_metrics(chunk, model, model.rounds - rounds + 1, label, "sample_weights")
+            log = log.withColumns({"n_rows": F.lit(chunk.count()), "chunk_no": F.lit(chunk_no)})
+            write_pred_chunks(log.coalesce(1), f"{root}/log")
+        finally:
+            chunk.unpersist()
+
+    finished = walk_chunks(spark, path, schema, f"{root}/progress", each)
+    if not finished:
+        raise ValueError(f"no chunks under {path}")
+    final = BoostedTrees.load(spark, model_path(root, finished[-1]), features)
+    final.save(spark, f"{root}/models/Final_ckpt")
+    return final
+
+
 def train_ensemble(
     spark: SparkSession, path: str, schema: T.StructType, root: str, fit: Callable[[DataFrame], Model], label: str | None = None
 ) -> list[str]:
