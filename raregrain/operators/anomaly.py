@@ -19,13 +19,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from raregrain.functions.vectors import as_array, class1_probability
+from raregrain.operators.sampling import kfold
 from raregrain.session import freeze
 
 #: Largest sample grown in one task; the published method uses 256.
 MAX_TREE_ROWS = 100_000
 #: Largest forest shipped to the scoring tasks, in nodes of 36 bytes.
 MAX_FOREST_NODES = 5_000_000
-_NODES = 5_000_000
 #: Copies of a row that one task numbers.
 _COPIES = 10_000
 #: Extra rows drawn so that a tree seldom falls short of its sample size.
@@ -232,3 +232,45 @@ def calibrate(df: DataFrame, score: str, label: str = "y", method: str = "isoton
         return scored.select(*table.columns, (1 - p1).alias("p0"), p1.alias("p1"))
 
     return apply
+
+
+@dataclass
+class CalibrationEnsemble:
+    """Maps from score to ``P(label = 1)``, one per fold; a row gets the mean of their probabilities."""
+
+    maps: list
+
+    def __call__(self, table: DataFrame) -> DataFrame:
+        """Add ``p0, p1``."""
+        columns, names = table.columns, [f"_p{i}" for i in range(len(self.maps))]
+        for name, apply in zip(names, self.maps):
+            table = apply(table).drop("p0").withColumnRenamed("p1", name)
+        mean = sum((F.col(n) for n in names), F.lit(0.0)) / len(names)
+        return table.select(*columns, (1 - mean).alias("p0"), mean.alias("p1"))
+
+    def fits(self, df: DataFrame, label: str = "y", fold: str = "fold") -> DataFrame:
+        """``fold, n_rows, n_positive, sum_p1`` of every map on the rows it was fitted on; a sigmoid's sum equals its positives."""
+        out = None
+        for i, apply in enumerate(self.maps):
+            rows = apply(df.where(F.col(fold) == i))
+            sums = rows.agg(F.count(F.lit(1)).alias("n_rows"), F.sum(F.col(label).cast("bigint")).alias("n_positive"), F.sum("p1").alias("sum_p1"))
+            sums = sums.select(F.lit(i).alias("fold"), "*")
+            out = sums if out is None else out.unionByName(sums)
+        return out
+
+
+def calibrate_folds(
+    df: DataFrame, score: str, label: str = "y", method: str = "platt", folds: int = 5, key: str = "id", seed: int = 42,
+    higher_is_anomalous: bool = True, fold: str = "fold",
+) -> tuple[CalibrationEnsemble, DataFrame]:
+    """Calibrate a given score ``folds`` times, on one stratified fold each, and average; also returns ``df`` with its ``fold``.
+
+    The score comes from a model that is not fitted again, so each fold's rows are new to every other map. A fold
+    needs rows of both classes, else it is an error.
+    """
+    marked = freeze(kfold(df, label, folds, key, seed, fold))
+    classes = marked.groupBy(fold).agg(F.countDistinct(F.when(F.col(label).isin(0, 1), F.col(label))).alias("n"))
+    if classes.where("n = 2").count() < folds:
+        raise ValueError(f"every one of {folds} folds needs rows of both classes")
+    maps = [calibrate(marked.where(F.col(fold) == i), score, label, method, higher_is_anomalous) for i in range(folds)]
+    return CalibrationEnsemble(maps), marked

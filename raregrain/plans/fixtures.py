@@ -77,6 +77,20 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Sum of two components above which a vector has label 1, about a tenth of all.
+LEARNABLE_ABOVE = 0.227
+
+
+def learnable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``vectors`` with a rare label that follows from the features, so that a fit can be told from a constant."""
+    first, second = (F.get("embedding", F.lit(i)).cast("double") for i in (0, 1))
+    return table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").alias("id"),
+        array_to_vector(F.col("embedding").cast("array<double>")).alias("vectors"),
+        (first + second > LEARNABLE_ABOVE).cast("int").alias("binds"),
+    )
+
+
 def doc_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled documents."""
     return table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
@@ -110,6 +124,11 @@ VECTORS_SQL = """vectors AS (
   SELECT vec_id AS id, cast(embedding as double[]) AS vectors, cast(label = 3 as integer) AS binds FROM embeddings)"""
 
 
+LEARNABLE_SQL = f"""vectors AS (
+  SELECT vec_id AS id, cast(embedding as double[]) AS vectors,
+         cast(cast(embedding[1] as double) + cast(embedding[2] as double) > cast({LEARNABLE_ABOVE} as double) as integer) AS binds FROM embeddings)"""
+
+
 def hash_sql(key: str, seed: int) -> str:
     """The portable hash key in SQL."""
     return f"cast('0x' || substr(md5(concat(cast({key} as varchar), ':{seed}')), 1, 8) as bigint)"

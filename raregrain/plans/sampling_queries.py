@@ -4,16 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from raregrain.operators import sampling
+from raregrain.operators import feed, sampling
 from raregrain.operators.ranking import with_position
+from raregrain.operators.stats import class_weights
 from raregrain.plans.fixtures import LABELLED_SQL, hash_sql, labelled
 from raregrain.plans.registry import query
+from raregrain.plans.source_queries import scratch
 from raregrain.session import freeze
 
 SEED = 42
 _H = hash_sql("id", SEED)
 _HASHED = f"{LABELLED_SQL}, hashed AS (SELECT id, y, {_H} AS h FROM labelled)"
-_RANKED = f"""{_HASHED}, ranked AS (
+RANKED_SQL = f"""{_HASHED}, ranked AS (
  SELECT id, y, h, row_number() over (partition by y order by h, id) AS rk, count(*) over (partition by y) AS n FROM hashed)"""
 
 
@@ -31,7 +33,7 @@ def _(spark, sf_dir):
     return with_position(_frozen_rows(spark, sf_dir), "id", SEED).select("id", "position")
 
 
-@query("class_rank", f"WITH {_RANKED} SELECT id, y, rk AS position FROM ranked")
+@query("class_rank", f"WITH {RANKED_SQL} SELECT id, y, rk AS position FROM ranked")
 def _(spark, sf_dir):
     return with_position(_frozen_rows(spark, sf_dir), "id", SEED, ["y"])
 
@@ -82,23 +84,23 @@ def _(spark, sf_dir):
 
 @query(
     "stratified_split",
-    f"WITH {_RANKED} SELECT id, y, cast(rk <= ceil(cast(0.7 as double) * n) as integer) AS is_train FROM ranked",
+    f"WITH {RANKED_SQL} SELECT id, y, cast(rk <= ceil(cast(0.7 as double) * n) as integer) AS is_train FROM ranked",
 )
 def _(spark, sf_dir):
     return sampling.stratified_split(_frozen_rows(spark, sf_dir), "y", 0.7)
 
 
-_FOLD = " + ".join(f"cast(rk > n * {j} // 5 as integer)" for j in range(1, 5))
+FOLD_SQL = " + ".join(f"cast(rk > n * {j} // 5 as integer)" for j in range(1, 5))
 
 
-@query("kfold", f"WITH {_RANKED} SELECT id, y, {_FOLD} AS fold FROM ranked")
+@query("kfold", f"WITH {RANKED_SQL} SELECT id, y, {FOLD_SQL} AS fold FROM ranked")
 def _(spark, sf_dir):
     return sampling.kfold(_frozen_rows(spark, sf_dir), "y", 5)
 
 
 @query(
     "balanced_batches",
-    f"""WITH {_RANKED}, zeros AS (SELECT id, y, (rk - 1) // 17 AS batch_no FROM ranked WHERE y = 0),
+    f"""WITH {RANKED_SQL}, zeros AS (SELECT id, y, (rk - 1) // 17 AS batch_no FROM ranked WHERE y = 0),
  ones AS (SELECT id, y, rk, n FROM ranked WHERE y = 1),
  slots AS (SELECT i FROM range((SELECT (max(batch_no) + 1) * 16 FROM zeros)) t(i))
  SELECT id, y, cast(batch_no as bigint) AS batch_no FROM zeros UNION ALL
@@ -115,3 +117,49 @@ def _(spark, sf_dir):
 )
 def _(spark, sf_dir):
     return sampling.minibatch_stats(_frozen_rows(spark, sf_dir))
+
+
+@query(
+    "resample_weighted",
+    f"""WITH {RANKED_SQL}, sized AS (SELECT *, cast(round(count(*) over () / (2.0::double * n) * {sampling.WEIGHT_UNITS}) as hugeint) AS u FROM ranked),
+ target AS (SELECT *, (n * u + {sampling.WEIGHT_UNITS // 2}) // {sampling.WEIGHT_UNITS} AS t FROM sized),
+ taken AS (SELECT id, y, cast((rk * u * t) // (n * u) - ((rk - 1) * u * t) // (n * u) as bigint) AS c FROM target)
+ SELECT id, y, cast(unnest(range(1, c + 1)) as integer) AS copy FROM taken WHERE c > 0""",
+)
+def _(spark, sf_dir):
+    rows = class_weights(_frozen_rows(spark, sf_dir), "y")
+    return sampling.resample_weighted(rows, "sample_weights", ["y"], seed=SEED).select("id", "y", "copy")
+
+
+class _Stopped(Exception):
+    """A run that ends in the middle."""
+
+
+@query(
+    "batch_feed",
+    f"""WITH {_HASHED} SELECT cast(b as bigint) AS batch_id, count(*) AS n_rows, cast(sum(id % 1000003) as bigint) AS checksum, 1 AS times_fed FROM (
+ SELECT id, (row_number() over (order by h, id) - 1) // 1024 AS b FROM hashed) GROUP BY b""",
+)
+def _(spark, sf_dir):
+    """Fed, stopped after two ranges and fed on: every batch once, the short last one too."""
+    root = scratch(spark, "feed")
+    feed.lay_out_batches(_frozen_rows(spark, sf_dir), f"{root}/batches", 1024, every=16)
+
+    def run(stop: int | None) -> None:
+        calls = []
+
+        def each(rows, number):
+            if len(calls) == stop:
+                raise _Stopped
+            calls.append(number)
+            sums = rows.groupBy("batch_id").agg(F.count(F.lit(1)).alias("n_rows"), F.sum(F.col("id") % 1000003).alias("checksum"))
+            sums.coalesce(1).write.mode("append").parquet(f"{root}/fed")
+
+        feed.feed_batches(spark, f"{root}/batches", f"{root}/progress", each)
+
+    try:
+        run(2)
+    except _Stopped:
+        run(None)
+    fed = spark.read.parquet(f"{root}/fed").groupBy("batch_id", "n_rows", "checksum")
+    return fed.agg(F.count(F.lit(1)).cast("int").alias("times_fed"))

@@ -24,7 +24,9 @@ from raregrain.functions.vectors import class1_probability
 from raregrain.operators.boosting import BoostedTrees, boost, round_metrics
 from raregrain.operators.classifiers import fit_mlp
 from raregrain.operators.evaluate import average_precision, log_loss
+from raregrain.operators.sampling import resample_weighted
 from raregrain.operators.stats import class_weights
+from raregrain.session import freeze
 from raregrain.sources.sinks import write_pred_chunks
 
 
@@ -134,12 +136,14 @@ def train_incremental(
     features: str = "vectors",
     max_iter: int = 100,
     seed: int = 42,
+    key: str = "id",
 ) -> MultilayerPerceptronClassificationModel:
     """Train on chunk after chunk of ``path`` in order, each fit starting from the weights of the last.
 
     Per chunk: fit, model checkpoint, log loss (rows weighted to balance the
-    classes) and average precision. Logs are stored under ``<root>/log``. The
-    perceptron takes no row weights, so these enter the log only.
+    classes) and average precision. The perceptron takes no row weights, so it is fitted on rows that are repeated
+    or left out in proportion to theirs (:func:`resample_weighted`): both classes have half of the copies. Logs are
+    stored under ``<root>/log``, with the copies of both classes.
     """
 
     def each(df: DataFrame, chunk_no: int, before: int | None) -> None:
@@ -148,13 +152,15 @@ def train_incremental(
             start = None
             if before is not None:
                 start = MultilayerPerceptronClassificationModel.load(model_path(root, before)).weights
-            model = fit_mlp(chunk, layers, label, features, max_iter, seed, start)
+            balanced = freeze(resample_weighted(chunk, "sample_weights", [label], key, seed).select(label, features))
+            model = fit_mlp(balanced, layers, label, features, max_iter, seed, start)
             model.write().overwrite().save(model_path(root, chunk_no))
             scored = model.transform(chunk)
             scored = scored.select(F.col(label).alias("y"), "sample_weights", class1_probability(scored).alias("score"))
             loss, precision = log_loss(scored, weight="sample_weights").first()[0], average_precision(scored).first()[0]
-            entry = [(chunk.count(), loss, precision)]
-            log = spark.createDataFrame(entry, "n_rows bigint, logloss double, aucpr double")
+            fitted = balanced.agg(F.count_if(F.col(label) == 0), F.count_if(F.col(label) == 1)).first()
+            entry = [(chunk.count(), *fitted, loss, precision)]
+            log = spark.createDataFrame(entry, "n_rows bigint, n_fit_0 bigint, n_fit_1 bigint, logloss double, aucpr double")
             write_pred_chunks(log.withColumn("chunk_no", F.lit(chunk_no)), f"{root}/log")
         finally:
             chunk.unpersist()
