@@ -3,22 +3,23 @@
 1. A text becomes its set of shingle hashes, and the set ``COORDINATES`` minwise tokens (the least of its shingles
    under as many hash functions). Equal sets are linked to their first row; only that row goes on.
 2. A tree starts with all rows in one node. A node chooses one coordinate, or with some probability two, so that
-   it has ``1 / similarity`` children a row on average; a row goes to the child named by its minwise token there. Nodes
-   of one row end, nodes of up to ``LEAF`` rows are leaves, larger ones branch again, up to ``DEPTH`` times. A
-   pair at the threshold stays together in some branch with a known probability; independent trees are repeated until
-   the chance that all of them miss it is below ``1 - recall``.
-3. Leaves are compared exhaustively by their tokens. First every row proposes the most alike of the earlier ones
-   it met in all trees; those are confirmed on full sets and joined to components. Then all pairs in a leaf that lie in
-   different components and may be similar are confirmed, so that no group of copies is expanded into its pairs, and no link
-   that connects different components is left out.
-4. A node that is still large after ``DEPTH`` choices (rows that are nearly alike) is cut into blocks for the first
-   comparison. For the second, its rows outside the largest component are compared with all of its rows, block by block.
+   it has ``1 / similarity`` children a row on average; a row goes to the child named by its minwise token there. The first
+   ``SEEDED`` choices are made at once. Nodes of one row end, nodes of up to ``LEAF`` rows are leaves, larger ones branch
+   again, up to ``DEPTH`` choices. A pair at the threshold stays together in some branch with a known probability;
+   independent trees are repeated until the chance that all of them miss it is below ``1 - recall``.
+3. Leaves are compared exhaustively by a byte of every token: pairs that may be similar join their rows to one cluster, and a leaf
+   sends the joins alone, not its pairs. Rows of a node that is still large after ``DEPTH`` choices share as many
+   tokens and are one cluster.
+4. A row is in one cluster, and its full set travels there once. All pairs of a cluster are compared on full sets,
+   and again only what joins them is sent on. A cluster of more than ``BLOCK`` rows is cut into random blocks first; then the
+   rows outside its largest component are compared with all of its rows, block by block, so that copies that are linked anyhow,
+   however many, are not compared again, and no link between different components is left out.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,9 @@ from raregrain.llm.common import components, is_space, keyed, mixed, ranges, raw
 
 COORDINATES = 64
 LEAF = 48
-DEPTH = 6
+SEEDED, DEPTH = 2, 4
+#: Rows of a cluster that are compared with each other, or with as many others, in one go.
+BLOCK = 256
 #: Standard deviations by which the share of equal tokens may fall below the threshold in a leaf.
 SLACK = 4.2
 
@@ -117,152 +120,180 @@ def _nodes(rows: DataFrame, similarity: float, trees: int, depth: int, leaf: int
     def root(at: Column) -> Column:
         return F.xxhash64("tree", at, F.element_at("tokens", (at + 1).cast("int")))
 
-    level = placed.select("key", F.explode(F.when(more, F.array(root(first), root(first + 1))).otherwise(F.array(root(first)))).alias("node"))
-    leaves = None
-    for at in range(1, depth + 1):
+    level = placed.select("key", "tokens", F.explode(F.when(more, F.array(root(first), root(first + 1))).otherwise(F.array(root(first)))).alias("node"))
+    for _ in range(1, min(SEEDED, depth)):
+        level = level.select("key", "tokens", _children(F.col("node"), second).alias("node"))
+    level, leaves = level.select("key", "node"), None
+    for at in range(min(SEEDED, depth), depth + 1):
         level = store(level, "level")
         sizes = store(level.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "sizes")
         small = level.join(sizes.where(F.col("size") <= leaf).select("node"), "node")
         leaves = small if leaves is None else leaves.unionByName(small)
-        big = level.join(sizes.where(F.col("size") > leaf), "node")
+        big = level.join(sizes.where(F.col("size") > leaf).select("node"), "node")
         if at == depth or big.isEmpty():
             break
-        level = big.drop("size").join(rows.select("key", "tokens"), "key").select("key", _children(F.col("node"), second).alias("node"))
+        level = big.join(rows.select("key", "tokens"), "key").select("key", _children(F.col("node"), second).alias("node"))
     return leaves, big
 
 
-def _compare(batches: Iterator[pa.RecordBatch], least: int, percent: int, all_pairs: bool) -> Iterator[pa.RecordBatch]:
-    """``a, b, equal``: pairs of rows of a node with ``least`` equal tokens, batches being sorted by node and key.
-
-    Either each row's best pair with a row before it, or every pair of rows in different components.
-    """
-    held = None
+def _groups(batches: Iterator[pa.RecordBatch], name: str) -> Iterator[pa.Table]:
+    """Tables of whole groups of batches that are sorted by the column ``name``, about a batch of rows at a time."""
+    held: list[pa.RecordBatch] = []
     for batch in batches:
-        table = pa.Table.from_batches([batch])
-        table = pa.concat_tables([held, table]) if held is not None else table
-        node = table.column("node").to_numpy()
-        last = int(np.searchsorted(node, node[-1])) if len(node) else 0  # the last node may go on
-        yield from _pairs(table.slice(0, last), least, percent, all_pairs)
-        held = table.slice(last)
-    if held is not None:
-        yield from _pairs(held, least, percent, all_pairs)
-
-
-def _pairs(table: pa.Table, least: int, percent: int, all_pairs: bool, rows: int = 1 << 15) -> Iterator[pa.RecordBatch]:
-    """Pairs of whole nodes, about ``rows`` comparisons at a time."""
-    if not table.num_rows:
-        return
-    node, key, n = (table.column(c).to_numpy() for c in ("node", "key", "n"))
-    part = table.column("part").to_numpy() if all_pairs else None
-    tokens = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, COORDINATES)
-    begins = np.flatnonzero(np.concatenate(([True], node[1:] != node[:-1])))
-    place = np.arange(len(node)) - np.repeat(begins, np.diff(np.concatenate((begins, [len(node)]))))
-    ends = np.concatenate(([0], np.cumsum(place)))  # a row is compared with those before it
-    start = 0
-    while start < len(node):
-        stop = max(start + 1, int(np.searchsorted(ends, ends[start] + rows, "right")) - 1)
-        b = np.repeat(np.arange(start, stop), place[start:stop])
-        a = b - 1 - ranges(place[start:stop])
-        may = (np.minimum(n[a], n[b]) * 100 >= np.maximum(n[a], n[b]) * percent) & (key[a] != key[b])
-        if all_pairs:
-            may &= part[a] != part[b]
-        a, b = a[may], b[may]
-        equal = (tokens[a] == tokens[b]).sum(axis=1)
-        good = equal >= least
-        a, b, equal = a[good], b[good], equal[good]
-        if not all_pairs and len(b):
-            order = np.lexsort((-equal, b))
-            best = order[np.concatenate(([True], b[order][1:] != b[order][:-1]))]
-            a, b, equal = a[best], b[best], equal[best]
-        yield pa.record_batch([pa.array(key[a]), pa.array(key[b]), pa.array(equal.astype(np.int32))], names=["a", "b", "equal"])
-        start = stop
-
-
-def _candidates(met: DataFrame, least: int, percent: int, all_pairs: bool) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _compare(batches, least, percent, all_pairs)
-
-    ordered = met.repartition(F.col("node")).sortWithinPartitions("node", "key")
-    return ordered.mapInArrow(run, "a bigint, b bigint, equal int")
-
-
-def _blocked(large: DataFrame, block: int) -> DataFrame:
-    """Large nodes cut into blocks of about ``block`` rows."""
-    blocks = F.ceil(F.col("size") / block)
-    return large.select("key", F.xxhash64("node", F.pmod(F.xxhash64("key"), blocks)).alias("node"))
-
-
-def _across(large: DataFrame, block: int) -> DataFrame:
-    """``node, key, part``: rows of large nodes outside a node's largest component, dealt out with all rows of the node block by block."""
-    sizes = large.groupBy("node", "part").agg(F.count(F.lit(1)).alias("rows"))
-    main = sizes.groupBy("node").agg(F.max_by("part", "rows").alias("main"), F.sum("rows").alias("size"), F.max("rows").alias("most"))
-    main = store(main.where("most < size").select("node", "main", F.ceil((F.col("size") - F.col("most")) / block).alias("down"), F.ceil(F.col("size") / block).alias("along")), "main")
-    rows = large.select("node", "key", "part").join(main, "node")
-    own = F.xxhash64("key")
-    rest = rows.where("part <> main").select("node", "key", "part", F.pmod(own, "down").alias("i"), F.explode(F.sequence(F.lit(0), F.col("along") - 1)).alias("j"))
-    every = rows.select("node", "key", "part", F.explode(F.sequence(F.lit(0), F.col("down") - 1)).alias("i"), F.pmod(own, "along").alias("j"))
-    cells = rest.unionByName(every).select(F.xxhash64("node", "i", "j").alias("node"), "key", "part")
-    return cells.distinct()
-
+        if not batch.num_rows:
+            continue
+        group = batch.column(name)
+        if held and held[-1].column(name)[-1] != group[-1]:
+            # the group that was open ends in this batch, and so do all but the last of its own
+            start = int(np.searchsorted(group.to_numpy(), group[-1].as_py()))
+            yield pa.Table.from_batches([*held, batch.slice(0, start)])
+            held = [batch.slice(start)]
+        elif not held:
+            start = int(np.searchsorted(group.to_numpy(), group[-1].as_py()))
+            if start:
+                yield pa.Table.from_batches([batch.slice(0, start)])
+            held = [batch.slice(start)]
+        else:
+            held.append(batch)
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _forest(pairs: Iterable[tuple[int, int]], root: dict[int, int]) -> Iterator[tuple[int, int]]:
+    """The pairs that join what the pairs before them, and ``root``, have not joined."""
+
+    def find(x: int) -> int:
+        while (up := root.get(x, x)) != x:
+            root[x] = x = root.get(up, up)
+        return x
+
+    for a, b in pairs:
+        x, y = find(a), find(b)
+        if x != y:
+            root[y] = x
+            yield a, b
+
+
+def _links(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.record_batch([pa.array([a for a, _ in pairs], pa.int64()), pa.array([b for _, b in pairs], pa.int64())], names=["a", "b"])
+
+
+def _compare_tokens(batches: Iterator[pa.RecordBatch], least: int, percent: int, rows: int = 1 << 15) -> Iterator[pa.RecordBatch]:
+    """``a, b``: joins of each node's rows that have ``least`` equal tokens and sizes that allow the similarity."""
+    for table in _groups(batches, "node"):
+        node, key, n = (table.column(c).to_numpy() for c in ("node", "key", "n"))
+        tokens = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, COORDINATES)
+        begins = np.flatnonzero(np.concatenate(([True], node[1:] != node[:-1])))
+        place = np.arange(len(node)) - np.repeat(begins, np.diff(np.concatenate((begins, [len(node)]))))
+        ends = np.concatenate(([0], np.cumsum(place)))  # a row is compared with those before it in its node
+        root: dict[int, int] = {}
+        start = 0
+        while start < len(node):
+            stop = max(start + 1, int(np.searchsorted(ends, ends[start] + rows, "right")) - 1)
+            b = np.repeat(np.arange(start, stop), place[start:stop])
+            a = b - 1 - ranges(place[start:stop])
+            may = np.minimum(n[a], n[b]) * 100 >= np.maximum(n[a], n[b]) * percent
+            a, b = a[may], b[may]
+            good = (tokens[a] == tokens[b]).sum(axis=1) >= least
+            found = list(_forest(zip(key[a[good]].tolist(), key[b[good]].tolist()), root))
+            yield _links(found)
+            start = stop
+
+
+def _common(one: np.ndarray, held: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Size of the intersection of a set with each of several sets, ``held`` between ``offsets``; all sorted."""
+    at = np.minimum(np.searchsorted(one, held), len(one) - 1)
+    hits = np.concatenate(([0], np.cumsum(one[at] == held)))
+    return hits[offsets[1:]] - hits[offsets[:-1]]
+
+
+def _compare_sets(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """``a, b``: joins of each cell's rows whose full sets are similar; rows of one component ``part`` are joined already."""
+    for table in _groups(batches, "cell"):
+        cell = table.column("cell").to_numpy()
+        begins = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1]))).tolist()
+        found: list[tuple[int, int]] = []
+        for begin, end in zip(begins, [*begins[1:], len(cell)]):
+            if end - begin < 2:
+                continue
+            rows = table.slice(begin, end - begin).combine_chunks()
+            key, part = (rows.column(c).to_pylist() for c in ("key", "part"))
+            sets = [np.frombuffer(s.as_buffer(), np.uint64) for s in rows.column("shingles")]
+            size = np.array([len(s) for s in sets])
+            held, offsets = np.concatenate(sets), np.concatenate(([0], np.cumsum(size)))
+            root = dict(zip(key, part))
+            for i in range(1, len(sets)):
+                # sets before i whose sizes allow the similarity, in components other than that of i
+                common = _common(sets[i], held[: offsets[i]], offsets[: i + 1])
+                near = np.flatnonzero(100 * common >= percent * (size[:i] + size[i] - common))
+                found += _forest(((key[j], key[i]) for j in near.tolist() if key[j] != key[i]), root)
+        yield _links(found)
+
+
+def _dealt(rows: DataFrame, group: str) -> DataFrame:
+    return rows.repartition(F.col(group)).sortWithinPartitions(group)
+
+
+def full_sets(texts: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """``key, shingles`` of the wanted rows; other texts are not split into words again."""
 
-def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs ``a, b`` whose full shingle sets reach ``percent`` of a hundred; only texts of pairs are read into sets."""
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches, limit=2 << 20):
             found = [s.tobytes() for s in shingle_sets(part.column("text"), size)]
             yield pa.record_batch([part.column("key"), pa.array(found, pa.binary())], names=["key", "shingles"])
 
-    def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            good = []
-            for left, right in zip(batch.column("left"), batch.column("right")):
-                both = np.concatenate((np.frombuffer(left.as_buffer(), np.uint64), np.frombuffer(right.as_buffer(), np.uint64)))
-                both.sort()
-                common = int((both[1:] == both[:-1]).sum())
-                good.append(100 * common >= percent * (len(both) - common))
-            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+    return texts.join(wanted, "key", "left_semi").select("key", "text").mapInArrow(run, "key bigint, shingles binary")
 
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    found = store(texts.join(wanted, "key", "left_semi").select("key", "text").mapInArrow(sets, "key bigint, shingles binary"), "sets")
-    joined = pairs.select("a", "b").join(found.select(F.col("key").alias("a"), F.col("shingles").alias("left")), "a")
-    joined = joined.join(found.select(F.col("key").alias("b"), F.col("shingles").alias("right")), "b").select("a", "b", "left", "right")
-    return store(joined.mapInArrow(similar, "a bigint, b bigint"), "links")
+
+def _across(large: DataFrame, block: int) -> DataFrame:
+    """``cell, key, part``: rows of clusters outside the cluster's largest component, dealt out with all its rows block by block."""
+    sizes = large.groupBy("cluster", "part").agg(F.count(F.lit(1)).alias("rows"))
+    main = sizes.groupBy("cluster").agg(F.max_by("part", "rows").alias("main"), F.sum("rows").alias("size"), F.max("rows").alias("most"))
+    main = main.where("most < size").select("cluster", "main", F.ceil((F.col("size") - F.col("most")) / block).alias("down"), F.ceil(F.col("size") / block).alias("along"))
+    rows = large.join(store(main, "main"), "cluster")
+    own = F.xxhash64("key")
+    rest = rows.where("part <> main").select("cluster", "key", "part", F.pmod(own, "down").alias("i"), F.explode(F.sequence(F.lit(0), F.col("along") - 1)).alias("j"))
+    every = rows.select("cluster", "key", "part", F.explode(F.sequence(F.lit(0), F.col("down") - 1)).alias("i"), F.pmod(own, "along").alias("j"))
+    return rest.unionByName(every).select(F.xxhash64("cluster", "i", "j").alias("cell"), "key", "part").distinct()
 
 
 def near_links(
-    rows: DataFrame, texts: DataFrame, size: int, percent: int, recall: float, leaf: int = LEAF, depth: int = DEPTH, block: int = 512
+    rows: DataFrame, texts: DataFrame, size: int, percent: int, recall: float, leaf: int = LEAF, depth: int = DEPTH, block: int = BLOCK
 ) -> DataFrame:
-    """Links ``a, b`` between rows of different sets that join what confirmed pairs join; ``rows`` has ``key, n, tokens, sketch``."""
+    """Links ``a, b`` between rows of different sets that join what similar pairs join; ``rows`` has ``key, n, tokens, sketch``."""
     share = percent / 100
     least = math.floor(COORDINATES * share - SLACK * math.sqrt(COORDINATES * share * (1 - share)))
     leaves, large = _nodes(rows, share, trees_for(share, recall, depth), depth, leaf)
-    large = store(large, "large")
-    small = store(leaves.join(rows.select("key", "n", "sketch"), "key"), "leaves")
-    about = rows.select("key", "n", "sketch")
-
-    best = _candidates(small.unionByName(_blocked(large, block).join(about, "key")), least, percent, False)
-    best = best.groupBy("b").agg(F.max(F.struct("equal", "a")).alias("best")).select("best.a", "b")
-    best = store(best, "best")
-    links = confirmed(best, texts, size, percent)
 
-    parts = store(components(links).select(F.col("node").alias("key"), F.col("root").alias("part")), "parts")
+    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _compare_tokens(batches, least, percent)
 
-    def parted(table: DataFrame) -> DataFrame:
-        return table.join(parts, "key", "left").withColumn("part", F.coalesce("part", "key"))
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _compare_sets(batches, percent)
 
-    open_rows = store(parted(small), "open")
-    mixed_nodes = open_rows.groupBy("node").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("node")
-    met = open_rows.join(mixed_nodes, "node")
-    across = _across(store(parted(large), "open"), block).join(about, "key")
-    pairs = _candidates(met.unionByName(across), least, percent, True).select("a", "b").distinct()
-    pairs = store(pairs.join(best, ["a", "b"], "left_anti"), "pairs")
-    return links.unionByName(confirmed(pairs, texts, size, percent))
+    met = leaves.join(rows.select("key", "n", "sketch"), "key")
+    large = store(large, "large")
+    first = store(large.groupBy("node").agg(F.min("key").alias("a")), "first")
+    joins = _dealt(met, "node").mapInArrow(tokens, "a bigint, b bigint").unionByName(large.join(first, "node").select("a", F.col("key").alias("b")))
+    clusters = store(components(joins).select(F.col("node").alias("key"), F.col("root").alias("cluster")), "clusters")
+    full = store(full_sets(texts, clusters.select("key"), size), "sets")
+    sized = store(clusters.join(clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("rows")), "cluster"), "sized")
+
+    blocks = F.pmod(F.xxhash64("key"), F.ceil(F.col("rows") / block))
+    cells = sized.select(F.xxhash64("cluster", blocks).alias("cell"), "key", F.col("key").alias("part"))
+    links = store(_dealt(cells.join(full, "key"), "cell").mapInArrow(sets, "a bigint, b bigint"), "links")
+    wide = sized.where(F.col("rows") > block).select("cluster", "key")
+    if wide.isEmpty():
+        return links
+    parts = components(links).select(F.col("node").alias("key"), F.col("root").alias("part"))
+    wide = store(wide.join(parts, "key", "left").withColumn("part", F.coalesce("part", "key")), "wide")
+    more = _dealt(_across(wide, block).join(full, "key"), "cell").mapInArrow(sets, "a bigint, b bigint")
+    return links.unionByName(store(more, "links"))
 
 
 def near_groups(
     docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 4, percent: int = 80, recall: float = 0.9999,
-    leaf: int = LEAF, depth: int = DEPTH, block: int = 512,
+    leaf: int = LEAF, depth: int = DEPTH, block: int = BLOCK,
 ) -> DataFrame:
     """``<key>, n_shingles, component_id, kept`` for every row of ``docs``.
 
