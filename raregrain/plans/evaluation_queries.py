@@ -191,7 +191,7 @@ _METRICS = f"""round({_ratio('tp', '(tp + fp)')}, 6) AS precision, round({_ratio
  SELECT split, stage, round(threshold, 6) AS threshold, tp, fp, {_METRICS} FROM both_stages""",
 )
 def _(spark, sf_dir):
-    parts = with_split(scored(spark, sf_dir), [0.8, 0.2])
+    parts = with_split(scored(spark, sf_dir, spread=True), [0.8, 0.2])
     return _rounded(evaluate.evaluate_before_after(parts, "split", 1))
 
 

@@ -35,9 +35,13 @@ def _label() -> Column:
     return ((F.col("l_discount") > 0.095) & (F.col("l_quantity") >= 46)).cast("int")
 
 
-def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every line item with its id, category, rare label and numbers; no join."""
-    return table(spark, sf_dir, "lineitem").select(
+def labelled(spark: SparkSession, sf_dir: str, spread: bool = False) -> DataFrame:
+    """Every line item with its id, category, rare label and numbers; no join.
+
+    ``spread`` deals the rows of a table of few row groups out before their ids are computed, for work that has no filter to push down.
+    """
+    source = wide_table if spread else table
+    return source(spark, sf_dir, "lineitem").select(
         _row_id().alias("id"), F.col("l_returnflag").alias("category"), _label().alias("y"),
         "l_quantity", "l_extendedprice", "l_discount", "l_tax",
     )
@@ -60,10 +64,10 @@ def compounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+def scored(spark: SparkSession, sf_dir: str, spread: bool = False) -> DataFrame:
     """``labelled`` with a deterministic score with heavy ties and a hard prediction."""
     score = (F.col("l_quantity") * 2 + F.round(F.col("l_discount") * 100) * 5) / F.lit(150.0)
-    return labelled(spark, sf_dir).select("id", "category", "y", score.alias("score")).withColumn(
+    return labelled(spark, sf_dir, spread).select("id", "category", "y", score.alias("score")).withColumn(
         "prediction", (F.col("score") > 0.9).cast("int")
     )
 

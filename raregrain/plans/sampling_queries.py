@@ -19,13 +19,13 @@ RANKED_SQL = f"""{_HASHED}, ranked AS (
  SELECT id, y, h, row_number() over (partition by y order by h, id) AS rk, count(*) over (partition by y) AS n FROM hashed)"""
 
 
-def _rows(spark, sf_dir):
-    return labelled(spark, sf_dir).select("id", "y")
+def _rows(spark, sf_dir, spread=False):
+    return labelled(spark, sf_dir, spread).select("id", "y")
 
 
 def _frozen_rows(spark, sf_dir):
     """For operators that read their input several times: the derived id is computed once."""
-    return freeze(_rows(spark, sf_dir))
+    return freeze(_rows(spark, sf_dir, spread=True))
 
 
 @query("hash_shuffle_rank", f"WITH {_HASHED} SELECT id, row_number() over (order by h, id) AS position FROM hashed")

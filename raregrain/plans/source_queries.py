@@ -32,7 +32,7 @@ def scratch(spark: SparkSession, name: str) -> str:
 )
 def _(spark, sf_dir):
     path = scratch(spark, "chunks")
-    sinks.write_chunks(labelled(spark, sf_dir), path, CHUNK_ROWS)
+    sinks.write_chunks(labelled(spark, sf_dir, spread=True), path, CHUNK_ROWS)
     return readers.read_table(spark, path).groupBy("chunk_no").agg(
         F.count(F.lit(1)).alias("n_rows"), F.min("id").alias("first_id"), F.max("id").alias("last_id"),
         F.sum(F.col("y").cast("bigint")).alias("n_positive"),

@@ -175,7 +175,7 @@ def _(spark, sf_dir):
     f"WITH {LABELLED_SQL} SELECT id, y FROM labelled WHERE {hash_sql('id', 42)} >= 0.3 * 4294967296",
 )
 def _(spark, sf_dir):
-    rows = labelled(spark, sf_dir).select("id", "y")
+    rows = labelled(spark, sf_dir, spread=True).select("id", "y")
     return joins.exclude_keys(rows, sample_rows(rows, 0.3, 42, "id"))
 
 
