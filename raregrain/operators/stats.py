@@ -100,3 +100,16 @@ def chunk_progress(chunks: DataFrame, total: int | None = None) -> DataFrame:
             "remaining_pct": F.round(F.try_divide((everything - used) * 100.0, everything), 2),
         }
     )
+
+
+def running_share(batches: DataFrame, by: str = "batch_id") -> DataFrame:
+    """Rows of both classes up to and including each batch, and their percent with two decimals.
+
+    ``batches`` has ``by``, ``n_rows`` and ``n_positive``; a null label is in ``n_rows`` alone and counts as class 0.
+    """
+    sums = running_sums(batches, [F.col(by)], {"used": "n_rows", "used_1": "n_positive"})
+    ones, rows = F.col("used_1"), F.col("used")
+    return sums.select(
+        by, (rows - ones).alias("used_0"), ones.alias("used_1"),
+        F.round(F.try_divide((rows - ones) * 100.0, rows), 2).alias("pct_0"), F.round(F.try_divide(ones * 100.0, rows), 2).alias("pct_1"),
+    )

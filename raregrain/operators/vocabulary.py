@@ -42,7 +42,7 @@ def _partition_counter(repeated: Sequence[str]):
     return count
 
 
-def _ranked(counts: DataFrame) -> DataFrame:
+def ranked_vocab(counts: DataFrame) -> DataFrame:
     """Add the 0-based position: count descending, token ascending (one row per character)."""
     order = Window.orderBy(F.col("n").desc(), F.col("token"))
     return counts.select((F.row_number().over(order) - 1).alias("pos"), "token", "n")
@@ -55,8 +55,12 @@ def build_vocab(df: DataFrame, cols: Sequence[str], repeated: Sequence[str] = ()
     carries alphabets, not text. In columns named in ``repeated`` (few distinct
     texts) each distinct text of a record batch is read once.
     """
-    partial = df.select(*cols).mapInArrow(_partition_counter(repeated), "token string, n bigint")
-    return merge_vocab(partial)
+    return merge_vocab(partial_counts(df, cols, repeated))
+
+
+def partial_counts(df: DataFrame, cols: Sequence[str], repeated: Sequence[str] = ()) -> DataFrame:
+    """``token, n`` with one row per task and character, of a table or a stream."""
+    return df.select(*cols).mapInArrow(_partition_counter(repeated), "token string, n bigint")
 
 
 def merge_vocab(*vocabs: DataFrame) -> DataFrame:
@@ -64,7 +68,7 @@ def merge_vocab(*vocabs: DataFrame) -> DataFrame:
     first, *rest = [v.select("token", "n") for v in vocabs]
     for vocab in rest:
         first = first.unionByName(vocab)
-    return _ranked(first.groupBy("token").agg(F.sum("n").alias("n")))
+    return ranked_vocab(first.groupBy("token").agg(F.sum("n").alias("n")))
 
 
 def vocab_tokens(vocab: DataFrame) -> list[str]:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from raregrain.operators import feed, sampling
 from raregrain.operators.ranking import with_position
-from raregrain.operators.stats import class_weights
+from raregrain.operators.stats import class_weights, running_share
 from raregrain.plans.fixtures import LABELLED_SQL, hash_sql, labelled
 from raregrain.plans.registry import query
 from raregrain.plans.source_queries import scratch
@@ -119,6 +119,22 @@ def _(spark, sf_dir):
     return sampling.minibatch_stats(_frozen_rows(spark, sf_dir))
 
 
+@query(
+    "running_class_share",
+    f"""WITH {_HASHED}, batches AS (SELECT cast(b as bigint) AS batch_id, count(*) AS n_rows, sum(y) AS n_positive FROM (
+ SELECT y, (row_number() over (order by h, id) - 1) // 1024 AS b FROM hashed) GROUP BY b),
+ sums AS (SELECT batch_id, cast(sum(n_rows) over w as bigint) AS n, cast(sum(n_positive) over w as bigint) AS p FROM batches WINDOW w AS (ORDER BY batch_id))
+ SELECT batch_id, n - p AS used_0, p AS used_1, round((n - p) * 100.0::double / n, 2) AS pct_0, round(p * 100.0::double / n, 2) AS pct_1 FROM sums""",
+)
+def _(spark, sf_dir):
+    return running_share(sampling.minibatch_stats(_frozen_rows(spark, sf_dir)))
+
+
+@query("first_rows_by_id", f"WITH {_HASHED} SELECT id, y FROM hashed ORDER BY id LIMIT 100")
+def _(spark, sf_dir):
+    return sampling.first_rows(sampling.order_by_id(_rows(spark, sf_dir)), 100)
+
+
 @query(
     "resample_weighted",
     f"""WITH {RANKED_SQL}, sized AS (SELECT *, cast(round(count(*) over () / (2.0::double * n) * {sampling.WEIGHT_UNITS}) as hugeint) AS u FROM ranked),

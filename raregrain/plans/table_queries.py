@@ -14,6 +14,7 @@ from raregrain.plans.fixtures import (
     CODES, COMPOUNDS_SQL, LABELLED_SQL, SCORED_SQL, compounds, hash_sql, labelled, scored, table,
 )
 from raregrain.plans.registry import query
+from raregrain.plans.source_queries import scratch
 
 _CODE_SQL = "CASE category WHEN 'A' THEN 1 WHEN 'N' THEN 2 WHEN 'R' THEN 3 END"
 
@@ -235,3 +236,42 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings").select("vec_id", array_to_vector(F.col("embedding").cast("array<double>")).alias("v"))
     return rows.select("vec_id", argmax_vector(rows, "v").alias("best"))
+
+
+@query("drop_columns", "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem")
+def _(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem")
+    return cols.drop_cols(rows.select("l_orderkey", "l_linenumber", "l_quantity", "l_tax", "l_discount"), "l_tax", rows["l_discount"])
+
+
+@query(
+    "onehot_all",
+    f"WITH {LABELLED_SQL} SELECT id, " + ", ".join(f"cast(category = '{c}' as double) AS p_{c.lower()}" for c in "ANR") + " FROM labelled",
+)
+def _(spark, sf_dir):
+    """One slot per category, none left out; slots are found by the fitted order of labels."""
+    rows = labelled(spark, sf_dir)
+    coder = encode.fit_encoders(rows.withColumnRenamed("category", "protein_name"), drop_last=False)
+    wide = encode.onehot_columns(coder.transform(rows.withColumnRenamed("category", "protein_name")), "protein_onehot", "slot")
+    labels = coder.stages[0].labels
+    return wide.select("id", *[F.col(f"slot_{labels.index(c)}").alias(f"p_{c.lower()}") for c in "ANR"])
+
+
+@query("invalid_kept", f"WITH {LABELLED_SQL} SELECT id, CASE category WHEN 'A' THEN 1 END AS code FROM labelled")
+def _(spark, sf_dir):
+    rows = labelled(spark, sf_dir).select("id", cols.map_values("category", {"A": 1}).cast("int").alias("code"))
+    return filters.apply_invalid_policy(rows, "code", "null")
+
+
+@query(
+    "feature_columns_in_order",
+    "SELECT cast(row_number() over (order by n) - 1 as integer) AS pos, name FROM (VALUES (1, 'l_tax'), (2, 'l_quantity'), (3, 'l_discount'), (4, 'l_extendedprice')) t(n, name)",
+)
+def _(spark, sf_dir):
+    """The columns of a fitted feature vector, stored and read back in the vector's order, which is not that of their names."""
+    path = f"{scratch(spark, 'features')}/columns"
+    rows = labelled(spark, sf_dir)
+    made = encode.assemble(rows, ["l_tax", "l_quantity", "l_discount", "l_extendedprice"], keep=["id"])
+    attrs = [a for kind in made.schema["vectors"].metadata["ml_attr"]["attrs"].values() for a in kind]
+    encode.save_feature_columns(spark, [a["name"] for a in sorted(attrs, key=lambda a: a["idx"])], path)
+    return spark.createDataFrame(list(enumerate(encode.load_feature_columns(spark, path))), "pos int, name string")

@@ -14,6 +14,8 @@ from raregrain.operators.joins import combine_descriptors
 from raregrain.operators.vocabulary import build_vocab, category_token_totals, merge_vocab, token_features, vocab_tokens
 from raregrain.plans.fixtures import CODES, COMPOUNDS_SQL, OUTPUTS, REPEATED, TEXTS, compounds, table, wide_table
 from raregrain.plans.registry import query
+from raregrain.plans.source_queries import scratch
+from raregrain.streaming.vocabulary import load_vocab, update_vocab
 
 CLEAN = r"regexp_replace({}, '[\p{{Nd}}()\[\]{{}}]+', '', 'g')"
 
@@ -279,3 +281,15 @@ def _(spark, sf_dir):
     texts = F.array("event_type", F.col("value").cast("string"), F.regexp_extract("props", "([0-9]+)", 1))
     rows = table(spark, sf_dir, "events").select("event_id", F.posexplode(texts).alias("part", "t"))
     return rows.select("event_id", "part", *coerce_number("t"))
+
+
+@query("vocab_stream", f"WITH {vocab_sql('vocab', 'SELECT text AS t FROM documents')} SELECT * FROM vocab")
+def _(spark, sf_dir):
+    """Documents that come in files, counted in two runs of a stream."""
+    root = scratch(spark, "vocabulary")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    for run in (0, 1):
+        docs.where(F.pmod(F.col("doc_id"), F.lit(2)) == run).repartition(3).write.parquet(f"{root}/files/run={run}")
+        files = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 2).option("recursiveFileLookup", True).parquet(f"{root}/files")
+        update_vocab(files, ["text"], f"{root}/parts", f"{root}/state")
+    return load_vocab(spark, f"{root}/parts")
