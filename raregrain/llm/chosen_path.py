@@ -19,7 +19,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -159,23 +159,27 @@ def _groups(batches: Iterator[pa.RecordBatch], name: str) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def _forest(pairs: Iterable[tuple[int, int]], root: dict[int, int]) -> Iterator[tuple[int, int]]:
-    """The pairs that join what the pairs before them, and ``root``, have not joined."""
+class _Joined:
+    """Union of keys; the smallest key names what has been joined, so that what is sent on is a star and not a chain."""
 
-    def find(x: int) -> int:
-        while (up := root.get(x, x)) != x:
-            root[x] = x = root.get(up, up)
+    def __init__(self, root: dict[int, int] | None = None):
+        self.root = dict(root or {})
+        self.touched: set[int] = set()
+
+    def find(self, x: int) -> int:
+        while (up := self.root.get(x, x)) != x:
+            self.root[x] = x = self.root.get(up, up)
         return x
 
-    for a, b in pairs:
-        x, y = find(a), find(b)
+    def join(self, a: int, b: int) -> None:
+        x, y = self.find(a), self.find(b)
         if x != y:
-            root[y] = x
-            yield a, b
-
+            self.root[max(x, y)] = min(x, y)
+            self.touched.update((a, b, x, y))
 
-def _links(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
-    return pa.record_batch([pa.array([a for a, _ in pairs], pa.int64()), pa.array([b for _, b in pairs], pa.int64())], names=["a", "b"])
+    def links(self) -> pa.RecordBatch:
+        pairs = [(self.find(x), x) for x in self.touched if self.find(x) != x]
+        return pa.record_batch([pa.array([a for a, _ in pairs], pa.int64()), pa.array([b for _, b in pairs], pa.int64())], names=["a", "b"])
 
 
 def _compare_tokens(batches: Iterator[pa.RecordBatch], least: int, percent: int, rows: int = 1 << 15) -> Iterator[pa.RecordBatch]:
@@ -186,8 +190,7 @@ def _compare_tokens(batches: Iterator[pa.RecordBatch], least: int, percent: int,
         begins = np.flatnonzero(np.concatenate(([True], node[1:] != node[:-1])))
         place = np.arange(len(node)) - np.repeat(begins, np.diff(np.concatenate((begins, [len(node)]))))
         ends = np.concatenate(([0], np.cumsum(place)))  # a row is compared with those before it in its node
-        root: dict[int, int] = {}
-        start = 0
+        joined, start = _Joined(), 0
         while start < len(node):
             stop = max(start + 1, int(np.searchsorted(ends, ends[start] + rows, "right")) - 1)
             b = np.repeat(np.arange(start, stop), place[start:stop])
@@ -195,9 +198,10 @@ def _compare_tokens(batches: Iterator[pa.RecordBatch], least: int, percent: int,
             may = np.minimum(n[a], n[b]) * 100 >= np.maximum(n[a], n[b]) * percent
             a, b = a[may], b[may]
             good = (tokens[a] == tokens[b]).sum(axis=1) >= least
-            found = list(_forest(zip(key[a[good]].tolist(), key[b[good]].tolist()), root))
-            yield _links(found)
+            for x, y in zip(key[a[good]].tolist(), key[b[good]].tolist()):
+                joined.join(x, y)
             start = stop
+        yield joined.links()
 
 
 def _common(one: np.ndarray, held: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -212,7 +216,6 @@ def _compare_sets(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[p
     for table in _groups(batches, "cell"):
         cell = table.column("cell").to_numpy()
         begins = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1]))).tolist()
-        found: list[tuple[int, int]] = []
         for begin, end in zip(begins, [*begins[1:], len(cell)]):
             if end - begin < 2:
                 continue
@@ -221,13 +224,14 @@ def _compare_sets(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[p
             sets = [np.frombuffer(s.as_buffer(), np.uint64) for s in rows.column("shingles")]
             size = np.array([len(s) for s in sets])
             held, offsets = np.concatenate(sets), np.concatenate(([0], np.cumsum(size)))
-            root = dict(zip(key, part))
+            joined = _Joined(dict(zip(key, part)))
             for i in range(1, len(sets)):
                 # sets before i whose sizes allow the similarity, in components other than that of i
                 common = _common(sets[i], held[: offsets[i]], offsets[: i + 1])
                 near = np.flatnonzero(100 * common >= percent * (size[:i] + size[i] - common))
-                found += _forest(((key[j], key[i]) for j in near.tolist() if key[j] != key[i]), root)
-        yield _links(found)
+                for j in near.tolist():
+                    joined.join(key[j], key[i])
+            yield joined.links()
 
 
 def _dealt(rows: DataFrame, group: str) -> DataFrame:
@@ -242,7 +246,8 @@ def full_sets(texts: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
             found = [s.tobytes() for s in shingle_sets(part.column("text"), size)]
             yield pa.record_batch([part.column("key"), pa.array(found, pa.binary())], names=["key", "shingles"])
 
-    return texts.join(wanted, "key", "left_semi").select("key", "text").mapInArrow(run, "key bigint, shingles binary")
+    # by exchange at every size: a broadcast of the keys would spare it for small tables only
+    return texts.join(wanted.hint("merge"), "key", "left_semi").select("key", "text").mapInArrow(run, "key bigint, shingles binary")
 
 
 def _across(large: DataFrame, block: int) -> DataFrame:
@@ -285,10 +290,10 @@ def near_links(
     wide = sized.where(F.col("rows") > block).select("cluster", "key")
     if wide.isEmpty():
         return links
-    parts = components(links).select(F.col("node").alias("key"), F.col("root").alias("part"))
+    parts = store(components(links).select(F.col("node").alias("key"), F.col("root").alias("part")), "parts")
     wide = store(wide.join(parts, "key", "left").withColumn("part", F.coalesce("part", "key")), "wide")
     more = _dealt(_across(wide, block).join(full, "key"), "cell").mapInArrow(sets, "a bigint, b bigint")
-    return links.unionByName(store(more, "links"))
+    return parts.select(F.col("part").alias("a"), F.col("key").alias("b")).unionByName(store(more, "links"))
 
 
 def near_groups(
