@@ -36,11 +36,10 @@ _LETTERS = byte_letters()
 
 
 class Encoder:
-    """Encodes Arrow text columns; special tokens' strings inside texts are ordinary text."""
+    """Encodes Arrow text columns as the library does; a special token's string inside a text is that token."""
 
     def __init__(self, path: str):
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
         self.model = self.whole.model
         self.pieces: dict[str, bytes] = {}
         # the short cut holds for this kind of tokenizer only

@@ -18,7 +18,7 @@ from raregrain.llm.tokens import Encoder
 from raregrain.llm.wavelet import WaveletMatrix, open_shard, read_documents, shard_bytes, write_token_shards
 
 TEXTS = [
-    "Hello, World! it's we'll O'Neil's don't", "éÀß ñandú Ünïcödé ΣΑΣ İstanbul ǅ", "12345 a1b2 3.14 €5 x²", "<|endoftext|> <|startoftext|>x",
+    "Hello, World! it's we'll O'Neil's don't", "éÀß ñandú Ünïcödé ΣΑΣ İstanbul ǅ", "12345 a1b2 3.14 €5 x²", "<|endoftext|> <|startoftext|>x", "a <|endoftext|> b", "É<|endoftext|>'s<|startoftext|><|startoftext|>, <|ENDOFTEXT|> <|endoftext|",
     "nbsp here thin space line sep \x1c\x85", "emoji 😀😀 👩‍👩‍👧 é ́lead", "...!!! --- ''' 's 't 're", "", None, " \t\n", "汉字かな 한국어", "a" * 3000, "mañana. (Über) [x]{y}",
 ]
 WIDE = "doc_id bigint, text string, source string, key string, piece string, length string, item string, size string"
@@ -31,7 +31,6 @@ def docs_of(spark, rows):
 @pytest.fixture(scope="module")
 def library():
     t = Tokenizer.from_file(TOKENIZER)
-    t.encode_special_tokens = True
     return lambda text: t.encode(text or "", add_special_tokens=False).ids
 
 
