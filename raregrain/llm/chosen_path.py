@@ -262,10 +262,10 @@ def _across(large: DataFrame, block: int) -> DataFrame:
     return rest.unionByName(every).select(F.xxhash64("cluster", "i", "j").alias("cell"), "key", "part").distinct()
 
 
-def near_links(
+def near_parts(
     rows: DataFrame, texts: DataFrame, size: int, percent: int, recall: float, leaf: int = LEAF, depth: int = DEPTH, block: int = BLOCK
 ) -> DataFrame:
-    """Links ``a, b`` between rows of different sets that join what similar pairs join; ``rows`` has ``key, n, tokens, sketch``."""
+    """``key, part`` of rows that are joined to others, ``part`` being one row of their component; ``rows`` has ``key, n, tokens, sketch``."""
     share = percent / 100
     least = math.floor(COORDINATES * share - SLACK * math.sqrt(COORDINATES * share * (1 - share)))
     leaves, large = _nodes(rows, share, trees_for(share, recall, depth), depth, leaf)
@@ -286,14 +286,20 @@ def near_links(
 
     blocks = F.pmod(F.xxhash64("key"), F.ceil(F.col("rows") / block))
     cells = sized.select(F.xxhash64("cluster", blocks).alias("cell"), "key", F.col("key").alias("part"))
-    links = store(_dealt(cells.join(full, "key"), "cell").mapInArrow(sets, "a bigint, b bigint"), "links")
+    links = _dealt(cells.join(full, "key"), "cell").mapInArrow(sets, "a bigint, b bigint")
+    # a row is in one cell, which names its component: what is sent is a star already
+    parts = store(links.select(F.col("b").alias("key"), F.col("a").alias("part")), "parts")
     wide = sized.where(F.col("rows") > block).select("cluster", "key")
     if wide.isEmpty():
-        return links
-    parts = store(components(links).select(F.col("node").alias("key"), F.col("root").alias("part")), "parts")
+        return parts
     wide = store(wide.join(parts, "key", "left").withColumn("part", F.coalesce("part", "key")), "wide")
-    more = _dealt(_across(wide, block).join(full, "key"), "cell").mapInArrow(sets, "a bigint, b bigint")
-    return parts.select(F.col("part").alias("a"), F.col("key").alias("b")).unionByName(store(more, "links"))
+    more = store(_dealt(_across(wide, block).join(full, "key"), "cell").mapInArrow(sets, "a bigint, b bigint"), "links")
+    if more.isEmpty():
+        return parts
+    # components that the second comparison has joined
+    joined = store(components(more).select(F.col("node").alias("part"), F.col("root")), "joined")
+    rows = parts.unionByName(wide.where("key = part").select("key", "part"))
+    return store(rows.join(joined, "part", "left").select("key", F.coalesce("root", "part").alias("part")), "parts")
 
 
 def near_groups(
@@ -322,7 +328,7 @@ def near_groups(
     groups = base.where("n > 0").groupBy("same").agg(F.min("key").alias("key"), F.min("id").alias("id"), first)
     groups = store(groups, "groups")
     rows = store(base.join(groups.select("key"), "key", "left_semi").select("key", "n", "tokens", "sketch"), "rows")
-    roots = components(near_links(rows, texts, size, percent, recall, leaf, depth, block)).withColumnRenamed("node", "key")
+    roots = near_parts(rows, texts, size, percent, recall, leaf, depth, block).withColumnRenamed("part", "root")
     placed = store(groups.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key")), "roots")
     named = placed.groupBy("root").agg(F.min("id").alias("component_id"), F.min("keep").alias("keep"))
     names = store(placed.select("same", "root").join(named, "root").select("same", "component_id", F.col("keep.key").alias("keep")), "names")
