@@ -124,14 +124,19 @@ WITH pieces AS MATERIALIZED (
   SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
     translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
   FROM documents
+), numbered AS MATERIALIZED (
+  SELECT row_number() OVER () AS piece, lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces
 ), words AS MATERIALIZED (
-  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces
+  SELECT piece, lang, unnest(w) AS w1, unnest(range(len(w))) AS i FROM numbered
 ), totals AS MATERIALIZED (
-  SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM words GROUP BY lang
+  SELECT lang, count(*) AS n FROM words GROUP BY lang
 ), places AS MATERIALIZED (
-  SELECT lang, w, unnest(generate_series(1, len(w))) AS i FROM words WHERE len(w) > 0
-), runs AS MATERIALIZED (
-  SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase FROM places, (VALUES (1), (2), (3), (4)) AS s(k) WHERE i + k - 1 <= len(w)
+  SELECT lang, w1, lead(w1) OVER p AS w2, lead(w1, 2) OVER p AS w3, lead(w1, 3) OVER p AS w4 FROM words WINDOW p AS (PARTITION BY piece ORDER BY i)
+), runs AS (
+  SELECT lang, 1 AS k, w1 AS phrase FROM places
+  UNION ALL SELECT lang, 2, w1 || ' ' || w2 FROM places WHERE w2 IS NOT NULL
+  UNION ALL SELECT lang, 3, w1 || ' ' || w2 || ' ' || w3 FROM places WHERE w3 IS NOT NULL
+  UNION ALL SELECT lang, 4, w1 || ' ' || w2 || ' ' || w3 || ' ' || w4 FROM places WHERE w4 IS NOT NULL
 ), f AS MATERIALIZED (
   SELECT lang, k, phrase, count(*) AS a FROM runs GROUP BY ALL HAVING count(*) >= 30
 ), c AS MATERIALIZED (
