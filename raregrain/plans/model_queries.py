@@ -33,13 +33,17 @@ _CONSTANT_LOSS = "0.69314"
 _FLOOR = 0.7
 
 
+def _separates(scored: DataFrame, label: str = "y") -> Column:
+    """Whether the area under ROC of ``p1`` passes the floor; one number, read back."""
+    return F.lit((evaluate.auc_roc(scored, label, "p1").first()[0] or 0.0) > _FLOOR)
+
+
 def _classes(scored: DataFrame) -> DataFrame:
     """Rows of both classes among scored rows, whether predictions follow from ``p1``, and whether ``p1`` tells them apart."""
     scored = freeze(scored)
     counts = evaluate.confusion(scored, "binds").select((F.col("tp") + F.col("fn")).alias("n_positive"), (F.col("fp") + F.col("tn")).alias("n_negative"))
-    agrees = scored.select(_agrees()).agg(F.bool_and("agrees").alias("agrees"))
-    area = evaluate.auc_roc(scored, "binds", "p1").select((F.col("auc_roc") > _FLOOR).alias("separates"))
-    return counts.join(F.broadcast(agrees)).join(F.broadcast(area))  # one row each
+    agrees = scored.select(_agrees()).agg(F.bool_and("agrees")).first()[0]
+    return counts.withColumns({"agrees": F.lit(agrees), "separates": _separates(scored, "binds")})
 
 
 def _classes_sql(train: float) -> str:
@@ -77,8 +81,7 @@ def _agrees() -> Column:
 def _with_floor(scored: DataFrame) -> DataFrame:
     """``id``, whether its prediction follows from ``p1``, and whether ``p1`` tells the classes apart over all rows."""
     scored = freeze(scored)
-    area = evaluate.auc_roc(scored, "binds", "p1").select((F.col("auc_roc") > _FLOOR).alias("separates"))
-    return scored.select("id", "binds", _agrees()).join(F.broadcast(area))  # one row
+    return scored.select("id", "binds", _agrees(), _separates(scored, "binds").alias("separates"))
 
 
 @query("kmeans")
@@ -243,10 +246,9 @@ def _(spark, sf_dir):
     steps = out.groupBy("score").agg(F.min("p1").alias("low"), F.max("p1").alias("high"))  # a few hundred scores
     before = F.lag("high").over(Window.partitionBy(F.lit(0)).orderBy("score"))
     rises = steps.select("score", ((F.col("low") == F.col("high")) & (F.col("low") >= F.coalesce(before, F.lit(0.0)))).alias("keeps_order"))
-    whole = evaluate.auc_roc(out, score="p1").select((F.col("auc_roc") > _FLOOR).alias("separates"))
-    differ = out.agg((F.max(F.abs(F.col("own0") - F.col("own1"))) > 0).alias("folds_differ"))
-    rows = out.join(rises, "score").select("id", is_mean.alias("is_mean"), "keeps_order")
-    return rows.join(F.broadcast(whole)).join(F.broadcast(differ))  # one row each
+    differ = out.agg(F.max(F.abs(F.col("own0") - F.col("own1"))) > 0).first()[0]
+    said = [is_mean.alias("is_mean"), "keeps_order", _separates(out).alias("separates"), F.lit(differ).alias("folds_differ")]
+    return out.join(rises, "score").select("id", *said)
 
 
 #: Isotonic regression by its min-max formula over the distinct scores.
