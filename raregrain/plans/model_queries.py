@@ -294,7 +294,7 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     rows, out = vectors(spark, sf_dir), scratch(spark, "scores")
     model = classifiers.fit_logistic(rows, maxIter=30)
-    stream = incremental.read_chunks(*_vector_chunks(spark, sf_dir))
+    stream = incremental.read_chunks(*_vector_chunks(spark, sf_dir), incremental.TOGETHER)
     incremental.score_incremental(model, stream, f"{out}/rows", f"{out}/progress", label="binds")
     return _with_floor(load_pred_chunks(spark, f"{out}/rows"))
 

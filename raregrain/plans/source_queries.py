@@ -13,7 +13,7 @@ from raregrain.plans.fixtures import LABELLED_SQL, SCORED_SQL, hash_sql, labelle
 from raregrain.plans.registry import query
 from raregrain.session import checkpoint_root
 from raregrain.sources import chunks, readers, sinks
-from raregrain.streaming.incremental import count_chunks, read_chunks
+from raregrain.streaming.incremental import TOGETHER, count_chunks, read_chunks
 
 CHUNK_ROWS = 25_000
 EVENT_ROWS = 3_000
@@ -68,7 +68,7 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     path, out = _event_chunks(spark, sf_dir), scratch(spark, "stream")
     events = table(spark, sf_dir, "events")
-    stream = read_chunks(spark, path, events.schema).withColumn("y", (F.col("event_type") == "error").cast("int"))
+    stream = read_chunks(spark, path, events.schema, TOGETHER).withColumn("y", (F.col("event_type") == "error").cast("int"))
     count_chunks(stream, f"{out}/counts", f"{out}/progress")
     return spark.read.parquet(f"{out}/counts").select("chunk_no", "n_rows", "n_positive")
 

@@ -29,6 +29,9 @@ from raregrain.operators.stats import class_weights
 from raregrain.session import freeze
 from raregrain.sources.sinks import write_pred_chunks
 
+#: Files of a micro-batch where chunks are small and have folders.
+TOGETHER = 256
+
 
 def _folder_number(path: Column) -> Column:
     """Number in the path of a chunk's folder, null where there is none."""
@@ -95,7 +98,11 @@ def walk_chunks(
 
 
 def read_chunks(spark: SparkSession, path: str, schema: T.StructType, files_per_batch: int = 1) -> DataFrame:
-    """Stream of the parquet files under ``path``, with the ``chunk_no`` of their folder (null without one)."""
+    """Stream of the parquet files under ``path``, with the ``chunk_no`` of their folder (null without one).
+
+    Where every file has a folder, ``files_per_batch`` only says how many chunks share the fixed cost of a micro-batch
+    (``TOGETHER`` for small ones); files without one are told apart by their micro-batch and need one each.
+    """
     stream = _options(spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)).parquet(path)
     return stream.select(*schema.names, _folder_number(F.col("_metadata.file_path")).alias("chunk_no"))
 
