@@ -8,13 +8,12 @@ range ends, and then state and position agree.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from raregrain.operators.sampling import with_minibatch
-from raregrain.sources.sinks import write_pred_chunks
 
 #: Batches between two stored positions.
 EVERY = 10_000
@@ -30,28 +29,49 @@ def lay_out_batches(df: DataFrame, path: str, size: int = 1024, every: int = EVE
     ranged.repartitionByRange("batch_id").sortWithinPartitions("batch_id").write.mode("overwrite").partitionBy("batch_range").parquet(path)
 
 
+def _folder(spark: SparkSession, path: str):
+    """A folder and its file system, which any path that Spark can read has."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
 def _position(spark: SparkSession, progress: str) -> int:
-    """Number of ranges that are noted as finished."""
-    try:
-        done = spark.read.schema("chunk_no bigint").parquet(progress).agg(F.max("chunk_no")).first()[0]
-    except AnalysisException:  # nothing noted so far
+    """Number of ranges that are noted as finished, each by a folder ``chunk_no=<n>``."""
+    files, at = _folder(spark, progress)
+    if not files.exists(at):  # nothing noted so far
         return 0
-    return 0 if done is None else done + 1
+    names = [entry.getPath().getName() for entry in files.listStatus(at)]
+    return max((int(n.removeprefix("chunk_no=")) + 1 for n in names if n.startswith("chunk_no=")), default=0)
+
 
+def _note(spark: SparkSession, progress: str, number: int) -> None:
+    """Note a finished range by an empty file, which takes no Spark job."""
+    files, at = _folder(spark, f"{progress}/chunk_no={number}/finished")
+    files.create(at, True).close()
 
-def feed_batches(spark: SparkSession, path: str, progress: str, each: Callable[[DataFrame, int], None]) -> int:
+
+def feed_batches(spark: SparkSession, path: str, progress: str, each: Callable[[DataFrame, int], None], at_once: int = 1) -> int:
     """Call ``each(rows of a range, its number)`` for every range not yet finished, in order; returns how many were fed.
 
     The position is stored after each range. A range during which the run was lost is fed again from its start,
-    as the trainer's state at the last stored position needs it.
+    as the trainer's state at the last stored position needs it. For consumers that treat every range by itself, ``at_once``
+    ranges are in work at a time; they start in order, and the position only passes ranges that are all finished.
     """
     table = spark.read.parquet(path)
     start = _position(spark, progress)
     ranges = sorted(r[0] for r in table.where(F.col("batch_range") >= start).select("batch_range").distinct().collect())
-    for number in ranges:
+
+    def one(number: int) -> None:
         each(table.where(F.col("batch_range") == number).drop("batch_range"), number)
-        note = spark.createDataFrame([(number, 1)], "chunk_no bigint, finished int")
-        write_pred_chunks(note.coalesce(1), progress)
+
+    if at_once == 1:
+        for number in ranges:
+            one(number)
+            _note(spark, progress, number)
+    else:
+        with ThreadPoolExecutor(at_once) as pool:
+            for number, _ in zip(ranges, pool.map(one, ranges)):  # an error cancels those not yet begun
+                _note(spark, progress, number)
     return len(ranges)
 
 
