@@ -13,16 +13,22 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.regression import DecisionTreeRegressor
+import pyarrow as pa
+from pyspark.ml.regression import DecisionTreeRegressionModel, DecisionTreeRegressor
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from raregrain.functions.vectors import as_array
-from raregrain.operators.evaluate import staged_curve
+from raregrain.operators.evaluate import CURVE_SUMS, curve_area
+from raregrain.operators.ranking import FEW_ROWS, stratified_running_sums
 from raregrain.session import checkpoint_root, freeze
 
 #: Largest ensemble that scoring tasks get, in nodes of 40 bytes.
 MAX_NODES = 5_000_000
+#: Rows times trees that a scoring task walks at once.
+_CELLS = 1 << 20
+#: A tree of no more nodes is read node by node from the fitted model, a larger one from files.
+_FEW_NODES = 255
 _SCHEMA = "round int, weight double, node int, feature int, threshold double, lower int, upper int, value double"
 
 
@@ -39,7 +45,8 @@ class BoostedTrees:
 
     def save(self, spark: SparkSession, path: str) -> None:
         """Overwrite the ensemble stored at ``path``."""
-        spark.createDataFrame(self.nodes, _SCHEMA).coalesce(1).write.mode("overwrite").parquet(path)
+        table = pa.table({c: self.nodes[c].to_numpy() for c in _TYPES})
+        spark.createDataFrame(table, _SCHEMA).coalesce(1).write.mode("overwrite").parquet(path)
 
     @staticmethod
     def load(spark: SparkSession, path: str, features: str = "vectors") -> BoostedTrees:
@@ -61,17 +68,17 @@ class BoostedTrees:
             starts, feature, threshold, below, above, step = forest.value
             known = vectors.notna().to_numpy()
             points = np.stack(vectors[known].to_numpy()) if known.any() else np.zeros((0, 1))
-            every = np.arange(len(points))
-            steps = np.zeros((len(points), len(starts)))
-            for i, start in enumerate(starts):
-                at = np.full(len(points), start)
+            out: list[list[float] | None] = [None] * len(vectors)
+            places, some = np.flatnonzero(known).tolist(), max(1, _CELLS // max(1, len(starts)))
+            for begin in range(0, len(points), some):  # all trees at once, a level at a time
+                part = points[begin : begin + some]
+                every = np.arange(len(part))[:, None]
+                at = np.tile(starts, (len(part), 1))
                 while (inner := feature[at] >= 0).any():
-                    down = points[every, np.maximum(feature[at], 0)] <= threshold[at]
+                    down = part[every, np.maximum(feature[at], 0)] <= threshold[at]
                     at = np.where(inner, np.where(down, below[at], above[at]), at)
-                steps[:, i] = step[at]
-            out: list[list[float] | None] = [None] * len(vectors)
-            for place, row in zip(np.flatnonzero(known).tolist(), np.cumsum(steps, axis=1)[:, first - 1 :].tolist()):
-                out[place] = row
+                for place, row in zip(places[begin : begin + some], np.cumsum(step[at], axis=1)[:, first - 1 :].tolist()):
+                    out[place] = row
             return pd.Series(out, dtype=object)
 
         known = F.col(self.features).isNotNull()
@@ -90,6 +97,25 @@ class BoostedTrees:
 _TYPES = {"round": "int32", "weight": "float64", "node": "int32", "feature": "int32", "threshold": "float64", "lower": "int32", "upper": "int32", "value": "float64"}
 
 
+def _walked_nodes(model: DecisionTreeRegressionModel, number: int, scale: float) -> pd.DataFrame:
+    """Nodes of a small fitted tree, numbered from its root on as in its files."""
+    rows: list[list] = []
+
+    def walk(node) -> int:
+        at = len(rows)
+        rows.append([number, scale, at, -1, 0.0, -1, -1, node.prediction()])
+        if node.getClass().getSimpleName() != "LeafNode":
+            split = node.split()
+            if split.getClass().getSimpleName() != "ContinuousSplit":
+                raise ValueError("features with nominal attributes are not supported: drop the column's ML metadata")
+            rows[at][3:5] = split.featureIndex(), split.threshold()
+            rows[at][5], rows[at][6] = walk(node.leftChild()), walk(node.rightChild())
+        return at
+
+    walk(model._java_obj.rootNode())
+    return pd.DataFrame(rows, columns=list(_TYPES)).astype(_TYPES)
+
+
 def _tree_nodes(spark: SparkSession, paths: dict[int, str], scales: dict[int, float]) -> pd.DataFrame:
     """Nodes of stored regression trees by round."""
     rows = spark.read.parquet(*[f"{p}/data" for p in paths.values()])
@@ -128,29 +154,39 @@ def boost(
     root = f"{checkpoint_root(spark)}/trees-{uuid.uuid4().hex}"
     learner = DecisionTreeRegressor(featuresCol="_x", labelCol="_target", weightCol="_w", predictionCol="_step", **{"maxDepth": 3, "seed": 42, **tree})
     residual = 4 * F.col("_y") / (1 + F.exp(2 * F.col("_y") * F.col("_margin")))
-    paths, scales = {}, {}
+    paths, scales, walked = {}, {}, {}
     for i in range(done + 1, done + rounds + 1):
         model = learner.fit(rows.withColumn("_target", residual if i > 1 else F.col("_y")))
-        paths[i], scales[i] = f"{root}/round-{i}", step if i > 1 else 1.0
-        model.write().save(paths[i])
+        scales[i] = step if i > 1 else 1.0
+        if model.numNodes <= _FEW_NODES:
+            walked[i] = _walked_nodes(model, i, scales[i])
+        else:
+            paths[i] = f"{root}/round-{i}"
+            model.write().save(paths[i])
         rows = model.transform(rows).withColumn("_margin", F.col("_margin") + F.lit(scales[i]) * F.col("_step")).drop("_step")
         if (i - done) % cut_every == 0 and i < done + rounds:
             rows = freeze(rows)
-    grown = _tree_nodes(spark, paths, scales)
-    return BoostedTrees(pd.concat([start.nodes, grown], ignore_index=True) if done else grown, features)
+    grown = [*walked.values(), *([_tree_nodes(spark, paths, scales)] if paths else [])]
+    nodes = pd.concat(grown, ignore_index=True).sort_values(["round", "node"], ignore_index=True)
+    return BoostedTrees(pd.concat([start.nodes, nodes], ignore_index=True) if done else nodes, features)
 
 
-def round_metrics(df: DataFrame, model: BoostedTrees, first: int = 1, label: str = "binds", weight: str | None = None) -> DataFrame:
+def round_metrics(
+    df: DataFrame, model: BoostedTrees, first: int = 1, label: str = "binds", weight: str | None = None, n_rows: int | None = None
+) -> DataFrame:
     """``round, logloss, aucpr`` on ``df`` after every round from ``first`` on, from one pass over its rows.
 
     A row gives all its margins at once; rows are summed by round and margin before the only shuffle of them.
-    ``aucpr`` is average precision with ties grouped, null where a class is missing.
+    ``aucpr`` is average precision with ties grouped, null where a class is missing. ``n_rows`` is a bound on the rows where one is known.
     """
+    most = None if n_rows is None else n_rows * (model.rounds - first + 1)
+    few = most is not None and most <= FEW_ROWS
     w = F.lit(1.0) if weight is None else F.col(weight).cast("double")
-    staged = df.select(F.col(label).alias("_y"), w.alias("_w"), model.margins(df, first).alias("_m")).where(F.col("_y").isin(0, 1) & F.col("_m").isNotNull())
+    staged = (df.coalesce(1) if few else df).select(F.col(label).alias("_y"), w.alias("_w"), model.margins(df, first).alias("_m")).where(F.col("_y").isin(0, 1) & F.col("_m").isNotNull())
     rows = staged.select("_y", "_w", F.posexplode("_m").alias("at", "score")).withColumn("round", F.col("at") + first)
     positive, negative = (F.sum(F.when(F.col("_y") == k, F.col("_w")).otherwise(0.0)) for k in (1, 0))
-    steps = freeze(rows.groupBy("round", "score").agg(positive.alias("pos"), negative.alias("neg")))
+    steps = rows.groupBy("round", "score").agg(positive.alias("pos"), negative.alias("neg"))
+    steps = steps if few else freeze(steps)
     loss = F.col("pos") * F.log1p(F.exp(-2 * F.col("score"))) + F.col("neg") * F.log1p(F.exp(2 * F.col("score")))
-    losses = steps.groupBy("round").agg((F.sum(loss) / F.sum(F.col("pos") + F.col("neg"))).alias("logloss"))
-    return losses.join(staged_curve(steps, "round").withColumnRenamed("average_precision", "aucpr"), "round").select("round", "logloss", "aucpr")
+    sums = stratified_running_sums(steps, ["round"], [F.col("score").desc()], CURVE_SUMS, most)
+    return sums.groupBy("round").agg((F.sum(loss) / F.sum(F.col("pos") + F.col("neg"))).alias("logloss"), curve_area().alias("aucpr"))

@@ -123,7 +123,7 @@ def class_report(df: DataFrame, label: str = "y", prediction: str = "prediction"
     )
 
 
-def _score_steps(df: DataFrame, label: str, score: str) -> DataFrame:
+def _score_steps(df: DataFrame, label: str, score: str, rows: int | None = None) -> DataFrame:
     """Per distinct score, descending: ``pos, neg`` there and ``tp, fp`` down to and including it."""
     y = F.col(label)
     groups = (
@@ -131,7 +131,7 @@ def _score_steps(df: DataFrame, label: str, score: str) -> DataFrame:
         .groupBy(F.col(score).cast("double").alias("score"))
         .agg(F.count_if(y == 1).alias("pos"), F.count_if(y == 0).alias("neg"))
     )
-    return running_sums(groups, [F.col("score").desc()], {"tp": "pos", "fp": "neg"})
+    return running_sums(groups, [F.col("score").desc()], {"tp": "pos", "fp": "neg"}, rows)
 
 
 def auc_roc(df: DataFrame, label: str = "y", score: str = "score") -> DataFrame:
@@ -142,22 +142,31 @@ def auc_roc(df: DataFrame, label: str = "y", score: str = "score") -> DataFrame:
     return _score_steps(df, label, score).agg((1 - F.try_divide(pairs_lost, pairs)).alias("auc_roc"))
 
 
-def average_precision(df: DataFrame, label: str = "y", score: str = "score") -> DataFrame:
-    """Step form of the area under the precision-recall curve, ties grouped."""
+def average_precision(df: DataFrame, label: str = "y", score: str = "score", rows: int | None = None) -> DataFrame:
+    """Step form of the area under the precision-recall curve, ties grouped; ``rows`` is a bound on the rows where one is known."""
     precision = F.col("tp") / (F.col("tp") + F.col("fp"))
-    return _score_steps(df, label, score).agg(
+    return _score_steps(df, label, score, rows).agg(
         F.try_divide(F.sum(F.col("pos") * precision), F.sum("pos").cast("double")).alias("average_precision")
     )
 
 
+#: Running sums from which :func:`curve_area` is computed.
+CURVE_SUMS = {"tp": "pos", "fp": "neg"}
+
+
+def curve_area() -> Column:
+    """Average precision as an aggregate of rows ``pos, neg`` by descending score with their ``CURVE_SUMS``."""
+    gained = F.when(F.col("pos") > 0, F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp"))).otherwise(0.0)
+    return F.try_divide(F.sum(gained), F.sum("pos").cast("double"))
+
+
 def staged_curve(steps: DataFrame, stratum: str) -> DataFrame:
     """``<stratum>, average_precision`` of every stratum of a table ``<stratum>, score, pos, neg`` with one row per score.
 
     Null for a stratum without positive rows.
     """
-    sums = stratified_running_sums(steps, [stratum], [F.col("score").desc()], {"tp": "pos", "fp": "neg"})
-    gained = F.when(F.col("pos") > 0, F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp"))).otherwise(0.0)
-    return sums.groupBy(stratum).agg(F.try_divide(F.sum(gained), F.sum("pos").cast("double")).alias("average_precision"))
+    sums = stratified_running_sums(steps, [stratum], [F.col("score").desc()], CURVE_SUMS)
+    return sums.groupBy(stratum).agg(curve_area().alias("average_precision"))
 
 
 def average_precision_by_class(df: DataFrame, label: str = "y", probability: str = "probability") -> DataFrame:

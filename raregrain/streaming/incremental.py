@@ -11,8 +11,10 @@ overwrites its own output.
 from __future__ import annotations
 
 from collections.abc import Callable, Collection, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from urllib.parse import unquote
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.ml import Model
 from pyspark.ml.classification import MultilayerPerceptronClassificationModel
@@ -83,17 +85,43 @@ def _finished(spark: SparkSession, progress: str) -> dict[int, set[str]]:
     return noted
 
 
+def _note(spark: SparkSession, chunks: Sequence[tuple[int, Sequence[str]]], progress: str) -> None:
+    """Note the files of finished chunks."""
+    files, numbers = zip(*((f, no) for no, found in chunks for f in found))
+    notes = pa.table({"file": pa.array(files), "chunk_no": pa.array(numbers, pa.int32())})
+    write_pred_chunks(spark.createDataFrame(notes, "file string, chunk_no int").coalesce(1), progress)
+
+
 def walk_chunks(
-    spark: SparkSession, path: str, schema: T.StructType, progress: str, each: Callable[[DataFrame, int, int | None], None]
+    spark: SparkSession, path: str, schema: T.StructType, progress: str,
+    each: Callable[[DataFrame, int, int | None], Callable[[], None] | None],
 ) -> list[int]:
-    """Call ``each(chunk, chunk_no, chunk_no before it)`` for every chunk not yet finished, in order; returns all finished."""
+    """Call ``each(chunk, chunk_no, chunk_no before it)`` for every chunk not yet finished, in order; returns all finished.
+
+    What ``each`` returns, if anything, is called to end the chunk while the next one is in work; then the chunk is noted.
+    Ends run one after the other, so that a chunk is noted only after those before it.
+    """
     noted = _finished(spark, progress)
     finished = list(noted)
-    for chunk_no, files in chunk_files(spark, path, noted):
-        each(spark.read.schema(schema).parquet(*files), chunk_no, finished[-1] if finished else None)
-        notes = spark.createDataFrame([(f, chunk_no) for f in files], "file string, chunk_no int")
-        write_pred_chunks(notes.coalesce(1), progress)
-        finished.append(chunk_no)
+
+    def close(end: Callable[[], None] | None, chunk_no: int, files: list[str]) -> None:
+        if end is not None:
+            end()
+        _note(spark, [(chunk_no, files)], progress)
+
+    ending = None
+    with ThreadPoolExecutor(1) as pool:
+        try:
+            for chunk_no, files in chunk_files(spark, path, noted):
+                end = each(spark.read.schema(schema).parquet(*files), chunk_no, finished[-1] if finished else None)
+                before, ending = ending, None
+                if before is not None:
+                    before.result()
+                ending = pool.submit(close, end, chunk_no, files)
+                finished.append(chunk_no)
+        finally:
+            if ending is not None:
+                ending.result()
     return finished
 
 
@@ -191,17 +219,30 @@ def train_boosted(
     stored ensemble before it, which gives the same trees.
     """
 
-    def each(df: DataFrame, chunk_no: int, before: int | None) -> None:
+    models = {}  # of the chunk that was fitted last
+
+    def each(df: DataFrame, chunk_no: int, before: int | None) -> Callable[[], None]:
         chunk = class_weights(df, label).persist()
         try:
-            start = None if before is None else BoostedTrees.load(spark, model_path(root, before), features)
-            model = boost(chunk, rounds, start, label, features, "sample_weights", step, **tree)
-            model.save(spark, model_path(root, chunk_no))
-            log = round_metrics(chunk, model, model.rounds - rounds + 1, label, "sample_weights")
-            log = log.withColumns({"n_rows": F.lit(chunk.count()), "chunk_no": F.lit(chunk_no)})
-            write_pred_chunks(log.coalesce(1), f"{root}/log")
-        finally:
+            start = models.pop(before, None)
+            if before is not None and start is None:
+                start = BoostedTrees.load(spark, model_path(root, before), features)
+            n_rows = chunk.count()
+            models[chunk_no] = model = boost(chunk, rounds, start, label, features, "sample_weights", step, **tree)
+        except BaseException:
             chunk.unpersist()
+            raise
+
+        def end() -> None:
+            try:
+                model.save(spark, model_path(root, chunk_no))
+                log = round_metrics(chunk, model, model.rounds - rounds + 1, label, "sample_weights", n_rows)
+                log = log.withColumns({"n_rows": F.lit(n_rows), "chunk_no": F.lit(chunk_no)})
+                write_pred_chunks(log.coalesce(1), f"{root}/log")
+            finally:
+                chunk.unpersist()
+
+        return end
 
     finished = walk_chunks(spark, path, schema, f"{root}/progress", each)
     if not finished:
