@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from raregrain.functions.hashing import HASH_SPACE, hash_bucket, hash_fraction_below, hash_key
-from raregrain.operators.ranking import hash_parts, stratified_running_sums, with_position
+from raregrain.operators.ranking import FEW_ROWS, hash_parts, stratified_running_sums, with_position
 from raregrain.session import attach_small, fits_broadcast, freeze
 
 #: Up to here a top-k over sorted runs is cheaper than finding a cut point.
@@ -161,25 +161,32 @@ WEIGHT_UNITS = 1 << 20
 
 
 def resample_weighted(
-    df: DataFrame, weight: str, strata: Sequence[str] = (), key: str = "id", seed: int = 42, out: str = "copy"
+    df: DataFrame, weight: str, strata: Sequence[str] = (), key: str = "id", seed: int = 42, out: str = "copy", rows: int | None = None
 ) -> DataFrame:
     """Every row as often as its weight says on average, numbered in ``out`` from 1; rows whose turn does not come go.
 
     For learners without a weight column. A stratum has exactly as many copies as its weights sum to (rounded), and rows of
     weight w have ``floor(w)`` or ``ceil(w)`` copies, but for the rounding of the sum: copies are the steps of the running weight
     in the order of hash, key and content, in integers, so that any layout gives the same rows. Weights are
-    counted in units of 2**-20; null, negative and not-a-number weights count as 0. Spread over two shuffles of the rows.
+    counted in units of 2**-20; null, negative and not-a-number weights count as 0. Spread over two shuffles of the rows;
+    a table known to have few ``rows`` takes one task.
     """
+    few = rows is not None and rows <= FEW_ROWS
     strata = list(strata)
     w = F.col(weight).cast("double")
     units = F.when(~F.isnan(w) & (w > 0), F.round(w * WEIGHT_UNITS)).otherwise(0).cast("bigint")
     names = strata or ["_all"]
     content = F.xxhash64(*[F.col(c) for c in df.columns])
-    rows = df.select("*", *([] if strata else [F.lit(0).alias("_all")]), hash_key(key, seed).alias("_h"), content.alias("_content"), units.alias("_units"))
-    rows = freeze(rows.withColumn("_scan", F.monotonically_increasing_id()))
-    totals = rows.groupBy(*names).agg(F.sum("_units").alias("_sum")).withColumn("_target", F.expr(f"(_sum + {WEIGHT_UNITS // 2}) div {WEIGHT_UNITS}"))
-    placed = stratified_running_sums(rows, names, [F.col(c) for c in ("_h", key, "_content", "_scan")], {"_upto": "_units"})
-    placed = attach_small(placed, freeze(totals), names)
+    marked = (df.coalesce(1) if few else df).select("*", *([] if strata else [F.lit(0).alias("_all")]), hash_key(key, seed).alias("_h"), content.alias("_content"), units.alias("_units"))
+    marked = marked.withColumn("_scan", F.monotonically_increasing_id())
+    marked = marked if few else freeze(marked)
+    target = F.expr(f"(_sum + {WEIGHT_UNITS // 2}) div {WEIGHT_UNITS}")
+    placed = stratified_running_sums(marked, names, [F.col(c) for c in ("_h", key, "_content", "_scan")], {"_upto": "_units"}, rows)
+    if few:
+        placed = placed.withColumn("_sum", F.sum("_units").over(Window.partitionBy(*names))).withColumn("_target", target)
+    else:
+        totals = marked.groupBy(*names).agg(F.sum("_units").alias("_sum")).withColumn("_target", target)
+        placed = attach_small(placed, freeze(totals), names)
 
     def copies(upto: Column) -> Column:
         return upto.cast("decimal(19,0)") * F.col("_target").cast("decimal(19,0)")  # beyond 64 bits

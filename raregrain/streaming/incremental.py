@@ -181,24 +181,36 @@ def train_incremental(
     stored under ``<root>/log``, with the copies of both classes.
     """
 
-    def each(df: DataFrame, chunk_no: int, before: int | None) -> None:
+    weights = {}  # of the chunk that was fitted last
+
+    def each(df: DataFrame, chunk_no: int, before: int | None) -> Callable[[], None]:
         chunk = class_weights(df, label).persist()
         try:
-            start = None
-            if before is not None:
+            start = weights.pop(before, None)
+            if before is not None and start is None:
                 start = MultilayerPerceptronClassificationModel.load(model_path(root, before)).weights
-            balanced = freeze(resample_weighted(chunk, "sample_weights", [label], key, seed).select(label, features))
+            n_rows = chunk.count()
+            balanced = freeze(resample_weighted(chunk, "sample_weights", [label], key, seed, rows=n_rows).select(label, features))
             model = fit_mlp(balanced, layers, label, features, max_iter, seed, start)
-            model.write().overwrite().save(model_path(root, chunk_no))
-            scored = model.transform(chunk)
-            scored = scored.select(F.col(label).alias("y"), "sample_weights", class1_probability(scored).alias("score"))
-            loss, precision = log_loss(scored, weight="sample_weights").first()[0], average_precision(scored).first()[0]
-            fitted = balanced.agg(F.count_if(F.col(label) == 0), F.count_if(F.col(label) == 1)).first()
-            entry = [(chunk.count(), *fitted, loss, precision)]
-            log = spark.createDataFrame(entry, "n_rows bigint, n_fit_0 bigint, n_fit_1 bigint, logloss double, aucpr double")
-            write_pred_chunks(log.withColumn("chunk_no", F.lit(chunk_no)), f"{root}/log")
-        finally:
+            weights[chunk_no] = model.weights
+        except BaseException:
             chunk.unpersist()
+            raise
+
+        def end() -> None:
+            try:
+                model.write().overwrite().save(model_path(root, chunk_no))
+                scored = model.transform(chunk)
+                scored = scored.select(F.col(label).alias("y"), "sample_weights", class1_probability(scored).alias("score"))
+                loss, precision = log_loss(scored, weight="sample_weights").first()[0], average_precision(scored, rows=n_rows).first()[0]
+                fitted = balanced.agg(F.count_if(F.col(label) == 0), F.count_if(F.col(label) == 1)).first()
+                entry = [(n_rows, *fitted, loss, precision)]
+                log = spark.createDataFrame(entry, "n_rows bigint, n_fit_0 bigint, n_fit_1 bigint, logloss double, aucpr double").coalesce(1)
+                write_pred_chunks(log.withColumn("chunk_no", F.lit(chunk_no)), f"{root}/log")
+            finally:
+                chunk.unpersist()
+
+        return end
 
     finished = walk_chunks(spark, path, schema, f"{root}/progress", each)
     if not finished:
