@@ -264,30 +264,69 @@ def train_boosted(
     return final
 
 
+#: Fits of chunks, or loads of models, that are in work at a time.
+AT_ONCE = 8
+#: Models that score in one pass over the rows; more would make plans that grow with the number of chunks.
+MODELS_A_PASS = 16
+
+
 def train_ensemble(
-    spark: SparkSession, path: str, schema: T.StructType, root: str, fit: Callable[[DataFrame], Model], label: str | None = None
+    spark: SparkSession, path: str, schema: T.StructType, root: str, fit: Callable[[DataFrame], Model], label: str | None = None,
+    at_once: int = AT_ONCE,
 ) -> list[str]:
     """One model per chunk for learners that cannot continue a fit, such as trees; returns their paths in chunk order.
 
-    With a ``label`` the chunk has ``sample_weights`` that balance its classes.
+    With a ``label`` the chunk has ``sample_weights`` that balance its classes. The fits do not depend on each other: ``at_once`` are
+    in work at a time, and finished chunks are noted in order, so many together. A lost driver costs the chunks in work.
     """
 
-    def each(df: DataFrame, chunk_no: int, before: int | None) -> None:
-        fit(class_weights(df, label) if label else df).write().overwrite().save(model_path(root, chunk_no))
-        rows = df.agg(F.count(F.lit(1)).alias("n_rows")).withColumn("chunk_no", F.lit(chunk_no))
-        write_pred_chunks(rows, f"{root}/log")
+    def one(chunk: tuple[int, list[str]]) -> int:
+        df = spark.read.schema(schema).parquet(*chunk[1])
+        fit(class_weights(df, label) if label else df).write().overwrite().save(model_path(root, chunk[0]))
+        return df.count()
+
+    def note(done: list[tuple[int, list[str], int]]) -> None:
+        log = pa.table({"n_rows": pa.array([n for *_, n in done], pa.int64()), "chunk_no": pa.array([no for no, *_ in done], pa.int32())})
+        write_pred_chunks(spark.createDataFrame(log, "n_rows bigint, chunk_no int").coalesce(1), f"{root}/log")
+        _note(spark, [(no, files) for no, files, _ in done], progress)
+
+    progress = f"{root}/progress"
+    noted = _finished(spark, progress)
+    waiting = chunk_files(spark, path, noted)
+    done: list[tuple[int, list[str], int]] = []
+    with ThreadPoolExecutor(at_once) as pool:
+        try:
+            for chunk, n_rows in zip(waiting, pool.map(one, waiting)):  # an error cancels fits not yet begun
+                done.append((*chunk, n_rows))
+                if len(done) == at_once:
+                    note(done)
+                    done = []
+        finally:
+            if done:
+                note(done)
+    return [model_path(root, no) for no in (*noted, *(no for no, _ in waiting))]
+
 
-    return [model_path(root, no) for no in walk_chunks(spark, path, schema, f"{root}/progress", each)]
+def load_models(load: Callable[[str], Model], paths: Sequence[str], at_once: int = AT_ONCE) -> list[Model]:
+    """Stored models in the order of ``paths``."""
+    with ThreadPoolExecutor(at_once) as pool:
+        return list(pool.map(load, paths))
 
 
 def score_ensemble(df: DataFrame, models: Sequence[Model], key: str = "id", keep: Sequence[str] = ()) -> DataFrame:
-    """Mean class-1 probability of several models, in one pass over the rows."""
+    """Mean class-1 probability of several models, ``MODELS_A_PASS`` of them in one pass over the rows; the sums between passes are stored."""
     columns = [key, *keep]
     inputs = df.columns
-    for i, model in enumerate(models):
-        scored = model.transform(df.select(*inputs, *[f"_p{j}" for j in range(i)]))
-        df = scored.withColumn(f"_p{i}", class1_probability(scored))
-    mean = sum((F.col(f"_p{i}") for i in range(len(models))), F.lit(0.0)) / len(models)
+    df = df.withColumn("_sum", F.lit(0.0))
+    for begin in range(0, len(models), MODELS_A_PASS):
+        some = models[begin : begin + MODELS_A_PASS]
+        if begin:
+            df = freeze(df)
+        for i, model in enumerate(some):
+            scored = model.transform(df.select(*inputs, "_sum", *[f"_p{j}" for j in range(i)]))
+            df = scored.withColumn(f"_p{i}", class1_probability(scored))
+        df = df.select(*inputs, sum((F.col(f"_p{i}") for i in range(len(some))), F.col("_sum")).alias("_sum"))
+    mean = F.col("_sum") / len(models)
     return df.select(*columns, mean.alias("p1"), (mean > 0.5).cast("double").alias("prediction"))
 
 
