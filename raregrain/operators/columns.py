@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -49,14 +51,33 @@ def widen_arrays(
 ) -> DataFrame:
     """Element ``i`` of every array becomes ``<prefix><i+1>`` as int.
 
-    One projection; an array that is too short gives nulls.
+    One narrow pass; an array that is too short gives nulls. The arrays are cut on Arrow batches: a projection with an
+    expression per element becomes one method that is too large for the JIT.
     """
-    wide = [
-        F.get(F.col(col), F.lit(i)).cast("int").alias(f"{prefix}{i + 1}")
-        for col, prefix in prefixes.items()
-        for i in range(width)
-    ]
-    return df.select(*keep_before, *wide, *keep_after)
+    names = [f"{prefix}{i + 1}" for prefix in prefixes.values() for i in range(width)]
+    kept = {c: df.schema[c].dataType for c in (*keep_before, *keep_after)}
+    kinds = [*[kept[c] for c in keep_before], *[T.IntegerType()] * len(names), *[kept[c] for c in keep_after]]
+    schema = T.StructType([T.StructField(n, t) for n, t in zip([*keep_before, *names, *keep_after], kinds)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            wide = [column for name in prefixes for column in _elements(batch.column(name), width)]
+            columns = [*[batch.column(c) for c in keep_before], *wide, *[batch.column(c) for c in keep_after]]
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+    arrays = [F.col(c).cast("array<int>").alias(c) for c in prefixes]
+    return df.select(*kept, *arrays).mapInArrow(run, schema)
+
+
+def _elements(lists: pa.ListArray, width: int) -> list[pa.Array]:
+    """The first ``width`` elements of every list, an array per place; null where a list has none there."""
+    offsets, values = lists.offsets.to_numpy(), lists.values
+    sizes = np.diff(offsets)
+    if not lists.null_count and not values.null_count and bool((sizes == width).all()):
+        flat = values.to_numpy()[offsets[0] : offsets[-1]].reshape(-1, width)
+        return [pa.array(np.ascontiguousarray(column)) for column in flat.T]
+    sizes[lists.is_null().to_numpy(zero_copy_only=False)] = 0
+    return [values.take(pa.array(offsets[:-1].astype(np.int64) + i, mask=sizes <= i)) for i in range(width)]
 
 
 def concat_features(

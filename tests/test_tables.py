@@ -21,6 +21,17 @@ def test_widen_arrays_names_match_contents(spark):
     assert cols.wide_schema({"bb1": "a"}, 2).fieldNames() == ["id", "protein", "a1", "a2", "y"]
 
 
+def test_widen_arrays_takes_no_expression_per_element(spark):
+    """A projection of many elements is too large for the JIT; nulls, short and long arrays keep their places."""
+    rows = [(1, [1, None, 3]), (2, None), (3, [4]), (4, []), (5, [5, 6, 7, 8])]
+    df = spark.createDataFrame(rows, "id bigint, bb1 array<bigint>").coalesce(1)
+    wide = cols.widen_arrays(df, {"bb1": "a"}, 3, keep_before=["id"], keep_after=[])
+    assert [tuple(r) for r in wide.collect()] == [(1, 1, None, 3), (2, None, None, None), (3, 4, None, None), (4, None, None, None), (5, 5, 6, 7)]
+    assert "AS a2" not in wide._jdf.queryExecution().executedPlan().toString()
+    even = cols.widen_arrays(df.where("id in (1, 5)").select("id", F.slice(F.array(F.lit(7), F.col("id"), F.lit(9)), 1, 3).alias("bb1")), {"bb1": "a"}, 3, ["id"], [])
+    assert [tuple(r) for r in even.collect()] == [(1, 7, 1, 9), (5, 7, 5, 9)]
+
+
 def test_concat_features_is_flat_float(spark):
     df = spark.createDataFrame([([1, 2], [3], 9)], "a array<int>, b array<int>, protein int")
     out = cols.concat_features(df, ["a", "b"], ["protein"])
