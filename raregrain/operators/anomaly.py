@@ -208,21 +208,31 @@ def fit_isolation_forest(
     return model
 
 
-def calibrate(df: DataFrame, score: str, label: str = "y", method: str = "isotonic", higher_is_anomalous: bool = True):
-    """Fit a map from score to ``P(label = 1)``; returns a function from table to table with ``p0, p1``."""
+def calibrate(df: DataFrame, score: str, label: str = "y", method: str = "isotonic", higher_is_anomalous: bool = True, weight: str | None = None):
+    """Fit a map from score to ``P(label = 1)``; returns a function from table to table with ``p0, p1``.
+
+    Both fits take one weighted point per distinct score (a sigmoid: and label), which gives the same fit from less data;
+    rows that were grouped already come with their number in ``weight``.
+    """
     sign = 1.0 if higher_is_anomalous else -1.0
+    rows = F.lit(1.0) if weight is None else F.col(weight).cast("double")
 
     def prepared(table: DataFrame) -> DataFrame:
         signed = table.withColumn("_s", F.col(score) * F.lit(sign))
         return VectorAssembler(inputCols=["_s"], outputCol="_v").transform(signed)
 
     if method == "isotonic":
-        # one weighted point per distinct score gives the same fit from less data
-        points = df.groupBy(score).agg(F.avg(F.col(label).cast("double")).alias("_y"), F.count(F.lit(1)).cast("double").alias("_w"))
+        target = F.col(label).cast("double")
+        mean = F.try_divide(F.sum(target * rows), F.sum(F.when(target.isNotNull(), rows)))
+        points = df.groupBy(score).agg(mean.alias("_y"), F.sum(rows).alias("_w"))
         fit = IsotonicRegression(featuresCol="_v", labelCol="_y", weightCol="_w", predictionCol="_p")
         model = fit.fit(prepared(points))
     elif method == "platt":
-        model = LogisticRegression(featuresCol="_v", labelCol=label, probabilityCol="_q", predictionCol="_c", rawPredictionCol="_r").fit(prepared(df))
+        points = df.groupBy(score, label).agg(F.sum(rows).alias("_w"))
+        fit = LogisticRegression(featuresCol="_v", labelCol=label, weightCol="_w", probabilityCol="_q", predictionCol="_c", rawPredictionCol="_r")
+        model = fit.fit(prepared(points))
+        if model.numClasses == 2:
+            return _sigmoid(score, sign, float(model.coefficients[0]), float(model.intercept))
     else:
         raise ValueError("method is 'isotonic' or 'platt'")
 
@@ -234,6 +244,19 @@ def calibrate(df: DataFrame, score: str, label: str = "y", method: str = "isoton
     return apply
 
 
+def _sigmoid(score: str, sign: float, slope: float, intercept: float):
+    """The map of a fitted sigmoid as an expression: a model of one number needs no vectors."""
+
+    def apply(table: DataFrame) -> DataFrame:
+        signed = F.col(score).cast("double") * F.lit(sign)
+        p1 = 1 - 1 / (1 + F.exp(signed * F.lit(slope) + F.lit(intercept)))
+        missing = F.raise_error(F.lit(f"no probability for a null or NaN in {score}")).cast("double")
+        p1 = F.when(signed.isNull() | F.isnan(signed), missing).otherwise(p1)
+        return table.select(*table.columns, (1 - p1).alias("p0"), p1.alias("p1"))
+
+    return apply
+
+
 @dataclass
 class CalibrationEnsemble:
     """Maps from score to ``P(label = 1)``, one per fold; a row gets the mean of their probabilities."""
@@ -269,8 +292,10 @@ def calibrate_folds(
     needs rows of both classes, else it is an error.
     """
     marked = freeze(kfold(df, label, folds, key, seed, fold))
-    classes = marked.groupBy(fold).agg(F.countDistinct(F.when(F.col(label).isin(0, 1), F.col(label))).alias("n"))
+    # the rows are read once for all fits
+    points = freeze(marked.groupBy(fold, score, label).agg(F.count(F.lit(1)).alias("_n")))
+    classes = points.groupBy(fold).agg(F.countDistinct(F.when(F.col(label).isin(0, 1), F.col(label))).alias("n"))
     if classes.where("n = 2").count() < folds:
         raise ValueError(f"every one of {folds} folds needs rows of both classes")
-    maps = [calibrate(marked.where(F.col(fold) == i), score, label, method, higher_is_anomalous) for i in range(folds)]
+    maps = [calibrate(points.where(F.col(fold) == i), score, label, method, higher_is_anomalous, "_n") for i in range(folds)]
     return CalibrationEnsemble(maps), marked

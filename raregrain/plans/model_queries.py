@@ -236,7 +236,8 @@ def _(spark, sf_dir):
 @query("calibrate_platt_scores", f"WITH {SCORED_SQL} SELECT id, true AS is_mean, true AS keeps_order, true AS separates, true AS folds_differ FROM scored")
 def _(spark, sf_dir):
     """The probability is the mean of the folds' own, never falls with the score, and tells the classes apart."""
-    calibrate, marked = anomaly.calibrate_folds(scored(spark, sf_dir), "score", folds=_FOLDS)
+    # the folds take several passes, and the ids are computed
+    calibrate, marked = anomaly.calibrate_folds(freeze(scored(spark, sf_dir)), "score", folds=_FOLDS)
     out = calibrate(marked)
     for i, one in enumerate(calibrate.maps):
         out = one(out.withColumnsRenamed({"p0": "mean0", "p1": "mean1"})).drop("p0").withColumnsRenamed({"p1": f"own{i}", "mean0": "p0", "mean1": "p1"})

@@ -73,6 +73,22 @@ def test_feed_resumes(spark, tmp_path, stop):
     assert feed.feed_batches(spark, path, progress, each) == 0
 
 
+def test_sigmoid_is_fitted_on_points_and_applied_as_an_expression(spark):
+    """A row costs no vectors, and copies of a row weigh as many as they are."""
+    rows = [(i, float(s), int(i % 5 * 2 < s)) for i, s in enumerate([0, 1, 2, 3, 4, 5, 6] * 30)]
+    df = spark.createDataFrame(rows, "id bigint, score double, y int")
+    grouped = df.groupBy("score", "y").agg(F.count(F.lit(1)).alias("n"))
+    one, two = anomaly.calibrate(df, "score", method="platt"), anomaly.calibrate(grouped, "score", method="platt", weight="n")
+    plan = one(df)._jdf.queryExecution().executedPlan().toString()
+    assert "UDF" not in plan and "EXP(" in plan.upper()
+    for a, b in zip(one(df).orderBy("id").collect(), two(df).orderBy("id").collect()):
+        assert a.p1 == pytest.approx(b.p1, abs=1e-9) and a.p0 + a.p1 == pytest.approx(1, abs=1e-12)
+    sums = one(df).agg(F.sum("p1"), F.sum("y")).first()
+    assert sums[0] == pytest.approx(sums[1], rel=1e-4)
+    with pytest.raises(Exception, match="no probability"):
+        one(spark.createDataFrame([(1, None)], "id bigint, score double")).collect()
+
+
 def test_fold_calibration_against_plain_fits(spark):
     rng = np.random.default_rng(4)
     score = rng.normal(0, 1, 900)
