@@ -8,6 +8,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+from raregrain.llm import common
 from raregrain.llm.common import components, with_row_key
 from raregrain.llm.exact import exact_groups
 from raregrain.llm.simhash import links, near_groups, shingle_fingerprint
@@ -118,3 +119,15 @@ def test_row_keys(spark):
 def test_empty_tables(spark):
     none = docs_of(spark, ROWS).where("false")
     assert exact_groups(none).collect() == [] and near_groups(none).collect() == []
+
+
+def test_components_end_when_all_are_stars(spark, monkeypatch):
+    """No round is spent on finding that nothing changes: stars take none, a chain one write less than before."""
+    written = []
+    monkeypatch.setattr(common, "store", lambda df, name, _store=common.store: written.append(name) or _store(df, name))
+    stars = spark.createDataFrame([(5, 1), (1, 6), (6, 1), (9, 8), (7, 7)], "a bigint, b bigint")
+    assert sorted(tuple(r) for r in common.components(stars).collect()) == [(1, 1), (5, 1), (6, 1), (8, 8), (9, 8)]
+    assert written == ["edges"]
+    chain = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(60, 50), (60, 55)], "a bigint, b bigint")
+    assert sorted(tuple(r) for r in common.components(chain).collect()) == [(i, 0) for i in range(41)] + [(50, 50), (55, 50), (60, 50)]
+    assert common.components(spark.createDataFrame([(3, 3)], "a bigint, b bigint")).count() == 0
