@@ -127,9 +127,9 @@ def _nodes(rows: DataFrame, similarity: float, trees: int, depth: int, leaf: int
     for at in range(min(SEEDED, depth), depth + 1):
         level = store(level, "level")
         sizes = store(level.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "sizes")
-        small = level.join(sizes.where(F.col("size") <= leaf).select("node"), "node")
+        sized = store(level.join(sizes, "node"), "sized-level")  # one exchange of the level for both
+        small, big = (sized.where(fits).select("node", "key") for fits in (F.col("size") <= leaf, F.col("size") > leaf))
         leaves = small if leaves is None else leaves.unionByName(small)
-        big = level.join(sizes.where(F.col("size") > leaf).select("node"), "node")
         if at == depth or big.isEmpty():
             break
         level = big.join(rows.select("key", "tokens"), "key").select("key", _children(F.col("node"), second).alias("node"))
@@ -239,15 +239,17 @@ def _dealt(rows: DataFrame, group: str) -> DataFrame:
 
 
 def full_sets(texts: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """``key, shingles`` of the wanted rows; other texts are not split into words again."""
+    """The rows of ``wanted`` (unique bigints ``key`` and others) with ``shingles``; other texts are not split into words again."""
+    names = wanted.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches, limit=2 << 20):
             found = [s.tobytes() for s in shingle_sets(part.column("text"), size)]
-            yield pa.record_batch([part.column("key"), pa.array(found, pa.binary())], names=["key", "shingles"])
+            yield pa.record_batch([*(part.column(n) for n in names), pa.array(found, pa.binary())], names=[*names, "shingles"])
 
     # by exchange at every size: a broadcast of the keys would spare it for small tables only
-    return texts.join(wanted.hint("merge"), "key", "left_semi").select("key", "text").mapInArrow(run, "key bigint, shingles binary")
+    rows = texts.select("key", "text").join(wanted.hint("merge"), "key").select(*names, "text")
+    return rows.mapInArrow(run, "".join(f"{n} bigint, " for n in names) + "shingles binary")
 
 
 def _across(large: DataFrame, block: int) -> DataFrame:
@@ -281,19 +283,19 @@ def near_parts(
     first = store(large.groupBy("node").agg(F.min("key").alias("a")), "first")
     joins = _dealt(met, "node").mapInArrow(tokens, "a bigint, b bigint").unionByName(large.join(first, "node").select("a", F.col("key").alias("b")))
     clusters = store(components(joins).select(F.col("node").alias("key"), F.col("root").alias("cluster")), "clusters")
-    full = store(full_sets(texts, clusters.select("key"), size), "sets")
     sized = store(clusters.join(clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("rows")), "cluster"), "sized")
 
     blocks = F.pmod(F.xxhash64("key"), F.ceil(F.col("rows") / block))
-    cells = sized.select(F.xxhash64("cluster", blocks).alias("cell"), "key", F.col("key").alias("part"))
-    links = _dealt(cells.join(full, "key"), "cell").mapInArrow(sets, "a bigint, b bigint")
+    # a set takes its cell along from the join with its text: no exchange by key of its own
+    full = store(full_sets(texts, sized.select("key", F.xxhash64("cluster", blocks).alias("cell")), size), "sets")
+    links = _dealt(full.withColumn("part", F.col("key")), "cell").mapInArrow(sets, "a bigint, b bigint")
     # a row is in one cell, which names its component: what is sent is a star already
     parts = store(links.select(F.col("b").alias("key"), F.col("a").alias("part")), "parts")
     wide = sized.where(F.col("rows") > block).select("cluster", "key")
     if wide.isEmpty():
         return parts
     wide = store(wide.join(parts, "key", "left").withColumn("part", F.coalesce("part", "key")), "wide")
-    more = store(_dealt(_across(wide, block).join(full, "key"), "cell").mapInArrow(sets, "a bigint, b bigint"), "links")
+    more = store(_dealt(_across(wide, block).join(full.drop("cell"), "key"), "cell").mapInArrow(sets, "a bigint, b bigint"), "links")
     if more.isEmpty():
         return parts
     # components that the second comparison has joined

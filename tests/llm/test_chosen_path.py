@@ -122,3 +122,12 @@ def test_trees_and_tokens():
     true = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
     equal = (chosen_path.minwise(a) == chosen_path.minwise(b)).mean()
     assert abs(equal - true) < 0.2
+
+
+def test_full_sets_take_their_cells_along(spark):
+    """Cells travel with the texts, so that sets need no exchange by key to meet them."""
+    texts = spark.createDataFrame([(1, "a B c d e"), (2, "x"), (3, "a b c d e")], "key bigint, text string")
+    wanted = spark.createDataFrame([(1, 10), (3, 11)], "key bigint, cell bigint")
+    found = {r.key: (r.cell, bytes(r.shingles)) for r in chosen_path.full_sets(texts, wanted, 4).collect()}
+    assert sorted(found) == [1, 3] and [found[k][0] for k in (1, 3)] == [10, 11]
+    assert found[1][1] == found[3][1] and len(found[1][1]) == 2 * 8
