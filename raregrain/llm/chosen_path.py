@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from raregrain.llm.common import components, is_space, keyed, mixed, ranges, raw_text, store, text_slices, word_starts_ends
+from raregrain.llm.common import components, is_space, keyed, mixed, ranges, raw_text, store, text_slices, whole_groups, word_starts_ends
 
 COORDINATES = 64
 LEAF = 48
@@ -136,29 +136,6 @@ def _nodes(rows: DataFrame, similarity: float, trees: int, depth: int, leaf: int
     return leaves, big
 
 
-def _groups(batches: Iterator[pa.RecordBatch], name: str) -> Iterator[pa.Table]:
-    """Tables of whole groups of batches that are sorted by the column ``name``, about a batch of rows at a time."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        group = batch.column(name)
-        if held and held[-1].column(name)[-1] != group[-1]:
-            # the group that was open ends in this batch, and so do all but the last of its own
-            start = int(np.searchsorted(group.to_numpy(), group[-1].as_py()))
-            yield pa.Table.from_batches([*held, batch.slice(0, start)])
-            held = [batch.slice(start)]
-        elif not held:
-            start = int(np.searchsorted(group.to_numpy(), group[-1].as_py()))
-            if start:
-                yield pa.Table.from_batches([batch.slice(0, start)])
-            held = [batch.slice(start)]
-        else:
-            held.append(batch)
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 class _Joined:
     """Union of keys; the smallest key names what has been joined, so that what is sent on is a star and not a chain."""
 
@@ -184,7 +161,7 @@ class _Joined:
 
 def _compare_tokens(batches: Iterator[pa.RecordBatch], least: int, percent: int, rows: int = 1 << 15) -> Iterator[pa.RecordBatch]:
     """``a, b``: joins of each node's rows that have ``least`` equal tokens and sizes that allow the similarity."""
-    for table in _groups(batches, "node"):
+    for table in whole_groups(batches, "node"):
         node, key, n = (table.column(c).to_numpy() for c in ("node", "key", "n"))
         tokens = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, COORDINATES)
         begins = np.flatnonzero(np.concatenate(([True], node[1:] != node[:-1])))
@@ -213,7 +190,7 @@ def _common(one: np.ndarray, held: np.ndarray, offsets: np.ndarray) -> np.ndarra
 
 def _compare_sets(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """``a, b``: joins of each cell's rows whose full sets are similar; rows of one component ``part`` are joined already."""
-    for table in _groups(batches, "cell"):
+    for table in whole_groups(batches, "cell"):
         cell = table.column("cell").to_numpy()
         begins = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1]))).tolist()
         for begin, end in zip(begins, [*begins[1:], len(cell)]):
