@@ -28,6 +28,8 @@ SAMPLE_ROWS = 2_000
 CLAIM = 0.5
 #: Slots per claimed n-gram, rounded up to a power of two; at most 2**26 slots.
 SLOTS_PER_CLAIM = 16
+#: Text that is cut into n-grams in one go: it takes arrays of about a hundred times as many bytes.
+SLICE = 1 << 20
 UNKNOWN = "und"
 
 _TABLE: list[np.ndarray] = []
@@ -137,6 +139,18 @@ def slot_places(hashes: np.ndarray, bits: int) -> list[np.ndarray]:
     return [((hashes + np.uint64(i) * step) & mask).astype(np.int64) for i in range(HASHES)]
 
 
+def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``lang, gram, n``: the n-grams of each language in every slice of the texts."""
+    for part in text_slices(batches, limit=SLICE):
+        names = part.column("lang").to_pylist()
+        order = sorted(set(names))
+        hashes, owner, _ = ngram_hashes(part.column("text").to_pylist())
+        which = np.array([order.index(n) for n in names])[owner]
+        for i, name in enumerate(order):
+            seen, n = np.unique(hashes[which == i], return_counts=True)
+            yield pa.record_batch([pa.array([name] * len(seen), pa.string()), pa.array(seen.view(np.int64)), pa.array(n.astype(np.int64))], ["lang", "gram", "n"])
+
+
 def learn(rows: DataFrame, text: str = "text", language: str = "lang", key: str = "doc_id", sample_rows: int = SAMPLE_ROWS, claim: float = CLAIM) -> LanguageFilter:
     """Filter learned from rows with a text and a language.
 
@@ -150,18 +164,8 @@ def learn(rows: DataFrame, text: str = "text", language: str = "lang", key: str
     if share is None:
         return LanguageFilter.build([], [])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in text_slices(batches):
-            names = part.column("lang").to_pylist()
-            order = sorted(set(names))
-            hashes, owner, _ = ngram_hashes(part.column("text").to_pylist())
-            which = np.array([order.index(n) for n in names])[owner]
-            for i, name in enumerate(order):
-                seen, n = np.unique(hashes[which == i], return_counts=True)
-                yield pa.record_batch([pa.array([name] * len(seen), pa.string()), pa.array(seen.view(np.int64)), pa.array(n.astype(np.int64))], ["lang", "gram", "n"])
-
     drawn = rows.where(draw < F.try_element_at(share, F.col(language))).select(F.col(language).alias("lang"), F.col(text).alias("text"))
-    counts = drawn.mapInArrow(run, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = drawn.mapInArrow(counted, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     totals = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     if not totals:
         return LanguageFilter.build([], [r["lang"] for r in sizes])
@@ -187,7 +191,7 @@ def identify(docs: DataFrame, model: LanguageFilter, key: str = "doc_id", text:
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in text_slices(batches, limit=1 << 20):
+        for part in text_slices(batches, limit=SLICE):
             names, scores = sent.value.predict(part.column("text").to_pylist())
             yield pa.record_batch([part.column("key"), part.column("out"), pa.array(names, pa.string()), pa.array(scores)], ["key", "held_out", "lang_pred", "score"])
 
@@ -201,7 +205,7 @@ def keep_known(docs: DataFrame, model: LanguageFilter, text: str = "text") -> Da
 
     @F.arrow_udf("string")
     def predicted(texts: pa.Array) -> pa.Array:
-        parts = text_slices(iter([pa.record_batch([texts], ["text"])]), limit=1 << 20)
+        parts = text_slices(iter([pa.record_batch([texts], ["text"])]), limit=SLICE)
         names = [n for part in parts for n in sent.value.predict(part.column("text").to_pylist())[0]]
         return pa.array(names, pa.string())
 

@@ -21,6 +21,8 @@ from raregrain.llm.common import text_slices
 
 #: Pieces remembered per Python worker, about 200 bytes each.
 CACHE = 1_000_000
+#: Text that is encoded in one go, which takes about ten times as many bytes beside the pieces.
+SLICE = 4 << 20
 #: Letters that NFC leaves alone, then ASCII punctuation; both runs are one piece for the splitter.
 _PLAIN = r"^(?P<letters>[A-Za-zÀ-ÖØ-öø-ÿ]*)(?P<marks>[!-/:-@\[-`{-~]*)$"
 
@@ -107,6 +109,6 @@ def encoder(path: str) -> Encoder:
 
 def encoded(batches: Iterator[pa.RecordBatch], path: str, end: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Slices of record batches with a ``text`` column, with the offsets and ids of their texts."""
-    for part in text_slices(batches):
+    for part in text_slices(batches, limit=SLICE):
         yield (part, *encoder(path).encode(part.column("text"), end))
 
