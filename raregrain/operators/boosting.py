@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from raregrain.functions.vectors import as_array
 from raregrain.operators.evaluate import CURVE_SUMS, curve_area
+from raregrain.operators.few_rows import SETTINGS, FewRows, boost_few, few_metrics
 from raregrain.operators.ranking import FEW_ROWS, stratified_running_sums
 from raregrain.session import checkpoint_root, freeze
 
@@ -133,15 +134,27 @@ def _tree_nodes(spark: SparkSession, paths: dict[int, str], scales: dict[int, fl
     return table[list(_TYPES)].astype(_TYPES)
 
 
+def _listed_nodes(trees: list[tuple[int, float, list[list]]]) -> pd.DataFrame:
+    """Nodes of trees grown in memory."""
+    rows = [[i, scale, at, *node] for i, scale, nodes in trees for at, node in enumerate(nodes)]
+    return pd.DataFrame(rows, columns=list(_TYPES)).astype(_TYPES)
+
+
 def boost(
-    df: DataFrame, rounds: int, start: BoostedTrees | None = None, label: str = "binds", features: str = "vectors",
+    df: DataFrame | FewRows, rounds: int, start: BoostedTrees | None = None, label: str = "binds", features: str = "vectors",
     weight: str | None = None, step: float = 0.1, cut_every: int = 10, **tree: object,
 ) -> BoostedTrees:
     """Add ``rounds`` trees to ``start`` (or to none) on the rows of ``df`` with a label of 0 or 1 and features.
 
     ``step`` scales every tree but the first of the ensemble. ``tree`` holds settings of the regression tree (depth 3 and
     seed 42 unless given). Rows and margins are stored every ``cut_every`` rounds, which bounds both the lineage and what a lost executor costs.
+    :class:`FewRows` have their own weights and margins, those of ``start``, and are boosted in memory.
     """
+    if isinstance(df, FewRows):
+        if set(tree) - set(SETTINGS):
+            raise ValueError(f"settings that few rows do not follow: {sorted(set(tree) - set(SETTINGS))}")
+        grown = _listed_nodes(boost_few(df, start.rounds if start is not None else 0, rounds, step, {"maxDepth": 3, **tree}))
+        return BoostedTrees(grown if start is None else pd.concat([start.nodes, grown], ignore_index=True), features)
     spark = df.sparkSession
     done = start.rounds if start is not None else 0
     y = F.when(F.col(label) == 1, 1.0).when(F.col(label) == 0, -1.0)
@@ -172,13 +185,22 @@ def boost(
 
 
 def round_metrics(
-    df: DataFrame, model: BoostedTrees, first: int = 1, label: str = "binds", weight: str | None = None, n_rows: int | None = None
-) -> DataFrame:
+    df: DataFrame | FewRows, model: BoostedTrees, first: int = 1, label: str = "binds", weight: str | None = None, n_rows: int | None = None
+) -> DataFrame | pa.Table:
     """``round, logloss, aucpr`` on ``df`` after every round from ``first`` on, from one pass over its rows.
 
     A row gives all its margins at once; rows are summed by round and margin before the only shuffle of them.
     ``aucpr`` is average precision with ties grouped, null where a class is missing. ``n_rows`` is a bound on the rows where one is known.
+    :class:`FewRows` give the rounds that were fitted last on them, as a table in memory.
     """
+    if isinstance(df, FewRows):
+        held = df.margins.shape[1]
+        if first <= model.rounds - held:
+            raise ValueError(f"these rows have margins of the last {held} rounds")
+        numbers = list(range(first, model.rounds + 1))
+        found = [few_metrics(df, i - model.rounds + held - 1) for i in numbers]
+        columns = {"round": pa.array(numbers, pa.int32()), **{n: pa.array(list(c), pa.float64()) for n, c in zip(("logloss", "aucpr"), zip(*found))}}
+        return pa.table(columns)
     most = None if n_rows is None else n_rows * (model.rounds - first + 1)
     few = most is not None and most <= FEW_ROWS
     w = F.lit(1.0) if weight is None else F.col(weight).cast("double")

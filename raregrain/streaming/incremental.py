@@ -10,10 +10,13 @@ overwrites its own output.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Collection, Mapping, Sequence
-from concurrent.futures import ThreadPoolExecutor
+from collections.abc import Callable, Collection, Iterator, Mapping, Sequence
+from concurrent.futures import Future, ThreadPoolExecutor
+from contextlib import contextmanager
 from urllib.parse import unquote
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.ml import Model
@@ -22,10 +25,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from raregrain.functions.vectors import class1_probability
+from raregrain.functions.vectors import as_array, class1_probability
 from raregrain.operators.boosting import BoostedTrees, boost, round_metrics
 from raregrain.operators.classifiers import fit_mlp
 from raregrain.operators.evaluate import average_precision, log_loss
+from raregrain.operators.few_rows import MOST_CELLS, MOST_ROWS, SETTINGS, FewRows
 from raregrain.operators.sampling import resample_weighted
 from raregrain.operators.stats import class_weights
 from raregrain.session import freeze
@@ -92,14 +96,66 @@ def _note(spark: SparkSession, chunks: Sequence[tuple[int, Sequence[str]]], prog
     write_pred_chunks(spark.createDataFrame(notes, "file string, chunk_no int").coalesce(1), progress)
 
 
+#: Fits of chunks, or loads of models, that are in work at a time.
+AT_ONCE = 8
+#: Small chunks that are read and noted together.
+CHUNKS_A_BLOCK = 64
+#: Models of small chunks that wait to be stored.
+MODELS_WAITING = 16
+
+
+def small_blocks(spark: SparkSession, path: str, schema: T.StructType, features: str, chunks: Sequence[tuple[int, list[str]]]) -> list[tuple[bool, list[tuple[int, list[str]]]]]:
+    """The chunks in order, those of few rows in blocks that fit into memory together (true), each of the others by itself (false).
+
+    Rows are counted from the files' footers; the width of the features is that of the first chunk.
+    """
+    if not chunks or schema[features].metadata.get("ml_attr"):  # nominal features are told by it
+        return [(False, [c]) for c in chunks]
+    counted = _options(spark.read).parquet(path).groupBy(F.col("_metadata.file_path").alias("file")).agg(F.count(F.lit(1)).alias("n"))
+    rows = {unquote(r.file): r.n for r in counted.collect()}
+    first = spark.read.schema(schema).parquet(*chunks[0][1])
+    width = first.agg(F.max(F.size(as_array(first, features)))).first()[0] or 1
+    blocks: list[tuple[bool, list[tuple[int, list[str]]]]] = []
+    held = 0
+    for chunk in chunks:
+        n = sum(rows.get(f, MOST_ROWS + 1) for f in chunk[1])
+        small = n <= MOST_ROWS and n * width <= MOST_CELLS
+        if small and blocks and blocks[-1][0] and len(blocks[-1][1]) < CHUNKS_A_BLOCK and (held + n) * width <= MOST_CELLS:
+            blocks[-1][1].append(chunk)
+            held += n
+        else:
+            blocks.append((small, [chunk]))
+            held = n
+    return blocks
+
+
+def read_block(
+    spark: SparkSession, schema: T.StructType, chunks: Sequence[tuple[int, list[str]]], select: Callable[[DataFrame], list[Column]]
+) -> Iterator[pa.Table]:
+    """What ``select`` takes of the rows of every one of several small chunks, read by one job; rows come by file."""
+    number = {f: i for i, (_, files) in enumerate(chunks) for f in files}
+    order = {f: i for i, f in enumerate(number)}
+    df = spark.read.schema(schema).parquet(*number)
+    table = df.select(*select(df), F.col("_metadata.file_path").alias("_file")).toArrow().combine_chunks()
+    files = [unquote(f) for f in table.column("_file").to_pylist()]
+    at = np.array([number[f] for f in files], np.int64)
+    by = np.argsort(np.array([order[f] for f in files], np.int64), kind="stable")
+    table, at = table.drop_columns("_file").take(pa.array(by)), at[by]
+    for i in range(len(chunks)):
+        lo, hi = np.searchsorted(at, (i, i + 1))
+        yield table.slice(lo, hi - lo)
+
+
 def walk_chunks(
     spark: SparkSession, path: str, schema: T.StructType, progress: str,
     each: Callable[[DataFrame, int, int | None], Callable[[], None] | None],
+    several: Callable[[list[tuple[int, list[str]]], int | None], bool] | None = None, features: str = "vectors",
 ) -> list[int]:
     """Call ``each(chunk, chunk_no, chunk_no before it)`` for every chunk not yet finished, in order; returns all finished.
 
     What ``each`` returns, if anything, is called to end the chunk while the next one is in work; then the chunk is noted.
-    Ends run one after the other, so that a chunk is noted only after those before it.
+    Ends run one after the other, so that a chunk is noted only after those before it. ``several(chunks, chunk_no before them)``
+    may take a block of small chunks (:func:`small_blocks`) instead and note them itself; if it returns false, each is walked.
     """
     noted = _finished(spark, progress)
     finished = list(noted)
@@ -110,9 +166,24 @@ def walk_chunks(
         _note(spark, [(chunk_no, files)], progress)
 
     ending = None
+
+    def rest() -> Iterator[tuple[int, list[str]]]:
+        """Chunks that ``several`` does not take."""
+        nonlocal ending
+        waiting = chunk_files(spark, path, noted)
+        for small, block in small_blocks(spark, path, schema, features, waiting) if several is not None else [(False, waiting)]:
+            if small:
+                if ending is not None:
+                    before, ending = ending, None
+                    before.result()
+                if several(block, finished[-1] if finished else None):
+                    finished.extend(no for no, _ in block)
+                    continue
+            yield from block
+
     with ThreadPoolExecutor(1) as pool:
         try:
-            for chunk_no, files in chunk_files(spark, path, noted):
+            for chunk_no, files in rest():
                 end = each(spark.read.schema(schema).parquet(*files), chunk_no, finished[-1] if finished else None)
                 before, ending = ending, None
                 if before is not None:
@@ -161,6 +232,36 @@ def model_path(root: str, chunk_no: int) -> str:
     return f"{root}/models/_{chunk_no}_ckpt"
 
 
+@contextmanager
+def stored_in_order(spark: SparkSession, root: str, log_schema: str) -> Iterator[Callable[[int, list[str], Callable[[str], None], pa.Table], None]]:
+    """A function ``(chunk_no, files, save to a path, log)`` that stores models while the next ones are fitted.
+
+    At the end, after an error too, the chunks whose models and all before them are stored get their log and are noted, in one write each.
+    """
+    begun: list[tuple[int, list[str], Future, pa.Table]] = []
+    with ThreadPoolExecutor(AT_ONCE) as pool:
+
+        def store(chunk_no: int, files: list[str], save: Callable[[str], None], log: pa.Table) -> None:
+            if len(begun) >= MODELS_WAITING:
+                begun[-MODELS_WAITING][2].result()
+            begun.append((chunk_no, files, pool.submit(save, model_path(root, chunk_no)), log))
+
+        try:
+            yield store
+        finally:
+            done, failed = [], None
+            for item in begun:
+                failed = failed or item[2].exception()
+                if failed is None:
+                    done.append(item)
+            if done:
+                log = pa.concat_tables([log.append_column("chunk_no", pa.array([no] * len(log), pa.int32())) for no, _, _, log in done])
+                write_pred_chunks(spark.createDataFrame(log, f"{log_schema}, chunk_no int").coalesce(1), f"{root}/log")
+                _note(spark, [(no, files) for no, files, *_ in done], f"{root}/progress")
+            if failed is not None:
+                raise failed
+
+
 def train_incremental(
     spark: SparkSession,
     path: str,
@@ -256,7 +357,36 @@ def train_boosted(
 
         return end
 
-    finished = walk_chunks(spark, path, schema, f"{root}/progress", each)
+    def several(chunks: list[tuple[int, list[str]]], before: int | None) -> bool:
+        """Small chunks one after the other in memory; margins of the trees before them come with their rows."""
+        model = models.get(before)
+        if before is not None and model is None:
+            model = BoostedTrees.load(spark, model_path(root, before), features)
+
+        def columns(df: DataFrame) -> list[Column]:
+            margin = F.element_at(model.margins(df, model.rounds), 1) if model is not None else F.lit(0.0)
+            return [F.col(label).cast("double").alias("y"), as_array(df, features).alias("x"), margin.alias("margin")]
+
+        tables = list(read_block(spark, schema, chunks, columns))
+        held = [FewRows.of(t, "x", "y", "margin") for t in tables]
+        if any(h is None for h in held):
+            return False
+        with stored_in_order(spark, root, "round int, logloss double, aucpr double, n_rows int") as store:
+            grown = None  # nodes since the block began
+            for (chunk_no, files), table, rows in zip(chunks, tables, held):
+                rows.add(grown)
+                first = model.rounds + 1 if model is not None else 1
+                model = boost(rows, rounds, model, label, features, "sample_weights", step, **tree)
+                log = round_metrics(rows, model, first, label, "sample_weights", table.num_rows)
+                fresh = model.nodes[model.nodes["round"] >= first]
+                grown = fresh if grown is None else pd.concat([grown, fresh], ignore_index=True)
+                store(chunk_no, files, lambda at, model=model: model.save(spark, at), log.append_column("n_rows", pa.array([table.num_rows] * len(log), pa.int32())))
+        models.clear()
+        models[chunks[-1][0]] = model
+        return True
+
+    follows = not set(tree) - set(SETTINGS)
+    finished = walk_chunks(spark, path, schema, f"{root}/progress", each, several if follows else None, features)
     if not finished:
         raise ValueError(f"no chunks under {path}")
     final = BoostedTrees.load(spark, model_path(root, finished[-1]), features)
@@ -264,8 +394,6 @@ def train_boosted(
     return final
 
 
-#: Fits of chunks, or loads of models, that are in work at a time.
-AT_ONCE = 8
 #: Models that score in one pass over the rows; more would make plans that grow with the number of chunks.
 MODELS_A_PASS = 16
 
