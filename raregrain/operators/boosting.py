@@ -9,6 +9,7 @@ small table of tree nodes (rounds times nodes of a tree); all partial sums of a
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,11 +27,34 @@ from raregrain.session import checkpoint_root, freeze
 
 #: Largest ensemble that scoring tasks get, in nodes of 40 bytes.
 MAX_NODES = 5_000_000
-#: Rows times trees that a scoring task walks at once.
+#: Rows times trees whose margins a scoring task holds at once, and rows, whose columns should stay in the cache.
 _CELLS = 1 << 20
+_ROWS = 8192
 #: A tree of no more nodes is read node by node from the fitted model, a larger one from files.
 _FEW_NODES = 255
-_SCHEMA = "round int, weight double, node int, feature int, threshold double, lower int, upper int, value double"
+#: Columns of a stored ensemble.
+NODES_SCHEMA = "round int, weight double, node int, feature int, threshold double, lower int, upper int, value double"
+
+
+def _stepper() -> Callable[[tuple[np.ndarray, ...], np.ndarray], np.ndarray | float]:
+    """A function of a tree and of rows that are given as columns: what the tree adds to their margins. It travels with what calls it."""
+
+    def steps(tree: tuple[np.ndarray, ...], columns: np.ndarray) -> np.ndarray | float:
+        feature, threshold, lower, upper, step = tree
+        if len(feature) > 63:  # down from the root, a level at a time
+            at, every = np.zeros(columns.shape[1], np.int64), np.arange(columns.shape[1])
+            while (inner := feature[at] >= 0).any():
+                down = columns[np.maximum(feature[at], 0), every] <= threshold[at]
+                at = np.where(inner, np.where(down, lower[at], upper[at]), at)
+            return step[at]
+
+        def value(node: int) -> np.ndarray | float:  # all nodes of a small tree: no gathering
+            f = feature[node]
+            return step[node] if f < 0 else np.where(columns[f] <= threshold[node], value(lower[node]), value(upper[node]))
+
+        return value(0)
+
+    return steps
 
 
 @dataclass(frozen=True)
@@ -47,38 +71,45 @@ class BoostedTrees:
     def save(self, spark: SparkSession, path: str) -> None:
         """Overwrite the ensemble stored at ``path``."""
         table = pa.table({c: self.nodes[c].to_numpy() for c in _TYPES})
-        spark.createDataFrame(table, _SCHEMA).coalesce(1).write.mode("overwrite").parquet(path)
+        spark.createDataFrame(table, NODES_SCHEMA).coalesce(1).write.mode("overwrite").parquet(path)
 
     @staticmethod
     def load(spark: SparkSession, path: str, features: str = "vectors") -> BoostedTrees:
-        table = spark.read.schema(_SCHEMA).parquet(path).orderBy("round", "node").toPandas()
-        return BoostedTrees(table.astype(_TYPES), features)
+        return BoostedTrees.of(spark.read.schema(NODES_SCHEMA).parquet(path).orderBy("round", "node").toPandas(), features)
+
+    @staticmethod
+    def of(nodes: pd.DataFrame, features: str = "vectors") -> BoostedTrees:
+        """Of a table of nodes that is sorted by round and node."""
+        return BoostedTrees(nodes[list(_TYPES)].astype(_TYPES).reset_index(drop=True), features)
+
+    def _trees(self) -> list[tuple[np.ndarray, ...]]:
+        """``feature, threshold, lower, upper, step`` of the nodes of every tree."""
+        columns = [self.nodes[c].to_numpy() for c in ("feature", "threshold", "lower", "upper")]
+        columns.append(self.nodes["weight"].to_numpy() * self.nodes["value"].to_numpy())
+        cuts = np.searchsorted(self.nodes["round"].to_numpy(), np.arange(1, self.rounds + 2))
+        return [tuple(c[lo:hi] for c in columns) for lo, hi in zip(cuts[:-1], cuts[1:])]
 
     def margins(self, df: DataFrame, first: int = 1) -> Column:
         """Array of a row's margins after each of the rounds from ``first`` on; null for null features."""
         if len(self.nodes) > MAX_NODES:
             raise ValueError(f"an ensemble has at most {MAX_NODES} nodes")
-        tree, scale = self.nodes["round"].to_numpy() - 1, self.nodes["weight"].to_numpy()
-        feature, threshold = self.nodes["feature"].to_numpy(), self.nodes["threshold"].to_numpy()
-        starts = np.searchsorted(tree, np.arange(self.rounds))
-        below, above = (self.nodes[c].to_numpy() + starts[tree] for c in ("lower", "upper"))
-        step = scale * self.nodes["value"].to_numpy()
-        forest = df.sparkSession.sparkContext.broadcast((starts, feature, threshold, below, above, step))
+        forest = df.sparkSession.sparkContext.broadcast(self._trees())
+        steps = _stepper()
 
         def run(vectors: pd.Series) -> pd.Series:
-            starts, feature, threshold, below, above, step = forest.value
+            trees = forest.value
             known = vectors.notna().to_numpy()
             points = np.stack(vectors[known].to_numpy()) if known.any() else np.zeros((0, 1))
             out: list[list[float] | None] = [None] * len(vectors)
-            places, some = np.flatnonzero(known).tolist(), max(1, _CELLS // max(1, len(starts)))
-            for begin in range(0, len(points), some):  # all trees at once, a level at a time
-                part = points[begin : begin + some]
-                every = np.arange(len(part))[:, None]
-                at = np.tile(starts, (len(part), 1))
-                while (inner := feature[at] >= 0).any():
-                    down = part[every, np.maximum(feature[at], 0)] <= threshold[at]
-                    at = np.where(inner, np.where(down, below[at], above[at]), at)
-                for place, row in zip(places[begin : begin + some], np.cumsum(step[at], axis=1)[:, first - 1 :].tolist()):
+            places, some = np.flatnonzero(known).tolist(), max(1, min(_ROWS, _CELLS // max(1, len(trees) - first + 1)))
+            for begin in range(0, len(points), some):
+                columns = np.ascontiguousarray(points[begin : begin + some].T)
+                margin, kept = np.zeros(columns.shape[1]), []
+                for i, tree in enumerate(trees, 1):
+                    margin = margin + steps(tree, columns)
+                    if i >= first:
+                        kept.append(margin)
+                for place, row in zip(places[begin : begin + some], np.stack(kept, axis=1).tolist() if kept else [[]] * len(margin)):
                     out[place] = row
             return pd.Series(out, dtype=object)
 
@@ -95,6 +126,33 @@ class BoostedTrees:
         return scored.select(*keep, p1.alias("p1"), (F.col("_margin") > 0).cast("double").alias("prediction"))
 
 
+def mean_probability(df: DataFrame, models: Sequence[BoostedTrees]) -> Column:
+    """Mean probability of class 1 over several ensembles, of which none needs to know another; null for null features."""
+    if sum(len(m.nodes) for m in models) > MAX_NODES:
+        raise ValueError(f"ensembles that score together have at most {MAX_NODES} nodes")
+    forests = df.sparkSession.sparkContext.broadcast([m._trees() for m in models])
+    steps = _stepper()
+    features = models[0].features
+
+    def run(vectors: pd.Series) -> pd.Series:
+        known = vectors.notna().to_numpy()
+        points = np.stack(vectors[known].to_numpy()) if known.any() else np.zeros((0, 1))
+        out = np.full(len(points), np.nan)
+        for begin in range(0, len(points), _ROWS):
+            columns = np.ascontiguousarray(points[begin : begin + _ROWS].T)
+            total = np.zeros(columns.shape[1])
+            with np.errstate(over="ignore"):
+                for trees in forests.value:
+                    total += 1 / (1 + np.exp(-2 * sum((steps(tree, columns) for tree in trees), np.zeros(columns.shape[1]))))
+            out[begin : begin + _ROWS] = total / len(forests.value)
+        found = pd.Series([None] * len(vectors), dtype=object)
+        found[known] = out
+        return found.astype("float64")
+
+    known = F.col(features).isNotNull()
+    return F.when(known, F.pandas_udf(run, "double")(F.when(known, as_array(df, features))))
+
+
 _TYPES = {"round": "int32", "weight": "float64", "node": "int32", "feature": "int32", "threshold": "float64", "lower": "int32", "upper": "int32", "value": "float64"}
 
 

@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from raregrain.functions.vectors import class1_probability
+from raregrain.operators.boosting import BoostedTrees, boost
+from raregrain.operators.few_rows import FewRows
 from raregrain.operators.stats import class_weights
 
 #: Metrics that each evaluator accepts; anything else is refused before a job starts.
@@ -63,8 +65,11 @@ def gbt(label: str = "binds", features: str = "vectors", weight: str | None = No
     return GBTClassifier(labelCol=label, featuresCol=features, **settings)
 
 
-def fit_gbt(df: DataFrame, label: str = "binds", features: str = "vectors", weight: str | None = None, **params: object) -> Model:
-    """Gradient-boosted trees, optionally on weighted rows."""
+def fit_gbt(df: DataFrame | FewRows, label: str = "binds", features: str = "vectors", weight: str | None = None, **params: object) -> Model | BoostedTrees:
+    """Gradient-boosted trees, optionally on weighted rows; the same trees, grown in memory, for :class:`FewRows`, which have their weights."""
+    if isinstance(df, FewRows):
+        tree = {"maxIter": 100, "stepSize": 0.1, "maxDepth": 5, **params}
+        return boost(df, tree.pop("maxIter"), None, label, features, weight, tree.pop("stepSize"), **tree)
     return gbt(label, features, weight, **params).fit(df)
 
 

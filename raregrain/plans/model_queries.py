@@ -308,7 +308,7 @@ def _(spark, sf_dir):
     def fit(df):
         return classifiers.fit_gbt(df, weight="sample_weights", maxIter=3, maxDepth=3)
 
-    paths = incremental.train_ensemble(*_vector_chunks(spark, sf_dir), root, fit, label="binds")
+    paths = incremental.train_ensemble(*_vector_chunks(spark, sf_dir), root, fit, label="binds", fit_few=fit)
     models = incremental.load_models(GBTClassificationModel.load, paths)
     return _classes(incremental.score_ensemble(vectors(spark, sf_dir), models, keep=["binds"]))
 

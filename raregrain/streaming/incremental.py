@@ -10,6 +10,7 @@ overwrites its own output.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Collection, Iterator, Mapping, Sequence
 from concurrent.futures import Future, ThreadPoolExecutor
 from contextlib import contextmanager
@@ -26,13 +27,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from raregrain.functions.vectors import as_array, class1_probability
-from raregrain.operators.boosting import BoostedTrees, boost, round_metrics
+from raregrain.operators.boosting import NODES_SCHEMA, BoostedTrees, boost, mean_probability, round_metrics
 from raregrain.operators.classifiers import fit_mlp
 from raregrain.operators.evaluate import average_precision, log_loss
 from raregrain.operators.few_rows import MOST_CELLS, MOST_ROWS, SETTINGS, FewRows
 from raregrain.operators.sampling import resample_weighted
 from raregrain.operators.stats import class_weights
 from raregrain.session import freeze
+from raregrain.sources.readers import widen_scan
 from raregrain.sources.sinks import write_pred_chunks
 
 #: Files of a micro-batch where chunks are small and have folders.
@@ -104,6 +106,12 @@ CHUNKS_A_BLOCK = 64
 MODELS_WAITING = 16
 
 
+def _known_array(df: DataFrame, col: str) -> Column:
+    """Array of a vector column, null where that is null."""
+    known = F.col(col).isNotNull()
+    return F.when(known, as_array(df, col))
+
+
 def small_blocks(spark: SparkSession, path: str, schema: T.StructType, features: str, chunks: Sequence[tuple[int, list[str]]]) -> list[tuple[bool, list[tuple[int, list[str]]]]]:
     """The chunks in order, those of few rows in blocks that fit into memory together (true), each of the others by itself (false).
 
@@ -114,7 +122,8 @@ def small_blocks(spark: SparkSession, path: str, schema: T.StructType, features:
     counted = _options(spark.read).parquet(path).groupBy(F.col("_metadata.file_path").alias("file")).agg(F.count(F.lit(1)).alias("n"))
     rows = {unquote(r.file): r.n for r in counted.collect()}
     first = spark.read.schema(schema).parquet(*chunks[0][1])
-    width = first.agg(F.max(F.size(as_array(first, features)))).first()[0] or 1
+    width = first.agg(F.max(F.size(_known_array(first, features)))).first()[0]
+    width = max(width or 1, 1)
     blocks: list[tuple[bool, list[tuple[int, list[str]]]]] = []
     held = 0
     for chunk in chunks:
@@ -365,7 +374,7 @@ def train_boosted(
 
         def columns(df: DataFrame) -> list[Column]:
             margin = F.element_at(model.margins(df, model.rounds), 1) if model is not None else F.lit(0.0)
-            return [F.col(label).cast("double").alias("y"), as_array(df, features).alias("x"), margin.alias("margin")]
+            return [F.col(label).cast("double").alias("y"), _known_array(df, features).alias("x"), margin.alias("margin")]
 
         tables = list(read_block(spark, schema, chunks, columns))
         held = [FewRows.of(t, "x", "y", "margin") for t in tables]
@@ -394,18 +403,22 @@ def train_boosted(
     return final
 
 
+#: Chunks of few rows that are fitted by one job and noted together.
+FITS_A_JOB = 512
 #: Models that score in one pass over the rows; more would make plans that grow with the number of chunks.
 MODELS_A_PASS = 16
 
 
 def train_ensemble(
     spark: SparkSession, path: str, schema: T.StructType, root: str, fit: Callable[[DataFrame], Model], label: str | None = None,
-    at_once: int = AT_ONCE,
+    at_once: int = AT_ONCE, fit_few: Callable[[FewRows], BoostedTrees] | None = None, features: str = "vectors",
 ) -> list[str]:
     """One model per chunk for learners that cannot continue a fit, such as trees; returns their paths in chunk order.
 
     With a ``label`` the chunk has ``sample_weights`` that balance its classes. The fits do not depend on each other: ``at_once`` are
     in work at a time, and finished chunks are noted in order, so many together. A lost driver costs the chunks in work.
+    Chunks of few rows (and in a ``chunk_no=<n>`` folder) are fitted by ``fit_few``, if given with a ``label``: hundreds by one
+    job, a chunk in a task, and their models are stored by one write. :func:`load_models` reads both kinds.
     """
 
     def one(chunk: tuple[int, list[str]]) -> int:
@@ -421,6 +434,18 @@ def train_ensemble(
     progress = f"{root}/progress"
     noted = _finished(spark, progress)
     waiting = chunk_files(spark, path, noted)
+    every = [no for no, _ in waiting]
+    paths = {no: model_path(root, no) for no in (*noted, *every)}
+    if fit_few is not None and label is not None:
+        foldered = [c for c in waiting if all((found := re.search(r"chunk_no=(\d+)/", f)) and int(found[1]) == c[0] for f in c[1])]
+        small = [c for few, block in small_blocks(spark, path, schema, features, foldered) if few for c in block]
+        for begin in range(0, len(small), FITS_A_JOB):
+            some = small[begin : begin + FITS_A_JOB]
+            sizes = _fit_few(spark, some, schema, root, fit_few, label, features)
+            note([(no, files, sizes[no]) for no, files in some])
+        taken = {no for no, _ in small}
+        waiting = [c for c in waiting if c[0] not in taken]
+        paths |= {no: few_path(root, no) for no in _fitted_few(spark, root) if no in paths}
     done: list[tuple[int, list[str], int]] = []
     with ThreadPoolExecutor(at_once) as pool:
         try:
@@ -432,20 +457,73 @@ def train_ensemble(
         finally:
             if done:
                 note(done)
-    return [model_path(root, no) for no in (*noted, *(no for no, _ in waiting))]
+    return [paths[no] for no in (*noted, *every)]
+
+
+def few_path(root: str, chunk_no: int) -> str:
+    """Where the model of a chunk of few rows is stored, beside those of the others."""
+    return f"{root}/few-models/chunk_no={chunk_no}"
 
 
-def load_models(load: Callable[[str], Model], paths: Sequence[str], at_once: int = AT_ONCE) -> list[Model]:
-    """Stored models in the order of ``paths``."""
+def _fitted_few(spark: SparkSession, root: str) -> list[int]:
+    """Chunks whose models are stored at :func:`few_path`."""
+    try:
+        rows = spark.read.schema(f"{NODES_SCHEMA}, chunk_no int").parquet(f"{root}/few-models").select("chunk_no").distinct().collect()
+    except AnalysisException:  # none so far
+        return []
+    return [r.chunk_no for r in rows]
+
+
+def _fit_few(
+    spark: SparkSession, chunks: Sequence[tuple[int, list[str]]], schema: T.StructType, root: str, fit: Callable[[FewRows], BoostedTrees], label: str, features: str
+) -> dict[int, int]:
+    """Fit and store the models of chunks of few rows, a chunk in a task; returns their rows."""
+    df = spark.read.schema(schema).parquet(*[f for _, files in chunks for f in files])
+    rows = df.select(
+        _folder_number(F.col("_metadata.file_path")).alias("chunk_no"), F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_at"),
+        F.col(label).cast("double").alias("y"), _known_array(df, features).alias("x"), F.lit(0.0).alias("margin"),
+    )
+
+    def run(table: pa.Table) -> pa.Table:
+        held = FewRows.of(table.sort_by([("_file", "ascending"), ("_at", "ascending")]), "x", "y", "margin")
+        if held is None or len(held.label) < table.num_rows or np.isnan(held.label).any():
+            raise ValueError("labels and features of a fit must be there, finite, and of one length")
+        nodes = pa.Table.from_pandas(fit(held).nodes, preserve_index=False)
+        return nodes.append_column("chunk_no", pa.array([table["chunk_no"][0].as_py()] * len(nodes), pa.int32()))
+
+    parts = max(1, min(len(chunks), 4 * spark.sparkContext.defaultParallelism))
+    fitted = rows.repartition(parts, "chunk_no").groupBy("chunk_no").applyInArrow(run, f"{NODES_SCHEMA}, chunk_no int")
+    write_pred_chunks(freeze(fitted).repartition(parts, "chunk_no"), f"{root}/few-models")
+    return {r.chunk_no: r["count"] for r in rows.groupBy("chunk_no").count().collect()}
+
+
+def load_models(load: Callable[[str], Model], paths: Sequence[str], at_once: int = AT_ONCE) -> list[Model | BoostedTrees]:
+    """Stored models in the order of ``paths``; those of chunks of few rows are read by one job, the others by ``load``."""
+    few = [p for p in paths if re.search(r"/few-models/chunk_no=\d+$", p)]
+    models: dict[str, Model | BoostedTrees] = {}
+    for root in dict.fromkeys(p.rsplit("/", 1)[0] for p in few):
+        table = SparkSession.active().read.schema(f"{NODES_SCHEMA}, chunk_no int").parquet(root).orderBy("chunk_no", "round", "node").toPandas()
+        models |= {f"{root}/chunk_no={no}": BoostedTrees.of(nodes.drop(columns="chunk_no")) for no, nodes in table.groupby("chunk_no")}
+    rest = [p for p in paths if p not in models]
     with ThreadPoolExecutor(at_once) as pool:
-        return list(pool.map(load, paths))
+        models |= dict(zip(rest, pool.map(load, rest)))
+    return [models[p] for p in paths]
 
 
 def score_ensemble(df: DataFrame, models: Sequence[Model], key: str = "id", keep: Sequence[str] = ()) -> DataFrame:
-    """Mean class-1 probability of several models, ``MODELS_A_PASS`` of them in one pass over the rows; the sums between passes are stored."""
+    """Mean class-1 probability of several models, ``MODELS_A_PASS`` of them in one pass over the rows; the sums between passes are stored.
+
+    :class:`BoostedTrees` are small tables and score in one pass, however many they are.
+    """
     columns = [key, *keep]
+    trees, models = [m for m in models if isinstance(m, BoostedTrees)], [m for m in models if not isinstance(m, BoostedTrees)]
+    n_models = len(trees) + len(models)
+    if trees:
+        df = widen_scan(df)
     inputs = df.columns
-    df = df.withColumn("_sum", F.lit(0.0))
+    df = df.withColumn("_sum", mean_probability(df, trees) * len(trees) if trees else F.lit(0.0))
+    if trees and models:
+        df = freeze(df)
     for begin in range(0, len(models), MODELS_A_PASS):
         some = models[begin : begin + MODELS_A_PASS]
         if begin:
@@ -454,7 +532,7 @@ def score_ensemble(df: DataFrame, models: Sequence[Model], key: str = "id", keep
             scored = model.transform(df.select(*inputs, "_sum", *[f"_p{j}" for j in range(i)]))
             df = scored.withColumn(f"_p{i}", class1_probability(scored))
         df = df.select(*inputs, sum((F.col(f"_p{i}") for i in range(len(some))), F.col("_sum")).alias("_sum"))
-    mean = F.col("_sum") / len(models)
+    mean = F.col("_sum") / n_models
     return df.select(*columns, mean.alias("p1"), (mean > 0.5).cast("double").alias("prediction"))
 
 

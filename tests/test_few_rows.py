@@ -12,9 +12,10 @@ from raregrain.sources.sinks import write_chunks
 from raregrain.streaming import incremental
 
 
-def _points(spark, n, seed=0, nulls=False):
+def _points(spark, n, seed=0, nulls=False, spread=False):
     rng = np.random.default_rng(seed)
-    x = np.round(rng.normal(0, 1, (n, 6)), 2)
+    x = rng.normal(0, 1, (n, 6))
+    x = x if spread else np.round(x, 2)
     x[:, 4] = np.where(rng.random(n) < 0.6, 0, x[:, 4])
     x[:, 5] = rng.integers(0, 3, n)
     y = (x[:, 0] + x[:, 1] * x[:, 2] + rng.normal(0, 0.5, n) > 0.8).astype(int)
@@ -78,3 +79,49 @@ def test_large_and_small_chunks_take_turns(spark, tmp_path):
         incremental.MOST_ROWS = kept
     log = spark.read.parquet(f"{tmp_path}/m/log").collect()
     assert model.rounds == 10 and sorted((r.chunk_no, r.n_rows, r["round"]) for r in log) == [(c, n, 2 * c - 2 + i) for c, n in enumerate((40, 120, 30, 35, 110), 1) for i in (1, 2)]
+
+
+def test_ensemble_of_small_chunks(spark, tmp_path, monkeypatch):
+    """One job fits many chunks and one pass scores with all models; the probabilities are those of Spark's own classifier."""
+    from pyspark.ml.classification import GBTClassificationModel
+
+    from raregrain.operators import classifiers
+
+    df = _points(spark, 2400, 6, spread=True)
+    write_chunks(df, str(tmp_path / "c"), 200)
+
+    def fit(rows):
+        return classifiers.fit_gbt(rows, weight="sample_weights", maxIter=3, maxDepth=3)
+
+    def train(name, **more):
+        return incremental.train_ensemble(spark, str(tmp_path / "c"), df.schema, str(tmp_path / name), fit, label="binds", **more)
+
+    paths, jobs = _jobs(spark, lambda: train("few", fit_few=fit))
+    assert len(paths) == 12 and jobs < 60
+    assert train("few", fit_few=fit) == paths  # nothing is left to fit
+    assert sorted((r.chunk_no, r.n_rows) for r in spark.read.parquet(f"{tmp_path}/few/log").collect()) == [(i, 200) for i in range(1, 13)]
+    monkeypatch.setattr(incremental, "MOST_ROWS", 199)
+    plain = train("plain", fit_few=fit)
+    assert plain == [incremental.model_path(str(tmp_path / "plain"), i) for i in range(1, 13)]
+    scores = []
+    for some in (paths, plain, [*paths[:5], *plain[5:]]):
+        models = incremental.load_models(GBTClassificationModel.load, some)
+        scores.append({r.id: r.p1 for r in incremental.score_ensemble(df, models).collect()})
+    assert len(scores[0]) == 2400
+    for other in scores[1:]:  # but for splits of equal gain, which rounding tells apart
+        apart = np.abs([other[i] - p for i, p in scores[0].items()])
+        assert apart.mean() < 0.002 and apart.max() < 0.05, (apart.mean(), apart.max(), np.mean(apart < 1e-9))
+    with pytest.raises(Exception, match="labels and features"):
+        holes = _points(spark, 40, 7, nulls=True)
+        monkeypatch.setattr(incremental, "MOST_ROWS", 10_000)
+        write_chunks(holes, str(tmp_path / "h"), 40)
+        incremental.train_ensemble(spark, str(tmp_path / "h"), holes.schema, str(tmp_path / "holes"), fit, label="binds", fit_few=fit)
+
+
+def test_boosted_chunks_with_holes(spark, tmp_path):
+    """Rows without a label or features take no part in a fit, but count."""
+    holes = _points(spark, 200, 8, nulls=True)
+    write_chunks(holes, str(tmp_path / "c"), 100)
+    model = incremental.train_boosted(spark, str(tmp_path / "c"), holes.schema, str(tmp_path / "m"), 2, step=0.3)
+    log = spark.read.parquet(f"{tmp_path}/m/log").collect()
+    assert model.rounds == 4 and sorted((r.chunk_no, r.n_rows, r["round"]) for r in log) == [(1, 100, 1), (1, 100, 2), (2, 100, 3), (2, 100, 4)]
