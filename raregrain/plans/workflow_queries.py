@@ -15,7 +15,7 @@ from raregrain.plans.fixtures import CODES, COMPOUNDS_SQL, OUTPUTS, REPEATED, TE
 from raregrain.plans.registry import query
 from raregrain.plans.text_queries import letters, vector_sql
 from raregrain.plans.workflows import descriptor_names, joined_vectors, token_vectors
-from raregrain.session import freeze
+from raregrain.session import freeze, store
 
 _DOCS = "docs AS (SELECT * FROM documents JOIN labels USING (doc_id))"
 
@@ -62,11 +62,12 @@ def _(spark, sf_dir):
 
 @query("descriptor_path_quality", _QUALITY_SQL)
 def _(spark, sf_dir):
-    rows = freeze(compounds(spark, sf_dir))
+    # both wide tables as Parquet: a checkpoint of the vectors takes many times the input, and the join's shuffle files go with the write
+    rows = store(compounds(spark, sf_dir), "compounds")
     described = describe_texts(rows.select("id", "y", *TEXTS), OUTPUTS, letters, letters("Ab"), repeated=REPEATED)
     tokens, _encoder = token_vectors(_tokens(rows), list(OUTPUTS.values()))
     names = descriptor_names(OUTPUTS, list(letters("Ab")))
-    ready = stratified_split(freeze(joined_vectors(described, tokens, names)), "y", 0.8)
+    ready = stratified_split(store(joined_vectors(described, tokens, names), "vectors"), "y", 0.8)
     # the fit alone takes a twentieth of the common class; every held-out row is scored
     train = freeze(sample_by_class(ready.where("is_train = 1"), "y", {0: 0.05, 1: 1.0}, seed=7, key="id"))
     model = classifiers.fit_gbt(stats.class_weights(train, "y"), "y", weight="sample_weights", maxIter=3, maxDepth=3)

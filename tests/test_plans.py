@@ -88,3 +88,17 @@ def test_bucketed_tables_join_without_shuffle(spark, sf):
 def test_shuffle_partitions_follow_the_data():
     assert shuffle_partitions(0) == 200
     assert 700_000 < shuffle_partitions(100 * 10**12) < 800_000
+
+
+def test_descriptor_path_stores_its_wide_tables_as_parquet(spark, sf, monkeypatch):
+    """Checkpoints of the texts and vectors took 3.7 times the disk."""
+    from raregrain.plans import workflow_queries
+
+    names, frozen = [], []
+    store, freeze = workflow_queries.store, workflow_queries.freeze
+    monkeypatch.setattr(workflow_queries, "store", lambda df, name: names.append((name, sorted(df.columns)[:3])) or store(df, name))
+    monkeypatch.setattr(workflow_queries, "freeze", lambda df: frozen.append(df.columns) or freeze(df))
+    from __spark_entry__ import queries
+
+    assert queries()["descriptor_path_quality"](spark, sf).count() == 1
+    assert [n for n, _ in names] == ["compounds", "vectors"] and len(frozen) == 2 and "vectors" not in frozen[1]
