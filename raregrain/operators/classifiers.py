@@ -9,19 +9,23 @@ external boosters (level-wise or leaf-wise) become gradient-boosted trees throug
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.ml import Model
 from pyspark.ml.classification import (
     GBTClassifier,
     LogisticRegression,
+    MultilayerPerceptronClassificationModel,
     MultilayerPerceptronClassifier,
     RandomForestClassifier,
 )
 from pyspark.ml.clustering import KMeans
+from pyspark.ml.common import _py2java
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClassificationEvaluator
+from pyspark.ml.linalg import Vectors
 from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuilder
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from raregrain.functions.vectors import class1_probability
@@ -166,6 +170,15 @@ def fit_mlp(
     return MultilayerPerceptronClassifier(labelCol=label, featuresCol=features, **settings).fit(df)
 
 
+def perceptron_model(
+    spark: SparkSession, weights: Sequence[float], layers: Sequence[int], label: str = "binds", features: str = "vectors", max_iter: int = 100, seed: int = 42
+) -> MultilayerPerceptronClassificationModel:
+    """The model of weights that were fitted in memory."""
+    java = spark._jvm.org.apache.spark.ml.classification.MultilayerPerceptronClassificationModel
+    model = MultilayerPerceptronClassificationModel(java(f"mlpc_{uuid.uuid4().hex[-12:]}", _py2java(spark.sparkContext, Vectors.dense(weights))))
+    return model._set(layers=list(layers), labelCol=label, featuresCol=features, maxIter=max_iter, seed=seed)
+
+
 def predict(df: DataFrame, model: Model, key: str = "id", keep: Sequence[str] = (), ordered: bool = True) -> DataFrame:
     """``key, prediction, p1`` (and kept columns), by key if ``ordered``; an aggregate needs no order."""
     scored = model.transform(df)

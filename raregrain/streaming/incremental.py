@@ -19,19 +19,23 @@ from urllib.parse import unquote
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
 from pyspark.ml import Model
 from pyspark.ml.classification import MultilayerPerceptronClassificationModel
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from raregrain.functions.hashing import hash_key
 from raregrain.functions.vectors import as_array, class1_probability
 from raregrain.operators.boosting import NODES_SCHEMA, BoostedTrees, boost, mean_probability, round_metrics
-from raregrain.operators.classifiers import fit_mlp
+from raregrain.operators.classifiers import fit_mlp, perceptron_model
 from raregrain.operators.evaluate import average_precision, log_loss
+from raregrain.operators.few_perceptron import class1, copies, loss_of, minimized, score_metrics
 from raregrain.operators.few_rows import MOST_CELLS, MOST_ROWS, SETTINGS, FewRows
-from raregrain.operators.sampling import resample_weighted
+from raregrain.operators.sampling import WEIGHT_UNITS, resample_weighted
 from raregrain.operators.stats import class_weights
 from raregrain.session import freeze
 from raregrain.sources.readers import widen_scan
@@ -297,6 +301,7 @@ def train_incremental(
         chunk = class_weights(df, label).persist()
         try:
             start = weights.pop(before, None)
+            start = Vectors.dense(start) if isinstance(start, np.ndarray) else start
             if before is not None and start is None:
                 start = MultilayerPerceptronClassificationModel.load(model_path(root, before)).weights
             n_rows = chunk.count()
@@ -322,7 +327,41 @@ def train_incremental(
 
         return end
 
-    finished = walk_chunks(spark, path, schema, f"{root}/progress", each)
+    def several(chunks: list[tuple[int, list[str]]], before: int | None) -> bool:
+        """Small chunks one after the other in memory; rows are repeated in the order of their hashes, as those of large ones."""
+
+        def columns(df: DataFrame) -> list[Column]:
+            kept = [F.col(label).cast("double").alias("y"), _known_array(df, features).alias("x"), F.lit(0.0).alias("margin")]
+            return [*kept, hash_key(key, seed).alias("h"), F.col(key).alias("key"), F.xxhash64(*df.columns).alias("content")]
+
+        turns = [(c, "ascending") for c in ("h", "key", "content")]
+        tables = [t.take(pc.sort_indices(t, turns, null_placement="at_start")) for t in read_block(spark, schema, chunks, columns)]
+        held = [FewRows.of(t, "x", "y", "margin") for t in tables]
+        if layers[-1] < 2 or any(h is None or len(h.label) < t.num_rows or not h.trained().all() or h.x.shape[1] != layers[0] for h, t in zip(held, tables)):
+            return False
+        now = weights.get(before)
+        if now is None:
+            if before is not None:
+                now = MultilayerPerceptronClassificationModel.load(model_path(root, before)).weights
+            else:  # the weights that a fit begins with depend on the seed alone
+                one = spark.read.schema(schema).parquet(*chunks[0][1]).limit(1)
+                now = fit_mlp(one, layers, label, features, 0, seed).weights
+        now = np.array(now)
+        with stored_in_order(spark, root, "n_rows bigint, n_fit_0 bigint, n_fit_1 bigint, logloss double, aucpr double") as store:
+            for (chunk_no, files), rows in zip(chunks, held):
+                parts = [np.flatnonzero(rows.label == k) for k in (0, 1)]
+                taken = [np.repeat(at, copies(rows.weight[at], WEIGHT_UNITS)) for at in parts]
+                fit = np.concatenate(taken)
+                now = minimized(loss_of(rows.x[fit], rows.label[fit], layers), now, max_iter)
+                metrics = score_metrics(rows.label, rows.weight, class1(rows.x, now, layers))
+                entry = (len(rows.label), *map(len, taken), *metrics)
+                log = pa.table({n: pa.array([v], t) for n, v, t in zip(("n_rows", "n_fit_0", "n_fit_1", "logloss", "aucpr"), entry, [pa.int64()] * 3 + [pa.float64()] * 2)})
+                store(chunk_no, files, lambda at, w=now: perceptron_model(spark, w, layers, label, features, max_iter, seed).write().overwrite().save(at), log)
+        weights.clear()
+        weights[chunks[-1][0]] = now
+        return True
+
+    finished = walk_chunks(spark, path, schema, f"{root}/progress", each, several, features)
     if not finished:
         raise ValueError(f"no chunks under {path}")
     final = MultilayerPerceptronClassificationModel.load(model_path(root, finished[-1]))

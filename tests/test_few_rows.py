@@ -125,3 +125,22 @@ def test_boosted_chunks_with_holes(spark, tmp_path):
     model = incremental.train_boosted(spark, str(tmp_path / "c"), holes.schema, str(tmp_path / "m"), 2, step=0.3)
     log = spark.read.parquet(f"{tmp_path}/m/log").collect()
     assert model.rounds == 4 and sorted((r.chunk_no, r.n_rows, r["round"]) for r in log) == [(1, 100, 1), (1, 100, 2), (2, 100, 3), (2, 100, 4)]
+
+
+def test_perceptron_of_small_chunks_is_that_of_spark(spark, tmp_path, monkeypatch):
+    df = _points(spark, 600, 9, spread=True)
+    write_chunks(df, str(tmp_path / "c"), 200)
+
+    def train(name):
+        return incremental.train_incremental(spark, str(tmp_path / "c"), df.schema, str(tmp_path / name), [6, 4, 2], max_iter=15)
+
+    few, jobs = _jobs(spark, lambda: train("few"))
+    assert jobs < 60
+    assert sorted(p.name for p in (tmp_path / "few/models").iterdir()) == ["Final_ckpt", "_1_ckpt", "_2_ckpt", "_3_ckpt"]
+    scores = few.transform(df).select("prediction").distinct().count()
+    assert scores == 2
+    monkeypatch.setattr(incremental, "MOST_ROWS", 199)
+    plain = train("plain")
+    assert np.allclose(few.weights, plain.weights, rtol=1e-5, atol=1e-5)
+    logs = [sorted(tuple(r) for r in spark.read.parquet(f"{tmp_path}/{k}/log").select("chunk_no", "n_rows", "n_fit_0", "n_fit_1", "logloss", "aucpr").collect()) for k in ("few", "plain")]
+    assert len(logs[0]) == 3 and np.allclose(*logs, rtol=1e-5)
